@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, packing, repair
-from .common import scratch, table, tokenizer_path
+from . import bktree, bpe_trie, packing, repair, simhash
+from .common import scratch, shared_dir, table, tokenizer_path
+from .votes import hex16
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -21,6 +22,23 @@ def op1_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    out = simhash.fingerprint_edits(table(spark, sf_dir, "documents")).checkpoint()  # some 150 bytes a document
+    found = simhash.count_near(out)
+    out = out.join(found, (out.fp == found.query_fp) & (out.doc_id % 100 == 0), "left")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hex16(F.col("fp")).alias("fingerprint"),
+        hex16(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("n_near"),
+    )
+
+
 def op4_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = scratch(spark, "repair")
     repair.write_shards(table(spark, sf_dir, "documents"), files, tokenizer_path(WORD))
@@ -33,7 +51,12 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_trie, op4_repair_shards, op6_harmonic_packing)}
+def op9_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bktree.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_trie, op3_simhash, op4_repair_shards, op6_harmonic_packing, op9_bktree)}
 
 #: SQL cannot express BPE, training or grammar compression; those queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
