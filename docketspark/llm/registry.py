@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe_trie, packing, repair, simhash
+from . import bktree, bpe_trie, langid, packing, repair, simhash, toxicity
 from .common import scratch, shared_dir, table, tokenizer_path
 from .votes import hex16
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
+
+
 def op1_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_trie.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(BYTE))
     return out.select(
@@ -22,6 +27,13 @@ def op1_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     out = simhash.fingerprint_edits(table(spark, sf_dir, "documents")).checkpoint()  # some 150 bytes a document
@@ -56,7 +68,14 @@ def op9_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_trie, op3_simhash, op4_repair_shards, op6_harmonic_packing, op9_bktree)}
+def op10_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(4) != 2)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op6_harmonic_packing, op9_bktree, op10_mixture_langid)}
 
 #: SQL cannot express BPE, training or grammar compression; those queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
