@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe_trie, langid, packing, repair, simhash, toxicity
+from . import bktree, bpe_trie, chat, exact_dedup, langid, packing, pii, repair, simhash, toxicity
 from .common import scratch, shared_dir, table, tokenizer_path
 from .votes import hex16
 
@@ -58,11 +58,36 @@ def op4_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(pii.KINDS).alias("spans"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+#: The added conversation: control strings and a backslash inside the texts.
+ADDED = r"\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"))
+    pieces = chat.format_turns(rows.unionByName(added))
+    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "piece", "loss_start", "loss_length"))).alias("p"), F.sum(F.length("piece")).alias("formatted_chars"))
+    turns = F.array_join(F.transform("p", lambda t: F.concat(chat.read_role(t["piece"]), F.lit("\n"), chat.read_text(t["piece"]), F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("p", lambda t: t["loss_start"].isNotNull()), lambda t: chat.read_loss(t["piece"], t["loss_start"], t["loss_length"])), "")
+    read = whole.select("conv_id", F.size("p").cast("long").alias("n_turns"), turns.alias("turns"), loss.alias("loss"), "formatted_chars")
+    return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bktree.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -75,10 +100,35 @@ def op10_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "mixture")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op6_harmonic_packing, op9_bktree, op10_mixture_langid)}
-
-#: SQL cannot express BPE, training or grammar compression; those queries are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op5_pii, op6_harmonic_packing, op7_stream_dedup, op8_chat, op9_bktree, op10_mixture_langid)
+}
+
+#: SQL for what SQL can express. The others (BPE, trained models, hash votes, grammars, span places) are held against brute
+#: force, exact round trips and held-out rows in tests/llm.
+ORACLES: dict[str, str] = {
+    "op7_stream_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op8_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
+                replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'), chr(10), '\n') AS head
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(6 + length(head) + length(body) + 9)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+}
 
 
 def queries() -> dict:
