@@ -29,16 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, partitions, range_bounds, text_of
 from .vocab import encoder, vocabulary
 
-ROUNDS = 4
+ROUNDS = 3
 LEAST = 8  # occurrences that make a rule worth its place
 SHARD = 1 << 20  # ids after which a shard is closed
-TABLE_BITS = 20
+BATCH_CHARS = 4_000_000  # characters that are encoded at once
+TABLE_BITS = 18
 
 FIELDS = [("bucket", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_tokens", pa.binary()), ("first", pa.int32()), ("width", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())]
 DDL = "bucket int, shard int, start long, n_docs int, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, first int, width int, rules binary, lengths binary, symbols binary"
@@ -119,7 +121,9 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         number = np.cumsum(used) - 1 + first + made
         at = np.flatnonzero(chosen)
         s[at] = number[rank[at]]
-        s = np.delete(s, at + 1)
+        left = np.ones(len(s), bool)
+        left[at + 1] = False
+        s = s[left]
         new = holder[frequent[used]]
         new = np.stack([new >> 32, new & 0xFFFFFFFF], 1)
         parts = np.ones(new.shape, np.int64)
@@ -162,6 +166,16 @@ class Shard:
         return self.grammar.slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[list[tuple]]:
+    """(bucket, doc_id, ids) of the rows, in order, in lists of bounded text."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            part = b.slice(start, stop - start)
+            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2))))
+
+
 def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_tokens: int = SHARD, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes all documents and writes the shard table to out.
 
@@ -175,7 +189,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_to
     first = len(vocabulary(path).tokens)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_batch
         end = np.array([end_id], np.uint32)
         schema = pa.schema(FIELDS)
         bucket, shard, start, held, size = None, 0, 0, [], 0
@@ -184,14 +198,14 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 1, shard_to
             row = to_row(bucket, shard, start, held, first)
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in FIELDS], schema=schema)
 
-        for b in batches:
-            for at, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        for at_ids in encoded(batches, encode):
+            for at, doc_id, ids in at_ids:
                 if held and (at != bucket or size >= shard_tokens):
                     yield closed()
                     shard, start, held, size = shard + 1, start + size, [], 0
                 if at != bucket:
                     bucket, shard, start = at, 0, 0
-                ids = np.concatenate([encode(text.as_py()), end])
+                ids = np.concatenate([ids, end])
                 held.append((doc_id, ids))
                 size += len(ids)
         if held:

@@ -11,6 +11,8 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 
@@ -69,6 +71,12 @@ class ByteEncoder:
             return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
         return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        return [self.encode(t) for t in (texts if isinstance(texts, list) else texts.to_pylist())]
+
+
+#: Chunks between white space that a worker remembers.
+CHUNKS = 500_000
 
 #: Ends a word on its way to tiktoken; a text that holds it goes through the tokenizers library.
 END = "\x01"
@@ -102,6 +110,9 @@ class WordEncoder:
             ranks[bytes([b])] = len(self.id_of)
             self.id_of.append(plain.get(bytes([b]), 0))
         self.id_of = np.array(self.id_of, np.uint32)
+        self.ends = np.zeros(len(v.tokens), bool)
+        self.ends[list(marked)] = True
+        self.chunks: dict[str, bytes] = {}
         self.encoding = tiktoken.Encoding("word", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(WORD_PATTERN)
         self.added = list(v.added)
@@ -116,10 +127,57 @@ class WordEncoder:
         words = self.words.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
         if not words:
             return np.zeros(0, np.uint32)
+        return self._ids(words)
+
+    def _ids(self, words: list[str]) -> np.ndarray:
         words.append("")
         return self.id_of[self.encoding.encode_to_numpy(END.join(words), allowed_special=set(), disallowed_special=())]
 
 
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of distinct chunks that hold no ASCII white space, as little-endian bytes."""
+        odd = {i for i, c in enumerate(new) if END in c or any(a in c for a in self.added)}
+        folded = unicodedata.normalize("NFC", "\n".join(new)).replace("\u03a3", "\u03c3").lower().split("\n")
+        find = self.words.findall
+        words = [find(c) for c in folded]
+        for i in odd:
+            words[i] = []
+        ids = self._ids([w for ws in words for w in ws])
+        # A word has one token with the suffix, its last, which tells where each chunk's ids end.
+        last = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        at = (4 * last[np.cumsum([0] + [len(ws) for ws in words])]).tolist()
+        data = ids.astype("<u4").tobytes()
+        out = [data[a:b] for a, b in zip(at, at[1:])]
+        for i in odd:
+            out[i] = np.array(self.exact.encode(new[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text. No word spans white space, so each distinct chunk between ASCII white space is encoded
+        once, and a worker remembers a bounded number of them."""
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        coded = parts.values.dictionary_encode()
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = list(map(self.chunks.get, chunks))
+        at = [i for i, f in enumerate(found) if f is None]
+        if at:
+            new = [chunks[i] for i in at]
+            for i, ids in zip(at, self.learn(new)):
+                found[i] = ids
+            if len(self.chunks) + len(new) > CHUNKS:
+                self.chunks = dict(zip(chunks, found))
+            else:
+                self.chunks.update(zip(new, map(found.__getitem__, at)))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)]
+        cuts = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
 @cache
 def encoder(path: str) -> ByteEncoder | WordEncoder:
     """The encoder for a file, once per worker."""
