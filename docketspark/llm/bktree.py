@@ -33,14 +33,14 @@ QUERIES, ROWS = 20_000, 400_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, fp (long), n_rows (how often the row with this id and text occurs)."""
+    """doc_id, body (xxhash64 of the text), fp (long), n_rows (how often the row with this id and text occurs)."""
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), words_of(ascii_lower(text)).alias("words"))
     last = F.greatest(F.size("words") - shingle, F.lit(0))
     places = rows.select("doc_id", "body", "words", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), last))).alias("i"))
     hashes = places.select("doc_id", "body", F.when(F.col("i").isNotNull(), F.xxhash64(shingle_at(F.col("words"), F.col("i"), shingle))).alias("h"), F.coalesce(F.col("i") == 0, F.lit(True)).alias("head"))
     sums = hashes.groupBy("doc_id", "body").agg(*lane_sums(F.col("h")), F.count("h").alias("total"), F.count_if("head").alias("n_rows"))
-    return sums.select("doc_id", fingerprint(F.col("total")).alias("fp"), "n_rows")
+    return sums.select("doc_id", "body", fingerprint(F.col("total")).alias("fp"), "n_rows")
 
 
 class Forest:
@@ -172,7 +172,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that is reachable over links, the own one included. One row per row."""
+    """doc_id, body, fp, component_id: the smallest doc_id that is reachable over links, the own one included. One row per row."""
     shared_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle, id_column, text_column).checkpoint()
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
@@ -181,5 +181,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = tied.join(least, "root").select("fp", "component_id")
     of_print = own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = prints.join(of_print, "fp").select("doc_id", "fp", "component_id", "n_rows")
-    return out.select("doc_id", "fp", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
+    out = prints.join(of_print, "fp").select("doc_id", "body", "fp", "component_id", "n_rows")
+    return out.select("doc_id", "body", "fp", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id. Rows without an id stay."""
+    found = near_duplicates(docs, shingle, radius, id_column, text_column)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct()
+    same = (docs[id_column].cast("long") == gone.gone_id) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == gone.gone_body)
+    return docs.join(gone, same, "left_anti")
