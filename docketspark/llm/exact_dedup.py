@@ -26,6 +26,8 @@ from .common import scratch, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Without it each of the many small stores would reserve megabytes of disk for its logs.
+FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 FIRST = -(1 << 63)
 ARRIVAL = "doc_id long, digest binary, locator long"
 
@@ -42,8 +44,9 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, arrivals: str, state: str, out: str, files_per_batch: int | None = None) -> None:
     """Feeds all arrivals that the checkpoint `state` has not seen through the keyed state; every batch adds the entries that
     it changed to `out`. Entries only grow, so the largest of each digest is its present one."""
-    before = spark.conf.get(PROVIDER)
+    before = spark.conf.get(PROVIDER), spark.conf.get(FALLOCATE, "true")
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(FALLOCATE, "false")
     try:
         reader = spark.readStream.schema(ARRIVAL)
         if files_per_batch:
@@ -56,7 +59,8 @@ def run_stream(spark: SparkSession, arrivals: str, state: str, out: str, files_p
         query = changed.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        spark.conf.set(PROVIDER, before[0])
+        spark.conf.set(FALLOCATE, before[1])
 
 
 def entries(spark: SparkSession, out: str) -> DataFrame:
