@@ -25,9 +25,14 @@ from pyspark.sql import functions as F
 from .common import scratch, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: Without it each of the many small stores would reserve megabytes of disk for its logs.
-FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: Settings while the stream runs. Many small stores: none reserves disk for its logs, a commit is one file of changes, and files
+#: are handled by the plain file system interface, which starts no helper processes for links and permissions.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
+}
 FIRST = -(1 << 63)
 ARRIVAL = "doc_id long, digest binary, locator long"
 
@@ -44,9 +49,9 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, arrivals: str, state: str, out: str, files_per_batch: int | None = None) -> None:
     """Feeds all arrivals that the checkpoint `state` has not seen through the keyed state; every batch adds the entries that
     it changed to `out`. Entries only grow, so the largest of each digest is its present one."""
-    before = spark.conf.get(PROVIDER), spark.conf.get(FALLOCATE, "true")
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(FALLOCATE, "false")
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(ARRIVAL)
         if files_per_batch:
@@ -59,8 +64,8 @@ def run_stream(spark: SparkSession, arrivals: str, state: str, out: str, files_p
         query = changed.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before[0])
-        spark.conf.set(FALLOCATE, before[1])
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def entries(spark: SparkSession, out: str) -> DataFrame:
