@@ -161,7 +161,8 @@ def bigrams_noise_split(spark, sf):
 # --- similarity: documents are cases, language the repertory, source the bench, the lines' sections the weights ---
 
 _WEIGHT = "CASE section_key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.SIMILARITY_WEIGHTS.items()) + " END"
-_W = f"w AS (SELECT doc_id, term, sum({_WEIGHT})::DOUBLE AS weight FROM (SELECT doc_id, section_key, unnest({sql_tokens(sql_build('text'), dims.BIGRAM_STOPWORDS)}) AS term FROM lines) GROUP BY ALL)"
+_CAP = "CASE section_key " + " ".join(f"WHEN '{k}' THEN {dims.CAPS[v]}" for k, v in dims.BUCKETS.items()) + f" ELSE {dims.CAPS['inne']} END"
+_W = f"w AS (SELECT doc_id, term, sum({_WEIGHT})::DOUBLE AS weight FROM (SELECT doc_id, section_key, unnest(({sql_tokens(sql_build('text'), dims.BIGRAM_STOPWORDS)})[1:{_CAP}]) AS term FROM lines) GROUP BY ALL)"
 _V = """df AS (SELECT term, count(*) AS df FROM w GROUP BY term HAVING count(*) BETWEEN 2 AND greatest(2, floor((SELECT count(*) FROM documents) * 0.12))),
     x AS (SELECT doc_id, term, weight * (ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) + 1.0) AS w FROM w JOIN df USING (term)),
     v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x)"""
