@@ -221,7 +221,8 @@ def _walk(paragraphs: pd.Series, decision_type: pd.Series, forced: pd.Series) ->
 
 
 def walk(paragraphs: Column, decision_type: Column, forced: Column) -> Column:
-    return F.pandas_udf(_walk, PARAGRAPHS)(paragraphs, decision_type, forced)
+    # Marked so that the optimizer keeps it a column of its own: it can't run inside a lambda that reads its result.
+    return F.pandas_udf(_walk, PARAGRAPHS).asNondeterministic()(paragraphs, decision_type, forced)
 
 
 # --- the same looks as windows, on a long table ---
