@@ -82,7 +82,7 @@ def section_bucket(key: Column | str) -> Column:
     return one_of(_col(key), dims.BUCKETS, "inne")
 
 
-CITATION = r"(?i)art\.?\s*(\d+[a-z]?)(?:\s*ust\.?\s*(\d+[a-z]?))?(?:\s*§\s*(\d+[a-z]?))?(?:\s*pkt\.?\s*(\d+[a-z]?))?"
+CITATION = r"art\.?\s*(\d+[a-z]?)(?:\s*ust\.?\s*(\d+[a-z]?))?(?:\s*§\s*(\d+[a-z]?))?(?:\s*pkt\.?\s*(\d+[a-z]?))?"
 PARAGRAPH_SIGN = r"§\s*(\d+[a-z]?)"
 
 
@@ -90,11 +90,14 @@ def citations(c: Column | str) -> Column:
     """All citations of a text in one form (`art. 32 ust. 1`); paragraph signs alone count only where no article is cited.
     An article may stand within a word."""
     text = F.lower(normalize_space(c))
-    parts = [F.regexp_extract_all(text, F.lit(CITATION), F.lit(i)) for i in range(1, 5)]
-    name = lambda prefix, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(prefix), x))
-    articles = F.transform(F.arrays_zip(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), lambda x: F.concat_ws(" ", name("art. ", x["p0"]), name("ust. ", x["p1"]), name("§ ", x["p2"]), name("pkt ", x["p3"])))
+
+    def canonical(m: Column) -> Column:
+        full = F.regexp_replace(m, CITATION, "art. $1 ust. $2 § $3 pkt $4")
+        return F.trim(F.regexp_replace(full, r"(ust\.|§|pkt) +(?=[u§p]|$)", ""))
+
+    articles = F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(0)), canonical)
     signs = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH_SIGN), F.lit(1)), lambda x: F.concat(F.lit("§ "), x))
-    return F.when(F.size(articles) > 0, articles).otherwise(signs)
+    return F.when(text.rlike(r"art\.?\s*\d"), articles).otherwise(signs)
 
 
 def case_key(document_id: Column | str, signature: Column | str) -> Column:

@@ -9,6 +9,9 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space that is to become one space: a run of several, or one that is no plain space. Single spaces stay, so most of a
+#: text is copied in long pieces.
+_RUNS = r"(?U)\s(?:\s+|(?<! ))"
 SPLIT = r"[^\p{L}\p{N}]+"
 WORD_SPLIT = r"[^\p{L}\p{N}_-]+"
 
@@ -42,7 +45,7 @@ def fold_plain(text: str, build: bool = False) -> str:
 
 def normalize_space(c: Column | str) -> Column:
     """One space for every run of white space (the no-break one included), none at the ends; empty for null."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), _RUNS, " "))
 
 
 def fold_search(c: Column | str) -> Column:
@@ -58,8 +61,8 @@ def fold_build(c: Column | str) -> Column:
 
 def legal(c: Column | str) -> Column:
     """The search fold with citations in one form: `art. 32` as `art32`, a space on both sides of `§`."""
-    joined = F.regexp_replace(fold_search(c), r"(?<![A-Za-z0-9_])art\.?\s*(\d+[a-z]?)", "art$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\s*§\s*", " § "), r"\s+", " "))
+    joined = F.regexp_replace(fold_search(c), r"art(?<![A-Za-z0-9_]art)\.?\s*(\d+[a-z]?)", "art$1")
+    return F.trim(F.replace(F.regexp_replace(joined, " ?§ ?", " § "), F.lit("  "), F.lit(" ")))
 
 
 def legal_plain(text: str) -> str:
@@ -83,8 +86,10 @@ def tokens(c: Column | str, stopwords: Sequence[str] = (), least: int = 3) -> Co
 
 def surface_tokens(c: Column | str, stopwords: Sequence[str]) -> Column:
     """(token, norm) pairs for bigrams: the word as written in lower case, and its fold, by which it is filtered."""
-    pairs = F.transform(F.split(F.lower(normalize_space(c)), SPLIT), lambda t: F.struct(t.alias("token"), F.translate(t, "ł" + fold_table()[0], "l" + fold_table()[1]).alias("norm")))
-    return F.filter(pairs, lambda p: (F.length(p["norm"]) >= 3) & ~p["norm"].rlike(r"^\d+$") & ~p["norm"].isin(*stopwords))
+    words = F.split(F.lower(normalize_space(c)), SPLIT)
+    folded = F.split(F.translate(F.array_join(words, "\n"), "ł" + fold_table()[0], "l" + fold_table()[1]), "\n")  # all at once
+    pairs = F.zip_with(words, folded, lambda t, n: F.struct(t.alias("token"), n.alias("norm")))
+    return F.filter(pairs, lambda p: (F.length(p["norm"]) >= 3) & ~p["norm"].isin(*stopwords) & ~p["norm"].rlike(r"^\d+$"))
 
 
 def lemma_tokens(c: Column | str) -> Column:
@@ -114,14 +119,12 @@ def slug(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_search(c), r"[^a-z0-9_-]+", "-"), r"^-+|-+$", "")
 
 
-def snippet(text: Column | str, terms: Sequence[str], width: int, lead: int = 120, anchor: Column | None = None) -> Column:
-    """A window of the text that begins `lead` characters before the first term (or the anchor). The term is looked for in the
-    citation form, whose offsets are applied to the text as it is."""
-    source = normalize_space(text)
+def snippet(source: Column, form: Column, terms: Sequence[str], width: int, lead: int = 120, anchor: Column | None = None) -> Column:
+    """A window of the text that begins `lead` characters before the first term (or the anchor). source: the text with single
+    spaces; form: its citation form, in which the term is looked for; the offset is applied to the source as it is."""
     head = truncate(source, width)
     if not terms:
         return head
-    form = legal(text)
     places = [F.nullif(F.locate(t, form), F.lit(0)) - 1 for t in terms]
     first = F.least(*places) if len(places) > 1 else places[0]
     if anchor is not None:

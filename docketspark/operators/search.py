@@ -66,8 +66,10 @@ def search(index: DataFrame, request: SearchRequest, at: Fields = Fields()) -> D
     return page(groups, [F.col("top_score").desc(), F.col("decision_date_iso").desc(), F.col("case_signature")], request.page)
 
 
-def with_snippet(found: DataFrame, query: Query, text: str = "text", width: int = dims.SNIPPET) -> DataFrame:
-    return found.withColumn("snippet", snippet(F.col(text), query.terms(), width, dims.SNIPPET_LEAD))
+def with_snippet(found: DataFrame, query: Query, text: str = "text", width: int = dims.SNIPPET, lead: int = dims.SNIPPET_LEAD) -> DataFrame:
+    """Hits with a snippet. The text's two forms are columns of their own, so each is made once."""
+    staged = found.withColumns({"snippet_source": normalize_space(text), "snippet_form": F.col("text_legal") if "text_legal" in found.columns else legal(text)})
+    return staged.withColumn("snippet", snippet(F.col("snippet_source"), F.col("snippet_form"), query.terms(), width, lead)).drop("snippet_source", "snippet_form")
 
 
 def context(rows: DataFrame, case: str, place: str, columns: Sequence[str]) -> DataFrame:

@@ -54,8 +54,8 @@ def cooccurrence(of: DataFrame, case: str, n: int = 14, member: str = "member")
 def bigrams(rows: DataFrame, text: Column | str, order: Sequence[str]) -> DataFrame:
     """key, label, n: adjacent words of filtered tokens within a paragraph, aliases merged. The label is the last one in
     corpus order."""
-    toks = surface_tokens(text, dims.BIGRAM_STOPWORDS)
-    made = rows.select(*order, F.posexplode(adjacent(toks)).alias("place", "p"))
+    toks = rows.select(*order, surface_tokens(text, dims.BIGRAM_STOPWORDS).alias("toks"))
+    made = toks.select(*order, F.posexplode(adjacent(F.col("toks"))).alias("place", "p"))
     key, label = F.concat_ws(" ", "p.a.norm", "p.b.norm"), F.concat_ws(" ", "p.a.token", "p.b.token")
     alias = F.create_map(*[F.lit(x) for k, v in dims.PHRASE_ALIASES.items() for x in (fold_plain(k, True), v)])
     canon = F.create_map(*[F.lit(x) for v in set(dims.PHRASE_ALIASES.values()) for x in (v, fold_plain(v, True))])

@@ -120,7 +120,7 @@ _SNIP = """CASE WHEN length(text) <= 120 THEN text WHEN hit = 0 THEN rtrim(left(
     INDEX,
 )
 def snippet_window(spark, sf):
-    return index(spark, sf).select("paragraph_id", text.snippet("text", ["tion", "ere"], 120, 40).alias("snippet"))
+    return search.with_snippet(index(spark, sf), parse("tion ere"), "text", 120, 40).select("paragraph_id", "snippet")
 
 
 @query("SELECT conv_id, turn, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docketspark.operators import lemma, search
 from docketspark.operators.query import Both, Either, Field, Filters, Not, QuerySyntaxError, SearchRequest, Text, condition, merged, parse, score, sections_of
-from docketspark.functions.text import legal, snippet
+from docketspark.functions.text import legal, normalize_space, snippet
 
 
 def shape(node):
@@ -69,11 +69,12 @@ def test_conditions_are_never_null(spark):
 
 
 def test_snippets(spark):
+    cut = lambda t, terms, n: rows(spark, t).select(snippet(normalize_space("text"), F.col("text_legal"), terms, n)).first()[0]
     t = "a " * 150 + "Needle " + "b " * 200
-    got = rows(spark, t).select(snippet("text", ["needle"], 100)).first()[0]
+    got = cut(t, ["needle"], 100)
     assert got.startswith("...a a") and got.endswith("...") and len(got) <= 106
-    assert rows(spark, t).select(snippet("text", ["zzz"], 10)).first()[0] == "a a a a a..."
-    assert rows(spark, "short").select(snippet("text", ["short"], 100)).first()[0] == "short"
+    assert cut(t, ["zzz"], 10) == "a a a a a..."
+    assert cut("short", ["short"], 100) == "short"
 
 
 def test_highlights(spark):
