@@ -11,6 +11,10 @@ Within a shard the links are merged by union-find, so a shard gives at most one
 connected components over those links (large-star and small-star steps, written to the checkpoint folder between steps).
 No list of links, components or fingerprints goes to the driver.
 
+near_duplicates() links by fingerprints alone, as the query's contract has it. drop_near_duplicates() is for corpora: texts
+are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). Its shards are
+named by the smallest shingle hashes, its trees are searched with a wide radius, and the texts themselves decide.
+
 Null texts count as empty; texts without words have the fingerprint 0 and are linked like any other. Repeated rows give
 repeated results. A row whose id is null is linked too but names no component (a component of such rows only is null).
 An empty table gives an empty result. Other columns of the input are ignored.
@@ -18,6 +22,7 @@ An empty table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, text_of
 from .votes import ascii_lower, block_keys, fingerprint, lane_sums, shingle_at, words_of
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
 #: Fingerprints searched at once, and rows taken from a partition at once (whole shards).
 QUERIES, ROWS = 20_000, 400_000
 
@@ -185,9 +193,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
     return out.select("doc_id", "body", "fp", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows without an id stay."""
-    found = near_duplicates(docs, shingle, radius, id_column, text_column)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct()
-    same = (docs[id_column].cast("long") == gone.gone_id) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == gone.gone_body)
-    return docs.join(gone, same, "left_anti")
+# --- near duplicates by the texts' own similarity ---
+
+#: Permutations of a document's shingles; each one's smallest names a shard.
+PERMUTATIONS = 4
+#: Bytes of text after which whole shards are searched.
+CHUNK_BYTES = 48 << 20
+
+
+def shingle_set(text: str, k: int) -> frozenset[str]:
+    """The distinct k-word shingles of a text as fingerprints() has them."""
+    words = _WORD.findall(text.translate(_LOWER))
+    return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def alike(a: frozenset[str], b: frozenset[str], least: float) -> bool:
+    """Whether two sets' Jaccard similarity reaches `least`. Two empty sets are alike."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not large:
+        return True
+    if len(small) < least * len(large):
+        return False
+    both = len(small & large)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def verified_links(key: np.ndarray, fp: np.ndarray, texts: list[str], shingle: int, least: float, radius: int) -> list[tuple[int, int]]:
+    """Index pairs that connect, within each shard, all texts that chains of pairs within the radius and alike connect.
+
+    A pair is compared by its texts unless the two are connected already, so a group of n copies takes about n comparisons."""
+    forest, out = Forest(key, fp), []
+    parent = list(range(len(fp)))
+    sets: dict[int, frozenset[str]] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def of(i: int) -> frozenset[str]:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], shingle)
+        return sets[i]
+
+    for start in range(0, len(fp), QUERIES):
+        for a, b in forest.links(np.arange(start, min(start + QUERIES, len(fp))), radius):
+            once = a > b
+            for i, j in zip(a[once].tolist(), b[once].tolist()):
+                x, y = root(i), root(j)
+                if x != y and alike(of(i), of(j), least):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((i, j))
+    return out
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b: links between text hashes; body, least, most: each text hash with its smallest and largest doc_id).
+
+    For each of a few permutations a document goes to the shard that its smallest shingle hash names: texts that share most
+    shingles share a shard almost surely, others hardly ever. A shard's BK-tree over the fingerprints gives the candidates,
+    and their texts decide. Only documents that have company in a shard send their texts there."""
+    shared_dir(docs.sparkSession)
+    text = text_of(text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), words_of(ascii_lower(text)).alias("words"))
+    last = F.greatest(F.size("words") - shingle, F.lit(0))
+    places = rows.select("doc_id", "body", "words", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), last))).alias("i"))
+    hashes = places.select("doc_id", "body", F.when(F.col("i").isNotNull(), F.xxhash64(shingle_at(F.col("words"), F.col("i"), shingle))).alias("h"))
+    smallest = [F.min(F.xxhash64("h", F.lit(p))).alias(f"s{p}") for p in range(PERMUTATIONS)]
+    sums = hashes.groupBy("body").agg(*lane_sums(F.col("h")), F.count("h").alias("total"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *smallest)
+    prints = sums.select("body", "least", "most", fingerprint(F.col("total")).alias("fp"), F.array(*[F.xxhash64(F.lit(p), f"s{p}") for p in range(PERMUTATIONS)]).alias("shards")).checkpoint()
+    members = prints.select("body", "fp", F.explode(F.array_distinct("shards")).alias("shard"))
+    company = members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
+    own = members.join(company, "shard").groupBy("body", "fp").agg(F.collect_list("shard").alias("shards"))
+    texts = docs.select(F.xxhash64(text).alias("body"), text.alias("text"))
+    sent = texts.join(own, "body").select(F.explode("shards").alias("shard"), "fp", "body", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(t: pa.Table) -> pa.RecordBatch:
+            key, fp, body = (t.column(i).to_numpy() for i in range(3))
+            pairs = verified_links(key, fp.view(np.uint64), t.column(3).to_pylist(), shingle, similarity, radius)
+            a, b = (body[[p[i] for p in pairs]] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.nbytes >= CHUNK_BYTES:
+                key = held.column(0).to_numpy()
+                end = int(np.searchsorted(key, key[-1], "left"))  # the last shard may go on
+                if end:
+                    yield found(held.slice(0, end))
+                    held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    n = partitions(docs.sparkSession)
+    dealt = sent.repartition(n, "shard").sortWithinPartitions("shard", "body")
+    return dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct(), prints.select("body", "least", "most")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without the rows whose text is connected, over texts that are alike, to one of a smaller doc_id. Of equal texts
+    with equal ids all stay or go together. Rows without an id stay."""
+    links_, own = similar_links(docs, shingle, similarity, radius, id_column, text_column)
+    roots = components(links_)
+    tied = own.join(roots.select(F.col("node").alias("body"), "root"), "body", "left")
+    smallest = tied.where("root is not null").groupBy("root").agg(F.min("least").alias("stays"))
+    linked = tied.join(smallest, "root", "left").where("root is not null or most > least").select(F.col("body").alias("gone_body"), F.coalesce("stays", "least").alias("stays"))
+    rows = docs.withColumn("near_body", F.xxhash64(text_of(text_column)))
+    gone = (rows.near_body == linked.gone_body) & (rows[id_column].cast("long") > linked.stays)
+    return rows.join(linked, gone, "left_anti").drop("near_body")

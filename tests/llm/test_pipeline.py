@@ -10,7 +10,7 @@ import corpus_pipeline
 from docketspark.llm import langid, pii
 
 from .test_rows import plain_base
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,8 +34,8 @@ def test_run_equals_the_plain_pipeline(spark):
         if i in good:
             last[t] = max(i, last.get(t, i))
     unique = [(i, t) for t, i in last.items()]
-    component = {i: c for i, _, c in plain_components([(i, plain_fingerprint(t, 5)) for i, t in unique])}
-    left = [(i, t) for i, t in unique if component[i] == i]
+    stay = plain_similar(unique)
+    left = [(i, t) for i, t in unique if i in stay]
     out = {}
     for r in corpus_pipeline.run(spark, SMALL).collect():
         out.setdefault(r.doc_id, []).append((r.start, r.ids))

@@ -140,3 +140,50 @@ def test_near_equals_brute_force(spark):
     got = {(r.query_fp, r.fp, r.distance) for r in simhash.near(df, df).collect()}
     u = (1 << 64) - 1
     assert got == {(a, b, ((a ^ b) & u).bit_count()) for a in signed for b in signed if ((a ^ b) & u).bit_count() <= 3}
+
+
+def plain_similar(rows, k=5, least=0.8):
+    """The rows that stay when all pairs are compared."""
+    sets = [bktree.shingle_set(t or "", k) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bktree.alike(sets[i], sets[j], least):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            first[find(i)] = min(d, first.get(find(i), d))
+    return {d for i, (d, _) in enumerate(rows) if d is None or d == first[find(i)]}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_similar(rows)
+    got = {r.doc_id for r in bktree.drop_near_duplicates(docs).collect()}
+    assert want <= got  # nothing goes that has no like
+    assert len(rows) - len(got) >= 0.95 * (len(rows) - len(want))
+
+
+def test_similar_odd_rows(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "A B"), (5, "a c"), (None, "a b"), (None, "z"), (6, "x " * 30_000), (7, "x " * 29_000)]
+    for i in range(30):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(300)] = f"new{rng.random()}"
+        rows.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, body int, shards int")
+    out = bktree.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert {r.doc_id for r in out.collect()} == plain_similar(rows)
+    assert bktree.drop_near_duplicates(df.limit(0)).count() == 0
