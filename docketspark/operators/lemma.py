@@ -100,6 +100,35 @@ def search(index: DataFrame, found: DataFrame, lemmas: DataFrame, query: Query,
     return out.withColumn("score", score(query)).drop(*flags.values())
 
 
+def search_or_plain(index: DataFrame, artefact: tuple[DataFrame, DataFrame] | None, query: Query, key: Sequence[str] = KEY) -> DataFrame:
+    """Search by lemma where there is an index, else by text."""
+    from .search import hits
+
+    return hits(index, query) if artefact is None else search(index, *artefact, query, key)
+
+
+def highlights(rows: DataFrame, found: DataFrame, lemmas: DataFrame, query: Query, text: str = "text", key: Sequence[str] = KEY) -> DataFrame:
+    """key, start, end of the words that a quoted query's lemmas match in a row.
+
+    Word spans come from the text as written, places from the index; both count the same tokens, so they join on the place."""
+    from .search import word_spans
+
+    out = None
+    for t in query.texts:
+        words = words_of(t.raw)
+        if not t.quoted or not words:
+            continue
+        starts = [of_token(found, lemmas, w).select(*key, (F.col("pos") - k).alias("start_pos")) for k, w in enumerate(words)]
+        at = reduce(lambda a, b: a.join(b, [*key, "start_pos"]), starts).distinct()
+        places = at.select(*key, F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + len(words) - 1)).alias("pos"))
+        out = places if out is None else out.union(places)
+    if out is None:
+        return rows.select(*key, F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+    spans = word_spans(rows, text, list(key))
+    numbered = spans.withColumn("pos", (F.row_number().over(Window.partitionBy(*key).orderBy("start")) - 1).cast("int"))
+    return numbered.join(out.distinct(), [*key, "pos"]).select(*key, "start", "end")
+
+
 def shards(terms: DataFrame, term: str = "term", size: int = dims.SHARD_TERMS) -> DataFrame:
     """shard, from, to, n: distinct sorted terms in runs of a fixed number.
 

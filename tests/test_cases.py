@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docketspark.operators import lemma, normalize, search
+from docketspark.operators import lemma, normalize, records, search
 from docketspark.operators.query import SearchRequest
+from docketspark.sources import artefacts
 from docketspark.sources import cases as sources
 from docketspark.sources import sinks
 from docketspark.streaming import ingest
@@ -133,3 +134,63 @@ def test_streaming_ingest(spark, raw):
     q = ingest.ingest(spark, f"{raw}/in", f"{raw}/stream", f"{raw}/ck")
     q.awaitTermination()
     assert spark.read.parquet(f"{raw}/stream").count() == 2
+
+
+def test_repaired_cases(spark, raw):
+    full = sinks.stamped(normalize.nonempty(normalize.cases(sources.load_raw(spark, f"{raw}/lines.jsonl")))[0], "h")
+    once = records.sanitized(full)
+    drop = "dataset_generated_at"  # the clock
+    assert records.sanitized(once).drop(drop).collect() == once.drop(drop).collect()
+    r = once.first()
+    assert (r.year, r.bench_size_ipo_key, len(r.paragraphs)) == (2019, "trojosobowa", 3)
+    bare = full.withColumns({"year": F.lit(None).cast("int"), "decision_date_iso": F.lit(None).cast("string"), "bench_size_ipo_key": F.lit("")})
+    assert records.sanitized(bare).first().year == 2019
+    early = full.withColumn("paragraphs", F.transform("paragraphs", lambda p: p.withField("section_key", F.lit("inne")).withField("section_label", F.lit("Inne"))))
+    p = records.sanitized(early).first().paragraphs[0]
+    assert (p.section_key, p.section_label) == ("tenor", "Inne")
+    assert full.select(records.is_normalized(F.col("paragraphs"))).first()[0]
+    figures = records.key_figures(full).first()
+    assert (figures.cases, figures.paragraphs) == (1, 3)
+
+
+def test_citations_and_exports(spark):
+    row = ("d", "K 1/20 **", "Wyrok", "2019-09-03", "x", [("OTK ZU A/2016, poz. 3.",)], "p1", 4, None, "tenor", "Tenor", "text", 1.45, 0, None)
+    df = spark.createDataFrame([row], "document_id string, case_signature string, decision_type string, decision_date_iso string, decision_date_raw string, publication_entries array<struct<text:string>>, paragraph_id string, paragraph_index int, paragraph_number string, section_key string, section_label string, text string, score double, place int, source_url string")
+    assert df.select(records.paragraph_citation()).first()[0] == "wyrok TK z dnia 3 września 2019 r., K 1/20, OTK ZU 2016, nr A, poz. 3, Tenor, § 4"
+    stamp = {"query": "q", "filters": {}, "digest": "h", "generated_at": "now"}
+    assert len(records.search_export(df, **stamp).columns) == 18 and len(records.quote_export(df, df, **stamp).columns) == 20
+    assert records.quote_export(df, df, **stamp).count() == 1
+    assert df.withColumn("publication_entries", F.array().cast("array<struct<text:string>>")).withColumn("decision_date_iso", F.lit(None).cast("string")).select(records.citation()).first()[0] == "wyrok TK z dnia x r., K 1/20"
+
+
+def test_metrics(spark):
+    acts = "array(named_struct('act','A','items',array('i')),named_struct('act','B','items',array()),named_struct('act','C','items',array()),named_struct('act','D','items',array()))"
+    df = spark.sql(f"select named_struct('wzorce', named_struct('present', true, 'text', 'Tęxt', 'items', array('j'), 'acts', {acts})) case_metric, map('Wzorce', 'meta') metadata")
+    r = df.select(records.metric("wzorce", "Wzorce").alias("m"), records.standard().alias("s")).first()
+    assert (r.m.preview, r.s) == ("A; B; C (+1)", "text j a i b c d")
+    none = spark.sql(f"select named_struct('wzorce', named_struct('present', false, 'text', '', 'items', array('j'), 'acts', {acts})) case_metric, map('Wzorce', 'Meta') metadata")
+    assert none.select(records.standard()).first()[0] == "meta"
+
+
+def test_artefacts(spark, tmp_path):
+    sets = artefacts.Datasets({"full": str(tmp_path / "full")})
+    row = {"document_id": "1", "target_document_id": "2", "case_signature": "K", "dataset_hash": "h", "schema_version": "v1"}
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "similar").write_text(json.dumps(row) + "\n" + json.dumps(row | {"target_document_id": ""}) + "\n")
+    get = lambda h, v: artefacts.first_fitting(spark, sets.candidates("full", "similar"), artefacts.SIMILAR, h, v)
+    rows, why = get("h", ["v1"])
+    assert why == "" and [(r.target_document_id, r.score, r.components.lexical) for r in artefacts.similar(rows).collect()] == [("2", 0.0, 0.0)]
+    assert "another dataset" in get("x", ["v1"])[1] and "version" in get("h", ["v2"])[1] and sets.candidates("mine", "similar") == []
+    with pytest.raises(KeyError):
+        sets.path("mine")
+
+
+def test_lemma_highlights(spark):
+    from docketspark.operators.query import parse
+
+    df = spark.createDataFrame([("d", "p", "Ala ma koty, ma psy")], "document_id string, paragraph_id string, text string")
+    seen = lemma.occurrences(df)
+    known = lemma.forms(seen, spark.createDataFrame([("koty", "kot")], "form string, lemma string"))
+    got = lemma.highlights(df, lemma.positions(seen, known), known, parse('"ma koty"')).collect()
+    assert sorted((r.start, r.end) for r in got) == [(4, 6), (7, 11)]
+    assert lemma.search_or_plain(df.withColumns({"section_key": F.lit("inne"), "text_legal": F.lower("text")}), None, parse("koty")).count() == 1
