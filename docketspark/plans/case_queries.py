@@ -105,7 +105,7 @@ def bar_shares(spark, sf):
     return stats.shares(stats.ranking(table(spark, sf, "documents"), "source"))
 
 
-@query("SELECT source, label, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, label) AS rank FROM (SELECT source, section_key AS label, count(*) AS n FROM lines GROUP BY 1, 2)) WHERE rank <= 3", LINES)
+@query("SELECT source, label, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, label) AS rank FROM (SELECT source, section_key AS label, count(*) AS n FROM lines GROUP BY 1, 2)) WHERE rank <= 3", LINES)
 def compare_top_sections(spark, sf):
     n = lines(spark, sf).groupBy("source", F.col("section_key").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return stats.top_of_each(n, "source", 3).select("source", "label", "n", "rank")
@@ -182,7 +182,7 @@ _COS = "c AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 4) AS v
 
 
 @query(
-    """SELECT source, target, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY value DESC, target) AS rank FROM
+    """SELECT source, target, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY value DESC, target) AS rank FROM
     (SELECT a AS source, b AS target, value FROM c UNION ALL SELECT b, a, value FROM c) WHERE value > 0) WHERE rank <= 5""",
     LINES, _W, _V, _COS,
 )
@@ -253,7 +253,7 @@ def _mixed(spark, sf):
     return found.unionByName(similarity.metadata_only(found, facts, "s_suppkey")), cited
 
 
-@query("SELECT source, target, score, rank FROM k WHERE rank <= 5", _MIX)
+@query("SELECT source, target, score, rank::INT AS rank FROM k WHERE rank <= 5", _MIX)
 def hybrid_topk(spark, sf):
     return similarity.top_k(_mixed(spark, sf)[0]).select("source", "target", "score", "rank")
 
@@ -361,7 +361,7 @@ def events_by_window(spark, sf):
     return ingest.counts_by_window(table(spark, sf, "events"), "ts", "event_type", "1 hour", "10 minutes")
 
 
-@query("SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+@query("SELECT o_orderkey, o_orderdate, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS place FROM orders")
 def chronology(spark, sf):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", place.alias("place"))

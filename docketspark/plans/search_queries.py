@@ -79,7 +79,7 @@ def search_page2(spark, sf):
     return search.page(groups, [F.col("top_score").desc(), F.col("signature"), F.col("doc_id")], 2)
 
 
-@query("SELECT doc_id, paragraph_id, score, hit_rank FROM (SELECT doc_id, paragraph_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, paragraph_id) AS hit_rank FROM hits) WHERE hit_rank <= 3", _HITS)
+@query("SELECT doc_id, paragraph_id, score, hit_rank::INT AS hit_rank FROM (SELECT doc_id, paragraph_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, paragraph_id) AS hit_rank FROM hits) WHERE hit_rank <= 3", _HITS)
 def search_top3_hits(spark, sf):
     found = search.grouped(search.hits(index(spark, sf), parse("tion OR der")), "doc_id", ("pos", "paragraph_id"))
     return found.where(F.col("hit_rank") <= dims.HITS_PER_CASE).select("doc_id", "paragraph_id", "score", "hit_rank")
@@ -137,8 +137,8 @@ def _turns(spark, sf):
 
 
 @query(
-    """SELECT conv_id, turn, last_value(k IGNORE NULLS) OVER b AS prev_key, n - last_value(CASE WHEN k IS NOT NULL THEN n END IGNORE NULLS) OVER b AS prev_distance,
-        first_value(k IGNORE NULLS) OVER a AS next_key, first_value(CASE WHEN k IS NOT NULL THEN n END IGNORE NULLS) OVER a - n AS next_distance
+    """SELECT conv_id, turn, last_value(k IGNORE NULLS) OVER b AS prev_key, (n - last_value(CASE WHEN k IS NOT NULL THEN n END IGNORE NULLS) OVER b)::INT AS prev_distance,
+        first_value(k IGNORE NULLS) OVER a AS next_key, (first_value(CASE WHEN k IS NOT NULL THEN n END IGNORE NULLS) OVER a - n)::INT AS next_distance
         FROM (SELECT *, nullif(section_key, 'inne') AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM turns)
         WINDOW b AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)""",
     _TURNS,
