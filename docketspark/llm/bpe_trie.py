@@ -16,12 +16,14 @@ gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from .common import text_of
 from .vocab import BYTE_PATTERN, vocabulary
 
 #: Characters after which a batch is encoded; words that a worker remembers; pairs whose fit it remembers.
-BATCH_CHARS, WORDS, PAIRS = 4_000_000, 120_000, 400_000
+BATCH_CHARS, WORDS, PAIRS = 4_000_000, 300_000, 400_000
+#: Pieces between spaces that a worker remembers.
+PIECES = 300_000
 
 
 class TrieEncoder:
@@ -46,7 +50,8 @@ class TrieEncoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.right, self.left = cache(lambda t: self._edge(t, 1)), cache(lambda t: self._edge(t, 0))
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols that stand at a token's edge while it is built, each with the rank of the merge that takes it away."""
@@ -104,8 +109,8 @@ class TrieEncoder:
             yield tuple(reversed(ids))
             before = word
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of all words; what the worker remembers is bounded."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all words, as 32-bit integers; what the worker remembers is bounded."""
         known, new = {}, []
         for w in words:
             if (ids := self.words.get(w)) is None:
@@ -113,28 +118,69 @@ class TrieEncoder:
             else:
                 known[w] = ids
         new.sort(key=str.encode)
-        fresh = dict(zip(new, self.walk([w.encode() for w in new])))
+        fresh = {w: array("i", ids).tobytes() for w, ids in zip(new, self.walk(map(str.encode, new)))}
         if len(self.words) + len(fresh) > WORDS:
             self.words = dict(known)
         if len(self.words) + len(fresh) <= 2 * WORDS:
             self.words.update(fresh)
         return known | fresh
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        parts = []
-        for text in texts:
-            if self.cut is not None and any(a in text for a in self.added):
-                words = []
-                for piece in self.cut.split(text):
-                    words += [piece] if piece in self.added else self.split.findall(piece)
-            else:
-                words = self.split.findall(text)
-            parts.append(words)
+    def pretokens(self, text: str) -> list[str]:
+        """The words of a text in order; strings of added tokens are words of their own."""
+        if self.cut is None or not any(a in text for a in self.added):
+            return self.split.findall(text)
+        return [w for piece in self.cut.split(text) for w in ([piece] if piece in self.added else self.split.findall(piece))]
+
+    def encode_words(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of lists of words, as 32-bit integers."""
         ids = self.learn(set(chain.from_iterable(parts)) - self.added.keys())
-        ids |= {a: (i,) for a, i in self.added.items()}
+        ids |= {a: array("i", [i]).tobytes() for a, i in self.added.items()}
         get = ids.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), np.int32) for words in parts]
+        return [b"".join(map(get, words)) for words in parts]
+
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text.
+
+        A space before anything but white space always begins a word, so texts are cut there and each distinct piece is split
+        into words once. Texts where a space is followed by white space, and those with added tokens, are split as a whole."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.values.dictionary_encode()
+        codes, pieces, offsets = coded.indices.to_numpy(), coded.dictionary.to_pylist(), parts.offsets.to_numpy().astype(np.int64)
+        firsts = np.zeros(len(codes), bool)
+        firsts[offsets[:-1]] = True
+        special = np.zeros(len(pieces), bool)
+        if any(a in "\n".join(pieces) for a in self.added):
+            special[:] = [any(a in p for a in self.added) for p in pieces]
+        odd = special | np.fromiter((p[:1].isspace() or not p for p in pieces), bool, len(pieces))
+        bad = special[codes] | odd[codes] & ~firsts
+        slow = set((np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1).tolist())
+
+        known = self.pieces
+        found = list(map(known.get, pieces))
+        new = [i for i, f in enumerate(found) if f is None and not odd[i]]
+        find = self.split.findall
+        whole = sorted(slow)
+        heads = [i for i in range(len(texts)) if i not in slow]
+        work = [find(" " + pieces[i]) for i in new] + [find(pieces[codes[offsets[i]]]) for i in heads] + [self.pretokens(texts[i].as_py()) for i in whole]
+        ids = self.encode_words(work)
+        for i, x in zip(new, ids):
+            found[i] = x
+        if len(known) + len(new) > PIECES:
+            self.pieces = {p: f for p, f in zip(pieces, found) if f is not None}
+        else:
+            known.update((pieces[i], found[i]) for i in new)
+        found = [f or b"" for f in found]
+        flat = np.frombuffer(b"".join(found), np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = np.where(firsts, 0, sizes[codes])
+        ends = np.cumsum(n)
+        rest = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)]
+        cuts = np.concatenate([[0], ends])[offsets].tolist()
+        read = lambda x: np.frombuffer(x, np.int32)
+        out = dict(zip([*heads, *whole], map(read, ids[len(new) :])))
+        return [out[i] if i in slow else np.concatenate([out[i], rest[cuts[i] : cuts[i + 1]]]) for i in range(len(texts))]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -152,23 +198,18 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_encoder(path)
 
-        def done(keys: list, texts: list[str]) -> pa.RecordBatch:
+        def done(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             ids = trie.encode_batch(texts)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             decoded = [trie.decode(x.tolist()) for x in ids]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())), pa.array(decoded, pa.string())], schema=schema)
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())), pa.array(decoded, pa.string())], schema=schema)
 
-        keys, texts, size = [], [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                keys.append(doc_id)
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size >= BATCH_CHARS:
-                    yield done(keys, texts)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield done(keys, texts)
+            ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                part = b.slice(start, stop - start)
+                yield done(part.column(0), part.column(1))
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
