@@ -60,3 +60,39 @@ def test_odd_rows_go_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert {4, None} <= {r.doc_id for r in docs.collect()}
+
+
+def test_empty_documents_go_through(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        assert docs.count() == 0
+
+
+def test_planted_copies_go_and_clean_documents_stay(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("aeiou" if i % 2 else "bcdfgklmnprst") for i in range(rng.randint(3, 9))) for _ in range(3000)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage = " ".join(make(60))
+    rows, copies = [], set()
+    for i in range(60):
+        words = make(400)
+        rows.append((10 * i, " ".join(words)))
+        if i % 3 == 0:  # a passage that many share makes no near copy
+            rows.append((10 * i + 1, " ".join(make(400)) + " " + passage))
+        if i % 4 == 0:
+            for k in range(2, 5):
+                near = list(words)
+                for _ in range(3):
+                    near[rng.randrange(400)] = "changed"
+                rows.append((10 * i + k, " ".join(near)))
+                copies.add(10 * i + k)
+            rows.append((10 * i + 5, rows[-1][1]))
+            copies.add(10 * i + 5)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, SMALL)
+    left = {r.doc_id for r in docs.collect()}
+    assert left == {i for i, _ in rows} - copies

@@ -44,8 +44,13 @@ def test_every_token_is_its_own_encoding():
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_fast_encoders_equal_the_library(spark, path):
-    for _, t in docs(spark)[0]:
-        assert encoder(path).encode(t or "").tolist() == reference(path, t)
+    texts = [t or "" for _, t in docs(spark)[0]] + ["a  b", " \na", "a\n \nb", "a \x1c b", "\xa0 a \xa0b", "ΣΑΣ <|startoftext|>x"]
+    want = [reference(path, t) for t in texts]
+    assert [encoder(path).encode(t).tolist() for t in texts] == want
+    assert [x.tolist() for x in encoder(path).encode_batch(texts)] == want
+    if path == BYTE:
+        assert [x.tolist() for x in bpe_trie.TrieEncoder(path).encode_batch(texts)] == want
+    assert encoder(path).encode_batch([]) == []
 
 
 def test_packing_keeps_every_id_once(spark):
