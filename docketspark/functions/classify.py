@@ -19,41 +19,50 @@ def _has(norm: Column, *needles: str) -> Column:
     return reduce(lambda a, b: a | b, [norm.contains(n) for n in needles])
 
 
-def section_of_folded(norm: Column) -> Column:
-    """The section that a folded heading names; the first rule that fits decides."""
+def section_of_folded(norm: Column, reader: bool = False) -> Column:
+    """The section that a folded heading names; the first rule that fits decides. The reader's own rules test dissents after
+    the orders and know fewer words."""
     reasoning = (
         F.when(_has(norm, "historycz"), "uzasadnienie_historyczne").when(_has(norm, "rozpraw", "posiedzen"), "uzasadnienie_postepowanie")
         .when(_has(norm, "prawne"), "uzasadnienie_prawne").otherwise("uzasadnienie_ogolne")
     )
-    return (
-        F.when(_has(norm, "komparycja"), "komparycja")
-        .when(_has(norm, "tenor"), "tenor")
-        .when(_has(norm, "zdanie odrebne"), "zdanie_odrebne")
-        .when(_has(norm, "orzeka"), "orzeka")
-        .when(_has(norm, "postanawia", "umorzyc postepowanie"), "postanawia")
-        .when(_has(norm, "sentencja"), "sentencja_inna")
-        .when(_has(norm, "uzasadnienie"), reasoning)
-        .when(_has(norm, "czesc history"), "uzasadnienie_historyczne")
-        .when(_has(norm, "czesc na rozpraw", "czesc przed rozpraw", "posiedzen"), "uzasadnienie_postepowanie")
-        .otherwise(dims.UNKNOWN)
-    )
-
-
-def section_of(c: Column | str) -> Column:
-    return section_of_folded(fold_build(c))
+    rules = {
+        "komparycja": (_has(norm, "komparycja"), "komparycja"),
+        "tenor": (_has(norm, "tenor"), "tenor"),
+        "dissent": (_has(norm, "zdanie odrebne"), "zdanie_odrebne"),
+        "rule": (_has(norm, "orzeka"), "orzeka"),
+        "order": (_has(norm, "postanawia", "umorzyc postepowanie"), "postanawia"),
+        "sentence": (_has(norm, "sentencja"), "sentencja_inna"),
+        "reasoning": (_has(norm, "uzasadnienie"), reasoning),
+        "history": (_has(norm, "czesc history"), "uzasadnienie_historyczne"),
+        "procedure": (_has(norm, "czesc na rozpraw", "czesc przed rozpraw", "posiedzen"), "uzasadnienie_postepowanie"),
+    }
+    order = ("komparycja", "tenor", "rule", "order", "dissent", "reasoning") if reader else tuple(rules)
+    out = F.lit(dims.UNKNOWN)
+    for name in reversed(order):
+        test, key = rules[name]
+        out = F.when(test, key).otherwise(out)
+    return out
+
+
+def section_of(c: Column | str, reader: bool = False) -> Column:
+    from .text import fold_search
+
+    return section_of_folded(fold_search(c) if reader else fold_build(c), reader)
 
 
 def label_of(key: Column) -> Column:
     return one_of(key, dims.SECTIONS)
 
 
-def roman_map(toc: Column) -> Column:
-    """Roman numeral -> section from a table of contents (array of structs with text). The last entry of a numeral wins."""
+def roman_map(toc: Column, reader: bool = False) -> Column:
+    """Roman numeral -> section from a table of contents (array of structs with text). The last entry of a numeral wins. A whole
+    title is classified first, then without its numeral; by the reader's rules without it only."""
 
     def entry(t: Column) -> Column:
         text = normalize_space(t["text"])
-        whole = section_of(text)
-        rest = section_of(F.regexp_replace(text, r"(?i)^([IVXLCDM]+)\s*[-–:]?\s*", ""))
+        rest = section_of(F.regexp_replace(text, r"(?i)^([IVXLCDM]+)\s*[-–:]?\s*", ""), reader)
+        whole = F.lit(dims.UNKNOWN) if reader else section_of(text)
         return F.struct(roman(text).alias("key"), F.when(whole != dims.UNKNOWN, whole).otherwise(rest).alias("value"))
 
     known = F.filter(F.transform(F.coalesce(toc, F.array()), entry), lambda e: e["key"].isNotNull() & (e["value"] != dims.UNKNOWN))
@@ -61,12 +70,13 @@ def roman_map(toc: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def resolve_section(raw: Column, numerals: Column) -> Column:
+def resolve_section(raw: Column, numerals: Column, reader: bool = False) -> Column:
     """(key, confidence) of a paragraph's own heading: its words, a Roman prefix, a bare numeral, or unknown."""
-    direct, number = section_of(raw), F.try_element_at(numerals, roman(raw))
-    bare = F.when(raw.rlike(r"(?i)^[IVXLCDM]+$"), F.try_element_at(numerals, F.upper(raw)))
+    direct, number = section_of(raw, reader), F.try_element_at(numerals, roman(raw))
+    bare = F.lit(None).cast("string") if reader else F.when(raw.rlike(r"(?i)^[IVXLCDM]+$"), F.try_element_at(numerals, F.upper(raw)))
     key = F.when(direct != dims.UNKNOWN, direct).otherwise(F.coalesce(number, bare, F.lit(dims.UNKNOWN)))
-    sure = F.when(direct != dims.UNKNOWN, 0.98).when(number.isNotNull(), 0.90).when(bare.isNotNull(), 0.88).otherwise(0.35)
+    own, prefixed = (0.95, 0.88) if reader else (0.98, 0.90)
+    sure = F.when(direct != dims.UNKNOWN, own).when(number.isNotNull(), prefixed).when(bare.isNotNull(), 0.88).otherwise(0.35)
     return F.struct(key.alias("key"), sure.alias("confidence"))
 
 

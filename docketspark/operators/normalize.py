@@ -27,25 +27,28 @@ PARAGRAPHS = "array<struct<" + ", ".join(":".join(f.split()) for f in PARAGRAPH.
 VERSION = "docket-norm-1"
 
 
-def cases(raw: DataFrame, overrides: DataFrame | None = None, forced: bool = False) -> DataFrame:
+def cases(raw: DataFrame, overrides: DataFrame | None = None, forced: bool = False, reader: bool = False) -> DataFrame:
     """Normalized cases. overrides: document_id, bench (a known key wins over the count of judges). forced: leave no paragraph
-    unknown."""
+    unknown. reader: the profile for raw files that a reader opens: its own heading rules and confidences, no reclassification,
+    a year from any four digits of the date."""
     empty = lambda c: F.nullif(normalize_space(c), F.lit(""))
     document = F.coalesce(empty("ids.document_id"), F.lit("doc"))
     names = F.filter(F.transform(F.coalesce("judges", F.array()), lambda j: normalize_space(j["name"])), lambda n: n != "")
     toc = F.filter(F.transform(F.coalesce("table_of_contents", F.array()), lambda t: F.struct(normalize_space(t["text"]).alias("text"), t["href"].alias("href"))), lambda t: t["text"] != "")
     date = parse_date("decision_date")
+    written = normalize_space("decision_date")
+    year = F.regexp_extract(written, r"((?:19|20)\d{2})", 1).try_cast("int") if reader else date["year"]
     out = raw.select(
         empty("ids.case_id").alias("case_id"), empty("ids.document_id").alias("document_id"), normalize_space("case_signature").alias("case_signature"), normalize_space("decision_type").alias("decision_type"),
-        classify.decision_type("decision_type").alias("type"), normalize_space("decision_date").alias("decision_date_raw"), date["iso"].alias("decision_date_iso"), date["year"].alias("year"),
+        classify.decision_type("decision_type").alias("type"), normalize_space("decision_date").alias("decision_date_raw"), date["iso"].alias("decision_date_iso"), year.alias("year"),
         empty("topic").alias("topic"), empty("proceeding_intro").alias("proceeding_intro"), canonical_url("source_url", F.col("ids.case_id"), F.col("ids.document_id")).alias("source_url"),
         F.col("download.href").alias("download_url"), "publication_entries", "metadata", "judges", names.alias("judge_names"), F.size(names).alias("judge_count"),
-        F.transform(toc, lambda t: t.withField("key", classify.section_of(t["text"]))).alias("table_of_contents"), classify.roman_map(toc).alias("numerals"), F.coalesce("paragraphs", F.array()).alias("p"), document.alias("prefix"),
+        F.transform(toc, lambda t: t.withField("key", classify.section_of(t["text"], reader))).alias("table_of_contents"), classify.roman_map(toc, reader).alias("numerals"), F.coalesce("paragraphs", F.array()).alias("p"), document.alias("prefix"),
     )
 
     def one(p: Column, i: Column) -> Column:
         raw_section, text = normalize_space(p["section"]), normalize_space(p["text"])
-        found = classify.resolve_section(raw_section, F.col("numerals"))
+        found = classify.resolve_section(raw_section, F.col("numerals"), reader)
         tenor = (found["key"] == dims.UNKNOWN) & classify.looks_like_tenor(text, p["paragraph_number"], i + 1)
         key, sure = F.when(tenor, "tenor").otherwise(found["key"]), F.when(tenor, 0.72).otherwise(found["confidence"])
         index = F.when(F.coalesce(p["paragraph_index"], F.lit(0)) == 0, i + 1).otherwise(p["paragraph_index"])
@@ -53,7 +56,7 @@ def cases(raw: DataFrame, overrides: DataFrame | None = None, forced: bool = Fal
         return F.struct(*[v.alias(n) for v, n in zip(values, FIELDS)])
 
     out = out.withColumn("paragraphs", F.filter(F.transform("p", one), lambda p: p["text"] != "").cast(PARAGRAPHS))
-    out = out.withColumn("paragraphs", walk(F.col("paragraphs"), F.col("decision_type"), F.lit(forced)))
+    out = out.withColumn("paragraphs", walk(F.col("paragraphs"), F.col("decision_type"), F.lit(forced), F.lit(not reader)))
     out = with_bench(out, overrides)
     counts = F.transform(F.array(*map(F.lit, dims.SECTIONS)), lambda k: F.struct(k.alias("key"), F.size(F.filter("paragraphs", lambda p: p["section_key"] == k)).alias("value")))
     out = out.withColumns({"paragraph_count": F.size("paragraphs"), "section_counts": F.map_from_entries(F.filter(counts, lambda c: c["value"] > 0)), "normalization_version": F.lit(VERSION)})
@@ -208,21 +211,22 @@ class Walk:
             }
 
 
-def walk_paragraphs(rows: list[dict], decision_type: str | None, forced: bool = False) -> list[dict]:
+def walk_paragraphs(rows: list[dict], decision_type: str | None, forced: bool = False, reclassify: bool = True) -> list[dict]:
     w = Walk(merge_dissent(rows), decision_type)
-    w.apply(False)
+    if reclassify:
+        w.apply(False)
     if forced:
         w.apply(True)
     return w.rows
 
 
-def _walk(paragraphs: pd.Series, decision_type: pd.Series, forced: pd.Series) -> pd.Series:
-    return pd.Series([walk_paragraphs([dict(p) for p in ps], t, bool(f)) for ps, t, f in zip(paragraphs, decision_type, forced)])
+def _walk(paragraphs: pd.Series, decision_type: pd.Series, forced: pd.Series, reclassify: pd.Series) -> pd.Series:
+    return pd.Series([walk_paragraphs([dict(p) for p in ps], t, bool(f), bool(r)) for ps, t, f, r in zip(paragraphs, decision_type, forced, reclassify)])
 
 
-def walk(paragraphs: Column, decision_type: Column, forced: Column) -> Column:
+def walk(paragraphs: Column, decision_type: Column, forced: Column, reclassify: Column | None = None) -> Column:
     # Marked so that the optimizer keeps it a column of its own: it can't run inside a lambda that reads its result.
-    return F.pandas_udf(_walk, PARAGRAPHS).asNondeterministic()(paragraphs, decision_type, forced)
+    return F.pandas_udf(_walk, PARAGRAPHS).asNondeterministic()(paragraphs, decision_type, forced, F.lit(True) if reclassify is None else reclassify)
 
 
 # --- the same looks as windows, on a long table ---

@@ -87,6 +87,12 @@ def test_normalized_cases(spark, raw):
     assert (full.count(), empty.count()) == (1, 1)
 
 
+def test_reader_profile(spark, raw):
+    out = {r.document_id: r for r in normalize.cases(sources.load_raw(spark, f"{raw}/lines.jsonl"), reader=True).collect()}
+    assert [(p.section_key, p.section_confidence) for p in out["9"].paragraphs] == [("tenor", 0.72), ("uzasadnienie_historyczne", 0.88), ("orzeka", 0.95)]
+    assert out["10"].year == 2020 and out["10"].decision_date_iso is None
+
+
 def test_index_search_and_lemma_files(spark, raw):
     cases = normalize.nonempty(normalize.cases(sources.load_raw(spark, f"{raw}/lines.jsonl")))[0]
     index = search.paragraph_index(cases)
