@@ -15,7 +15,7 @@ The file format is a Parquet table; each row is a shard of consecutive documents
 
 Compression follows Re-Pair: the most frequent pairs of adjacent symbols are replaced by new nonterminals, again and again.
 Each round counts all pairs, takes every pair that is frequent enough at once, the most frequent first where two overlap,
-and ends when a round gains nothing. A document's ids are found by summing the symbols' expansion lengths up to its start and
+and the last round is one that gains next to nothing. A document's ids are found by summing the symbols' expansion lengths up to its start and
 expanding only the symbols that it touches.
 
 Null texts count as empty; each document has the end id. Rows with equal ids are kept, ordered by text. An empty table gives
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from .common import bucket_of, partitions, range_bounds, text_of
 from .vocab import encoder, vocabulary
 
-ROUNDS = 3
+ROUNDS = 12  # at most; a round that shrinks the text by less than GAIN is the last
+GAIN = 1 / 64
 LEAST = 8  # occurrences that make a rule worth its place
 SHARD = 1 << 20  # ids after which a shard is closed
-BATCH_CHARS = 4_000_000  # characters that are encoded at once
+BATCH_CHARS = 8_000_000  # bytes of text that are encoded at once
 TABLE_BITS = 18
 
 FIELDS = [("bucket", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_tokens", pa.binary()), ("first", pa.int32()), ("width", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())]
@@ -94,6 +95,7 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
     for _ in range(rounds):
         if len(s) < 2 * least or made >= room:
             break
+        before = len(s)
         pair = (s[:-1] << 32) | s[1:]
         place = ((pair * -7046029254386353131) >> 24) & mask
         holder = np.zeros(mask + 1, np.int64)
@@ -132,6 +134,8 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         rules.append(new)
         lengths = np.concatenate([lengths, parts.sum(1)])
         made += len(new)
+        if before - len(s) < GAIN * before:
+            break
     return Grammar(first, np.concatenate(rules), lengths, s.astype(np.uint32))
 
 
