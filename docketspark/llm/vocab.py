@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import cache, cached_property
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +76,7 @@ class ByteEncoder:
 
 
 #: Chunks between white space that a worker remembers.
-CHUNKS = 400_000
+CHUNKS = 500_000
 
 #: Ends a word on its way to tiktoken; a text that holds it goes through the tokenizers library.
 END = "\x01"
@@ -87,8 +87,10 @@ class WordEncoder:
     merges of a byte with the end byte come before all others, which gives the same symbols to start from."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         v = vocabulary(path)
-        self.path, end = path, END.encode()
+        end = END.encode()
         ordered: list[tuple[bytes, int]] = []
         singles = {t: i for t, i in v.ids.items() if len(t.removesuffix(v.suffix)) == 1}
         for t, i in singles.items():
@@ -114,16 +116,9 @@ class WordEncoder:
         self.encoding = tiktoken.Encoding("word", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(WORD_PATTERN)
         self.added = list(v.added)
-
-    @cached_property
-    def exact(self):
-        """The library's own tokenizer, for the few texts that need it."""
-        from tokenizers import Tokenizer
-
-        out = Tokenizer.from_file(self.path)
-        out.no_truncation()
-        out.no_padding()
-        return out
+        self.exact = Tokenizer.from_file(path)
+        self.exact.no_truncation()
+        self.exact.no_padding()
 
     def encode(self, text: str) -> np.ndarray:
         if END in text or any(a in text for a in self.added):
