@@ -12,8 +12,8 @@ connected components over those links (large-star and small-star steps, written
 No list of links, components or fingerprints goes to the driver.
 
 near_duplicates() links by fingerprints alone, as the query's contract has it. drop_near_duplicates() is for corpora: texts
-are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). Its shards are
-named by the smallest shingle hashes, its trees are searched with a wide radius, and the texts themselves decide.
+are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). It uses no trees: all
+pairs that share a shingle of both texts' prefixes are compared by their sets, which misses no pair.
 
 Null texts count as empty; texts without words have the fingerprint 0 and are linked like any other. Repeated rows give
 repeated results. A row whose id is null is linked too but names no component (a component of such rows only is null).
@@ -195,11 +195,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 
 # --- near duplicates by the texts' own similarity ---
 
-#: Permutations of a document's shingles; each one's smallest names a shard.
-PERMUTATIONS = 4
-#: Bytes of text after which whole shards are searched.
-CHUNK_BYTES = 48 << 20
-
 
 def shingle_set(text: str, k: int) -> frozenset[str]:
     """The distinct k-word shingles of a text as fingerprints() has them."""
@@ -218,87 +213,71 @@ def alike(a: frozenset[str], b: frozenset[str], least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def verified_links(key: np.ndarray, fp: np.ndarray, texts: list[str], shingle: int, least: float, radius: int) -> list[tuple[int, int]]:
-    """Index pairs that connect, within each shard, all texts that chains of pairs within the radius and alike connect.
+def shingle_hashes(docs: DataFrame, shingle: int, text_column: str) -> DataFrame:
+    """body (xxhash64 of the text), hs (the hashes of its distinct shingles; none for a text without words). One row per row."""
+    text = text_of(text_column)
+    rows = docs.select(F.xxhash64(text).alias("body"), words_of(ascii_lower(text)).alias("words"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))
+    hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(F.col("words"), i, shingle))))
+    return rows.select("body", F.when(F.size("words") > 0, hashes).otherwise(F.array().cast("array<long>")).alias("hs"))
 
-    A pair is compared by its texts unless the two are connected already, so a group of n copies takes about n comparisons."""
-    forest, out = Forest(key, fp), []
-    parent = list(range(len(fp)))
-    sets: dict[int, frozenset[str]] = {}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def prefixes(sizes: np.ndarray, hs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, hash): of each set (its size, its hashes one set after another) the first n - ceil(least * n) + 1 in one order
+    of all hashes.
 
-    def of(i: int) -> frozenset[str]:
-        if i not in sets:
-            sets[i] = shingle_set(texts[i], shingle)
-        return sets[i]
+    Sets whose Jaccard similarity reaches `least` share at least ceil(least * n) of either's n hashes, so the first shared one
+    lies in both prefixes: no such pair is missed. A set of none has the prefix 0, so that such sets meet."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    hs = hs[np.lexsort((hs, of))]
+    length = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    first = np.arange(len(hs)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(length, sizes)
+    none = np.flatnonzero(sizes == 0)
+    return np.concatenate([of[first], none]), np.concatenate([hs[first], np.zeros(len(none), np.int64)])
 
-    for start in range(0, len(fp), QUERIES):
-        for a, b in forest.links(np.arange(start, min(start + QUERIES, len(fp))), radius):
-            once = a > b
-            for i, j in zip(a[once].tolist(), b[once].tolist()):
-                x, y = root(i), root(j)
-                if x != y and alike(of(i), of(j), least):
-                    parent[max(x, y)] = min(x, y)
-                    out.append((i, j))
-    return out
 
+def postings(hashes: DataFrame, least: float) -> DataFrame:
+    """h, body, n: the prefix of each text's set of n shingles."""
+    schema = pa.schema([("h", pa.int64()), ("body", pa.int64()), ("n", pa.int64())])
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a, b: links between text hashes; body, least, most: each text hash with its smallest and largest doc_id).
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            of, h = prefixes(sizes, batch.column(1).flatten().to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(batch.column(0).to_numpy()[of]), pa.array(sizes[of])], schema=schema)
 
-    For each of a few permutations a document goes to the shard that its smallest shingle hash names: texts that share most
-    shingles share a shard almost surely, others hardly ever. A shard's BK-tree over the fingerprints gives the candidates,
-    and their texts decide. Only documents that have company in a shard send their texts there."""
-    shared_dir(docs.sparkSession)
-    text = text_of(text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), words_of(ascii_lower(text)).alias("words"))
-    last = F.greatest(F.size("words") - shingle, F.lit(0))
-    places = rows.select("doc_id", "body", "words", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(0), last))).alias("i"))
-    hashes = places.select("doc_id", "body", F.when(F.col("i").isNotNull(), F.xxhash64(shingle_at(F.col("words"), F.col("i"), shingle))).alias("h"))
-    smallest = [F.min(F.xxhash64("h", F.lit(p))).alias(f"s{p}") for p in range(PERMUTATIONS)]
-    sums = hashes.groupBy("body").agg(*lane_sums(F.col("h")), F.count("h").alias("total"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *smallest)
-    prints = sums.select("body", "least", "most", fingerprint(F.col("total")).alias("fp"), F.array(*[F.xxhash64(F.lit(p), f"s{p}") for p in range(PERMUTATIONS)]).alias("shards")).checkpoint()
-    members = prints.select("body", "fp", F.explode(F.array_distinct("shards")).alias("shard"))
-    company = members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
-    own = members.join(company, "shard").groupBy("body", "fp").agg(F.collect_list("shard").alias("shards"))
-    texts = docs.select(F.xxhash64(text).alias("body"), text.alias("text"))
-    sent = texts.join(own, "body").select(F.explode("shards").alias("shard"), "fp", "body", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return hashes.mapInArrow(work, "h long, body long, n long")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(t: pa.Table) -> pa.RecordBatch:
-            key, fp, body = (t.column(i).to_numpy() for i in range(3))
-            pairs = verified_links(key, fp.view(np.uint64), t.column(3).to_pylist(), shingle, similarity, radius)
-            a, b = (body[[p[i] for p in pairs]] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.nbytes >= CHUNK_BYTES:
-                key = held.column(0).to_numpy()
-                end = int(np.searchsorted(key, key[-1], "left"))  # the last shard may go on
-                if end:
-                    yield found(held.slice(0, end))
-                    held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield found(held)
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (body, hs) are alike. Each pair meets its two sets by joins, nothing else is gathered."""
+    left, right = sets.select(F.col("body").alias("a"), F.col("hs").alias("x")), sets.select(F.col("body").alias("b"), F.col("hs").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    n = partitions(docs.sparkSession)
-    dealt = sent.repartition(n, "shard").sortWithinPartitions("shard", "body")
-    return dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct(), prints.select("body", "least", "most")
 
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b: links between text hashes; body, least, most: each text hash with its smallest and largest doc_id).
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    All pairs of texts whose sets of shingles are alike are linked: candidates share a shingle of both prefixes, which is
+    complete (see prefixes), and their sets decide."""
+    shared_dir(docs.sparkSession)
+    text = text_of(text_column)
+    own = docs.groupBy(F.xxhash64(text).alias("body")).agg(F.min(F.col(id_column).cast("long")).alias("least"), F.max(F.col(id_column).cast("long")).alias("most"))
+    hashes = shingle_hashes(docs, shingle, text_column)
+    found = postings(hashes, similarity).checkpoint()
+    company = found.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("h")
+    met = found.join(company, "h").distinct().checkpoint()
+    sets = hashes.join(met.select("body").distinct(), "body", "left_semi").dropDuplicates(["body"]).checkpoint()
+    a, b = met.select("h", F.col("body").alias("a"), F.col("n").alias("na")), met.select("h", F.col("body").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    return verified(a.join(b, "h").where(near).select("a", "b").distinct(), sets, similarity), own
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the rows whose text is connected, over texts that are alike, to one of a smaller doc_id. Of equal texts
     with equal ids all stay or go together. Rows without an id stay."""
-    links_, own = similar_links(docs, shingle, similarity, radius, id_column, text_column)
+    links_, own = similar_links(docs, shingle, similarity, id_column, text_column)
     roots = components(links_)
     tied = own.join(roots.select(F.col("node").alias("body"), "root"), "body", "left")
     smallest = tied.where("root is not null").groupBy("root").agg(F.min("least").alias("stays"))

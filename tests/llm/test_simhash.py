@@ -187,3 +187,17 @@ def test_similar_odd_rows(spark):
     assert out.columns == df.columns
     assert {r.doc_id for r in out.collect()} == plain_similar(rows)
     assert bktree.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_every_similar_group_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(8)
+    for i in range(150):  # pairs just above the threshold: changed words apart, and one line again and again
+        w = [f"v{i}.{j}" for j in range(40)]
+        x = [*w[:36], *(f"x{i}.{j}" for j in range(rng.randint(2, 4)))]
+        rows += [(10**6 + 4 * i, " ".join(w)), (10**6 + 4 * i + 1, " ".join(x))]
+        line = w[:8] * 40
+        rows += [(10**6 + 4 * i + 2, " ".join([*w, *w[:8]])), (10**6 + 4 * i + 3, " ".join([*w, *line]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in bktree.drop_near_duplicates(df).collect()} == plain_similar(rows)
