@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_dir, text_of
@@ -195,6 +195,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 
 # --- near duplicates by the texts' own similarity ---
 
+#: Texts whose shingles are counted to put common ones last (this bounds work, not what is found), and most common shingles kept.
+SAMPLE, COMMON = 5_000, 1 << 17
+#: Most bits of a table of hashes that may occur (only what the joins after it would drop anyway is left out early).
+MOST_BITS = 1 << 24
+
 
 def shingle_set(text: str, k: int) -> frozenset[str]:
     """The distinct k-word shingles of a text as fingerprints() has them."""
@@ -216,37 +221,108 @@ def alike(a: frozenset[str], b: frozenset[str], least: float) -> bool:
 def shingle_hashes(docs: DataFrame, shingle: int, text_column: str) -> DataFrame:
     """body (xxhash64 of the text), hs (the hashes of its distinct shingles; none for a text without words). One row per row."""
     text = text_of(text_column)
-    rows = docs.select(F.xxhash64(text).alias("body"), words_of(ascii_lower(text)).alias("words"))
-    places = F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))
-    hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(F.col("words"), i, shingle))))
-    return rows.select("body", F.when(F.size("words") > 0, hashes).otherwise(F.array().cast("array<long>")).alias("hs"))
+
+    def of(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
+        return F.when(F.size(words) > 0, F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(words, i, shingle))))).otherwise(F.array().cast("array<long>"))
+
+    # The words are a lambda's variable, so that no plan splits the text again for each place.
+    return docs.select(F.xxhash64(text).alias("body"), F.get(F.transform(F.array(words_of(ascii_lower(text))), of), F.lit(0)).alias("hs"))
+
+
+def common_shingles(hashes: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count), by hash: shingles that several texts of a sample have."""
+    sample = hashes.where(F.pmod("body", F.lit(max(1, n_texts // SAMPLE))) == 0)
+    counts = sample.select(F.explode_outer("hs").alias("h")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = sorted(counts.orderBy(F.desc("n"), "h").limit(COMMON).collect())
+    return np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
 
 
-def prefixes(sizes: np.ndarray, hs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(sizes: np.ndarray, hs: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(set, hash): of each set (its size, its hashes one set after another) the first n - ceil(least * n) + 1 in one order
-    of all hashes.
+    of all hashes, in which those of `common` come last by their counts: a passage that many share names few candidates.
 
     Sets whose Jaccard similarity reaches `least` share at least ceil(least * n) of either's n hashes, so the first shared one
     lies in both prefixes: no such pair is missed. A set of none has the prefix 0, so that such sets meet."""
     of = np.repeat(np.arange(len(sizes)), sizes)
-    hs = hs[np.lexsort((hs, of))]
+    count = np.zeros(len(hs), np.int64)
+    if len(common[0]):
+        place = np.minimum(np.searchsorted(common[0], hs), len(common[0]) - 1)
+        count = np.where(common[0][place] == hs, common[1][place], 0)
+    hs = hs[np.lexsort((hs, count, of))]
     length = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
     first = np.arange(len(hs)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(length, sizes)
     none = np.flatnonzero(sizes == 0)
     return np.concatenate([of[first], none]), np.concatenate([hs[first], np.zeros(len(none), np.int64)])
 
 
-def postings(hashes: DataFrame, least: float) -> DataFrame:
-    """h, body, n: the prefix of each text's set of n shingles."""
+def marks(hashes: DataFrame) -> np.ndarray:
+    """A table of booleans, true at the lower bits of each hash in the only column: at least 8 places a hash, up to MOST_BITS."""
+    h = F.col(hashes.columns[0])
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(12, (8 * hashes.count()).bit_length()))
+    at = h.bitwiseAND(F.lit(size - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")).alias("bits")).collect()
+    table = np.zeros(size // 64, np.int64)
+    table[[r.word for r in words]] = [r.bits for r in words]
+    return table
+
+
+def marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & (len(table) * 64 - 1)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def postings(hashes: DataFrame, least: float, n_texts: int) -> DataFrame:
+    """h, body, n: the prefix of each text's set of n shingles, where another text has h in its prefix too."""
+    common = common_shingles(hashes, n_texts)
     schema = pa.schema([("h", pa.int64()), ("body", pa.int64()), ("n", pa.int64())])
 
+    def found(table: np.ndarray | None) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+                of, h = prefixes(sizes, batch.column(1).flatten().to_numpy(), least, common)
+                if table is not None:
+                    of, h = (x[marked(table, h)] for x in (of, h))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(batch.column(0).to_numpy()[of]), pa.array(sizes[of])], schema=schema)
+
+        return hashes.mapInArrow(work, "h long, body long, n long")
+
+    # The prefixes are made twice rather than kept: few of their hashes have company, and all of them take much disk.
+    company = found(None).groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("h").checkpoint()
+    return found(marks(company)).join(company, "h").distinct().checkpoint()
+
+
+def sets_of(docs: DataFrame, bodies: DataFrame, shingle: int, text_column: str) -> DataFrame:
+    """body, hs: shingle_hashes() of these bodies, one row each."""
+    table = marks(bodies)
+    text = text_of(text_column)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
-            of, h = prefixes(sizes, batch.column(1).flatten().to_numpy(), least)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(batch.column(0).to_numpy()[of]), pa.array(sizes[of])], schema=schema)
+            yield batch.filter(pa.array(marked(table, batch.column(0).to_numpy()))).select(["text"])
+
+    rows = docs.select(F.xxhash64(text).alias("body"), text.alias("text")).mapInArrow(work, "text string")
+    return shingle_hashes(rows, shingle, "text").join(bodies, "body", "left_semi").dropDuplicates(["body"]).checkpoint()
+
+
+def star_pairs(met: DataFrame, least: float) -> DataFrame:
+    """a, b: each text with the smallest and the largest set of each of its postings; two pairs a posting at most."""
+    size = F.struct("n", "body")
+    ends = met.groupBy("h").agg(F.min(size).alias("low"), F.max(size).alias("high"))
+    pairs = met.join(ends, "h").select("body", "n", F.explode(F.array("low", "high")).alias("end"))
+    pairs = pairs.where((F.col("body") != F.col("end.body")) & (F.least("n", "end.n") >= F.lit(least) * F.greatest("n", "end.n")))
+    return pairs.select(F.least("body", "end.body").alias("a"), F.greatest("body", "end.body").alias("b")).distinct()
+
 
-    return hashes.mapInArrow(work, "h long, body long, n long")
+def other_pairs(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of a posting that roots (node, root) does not connect already."""
+    rows = met.join(roots.select(F.col("node").alias("body"), "root"), "body", "left").withColumn("root", F.coalesce("root", "body"))
+    apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    rows = rows.join(apart, "h").checkpoint()
+    a, b = (rows.select("h", F.col("body").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    return a.join(b, "h").where(near).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -259,19 +335,18 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a, b: links between text hashes; body, least, most: each text hash with its smallest and largest doc_id).
 
-    All pairs of texts whose sets of shingles are alike are linked: candidates share a shingle of both prefixes, which is
-    complete (see prefixes), and their sets decide."""
+    The links connect all texts that chains of alike texts connect. Candidates share a shingle of both prefixes, which is
+    complete (see prefixes), and their sets decide. Each text is compared with the ends of its postings first, which joins a
+    large group of copies in about as many comparisons as it has texts; then all pairs that are still apart are compared.
+    Postings have no texts, and no posting or group is gathered in a task: pairs meet their sets by joins."""
     shared_dir(docs.sparkSession)
     text = text_of(text_column)
     own = docs.groupBy(F.xxhash64(text).alias("body")).agg(F.min(F.col(id_column).cast("long")).alias("least"), F.max(F.col(id_column).cast("long")).alias("most"))
     hashes = shingle_hashes(docs, shingle, text_column)
-    found = postings(hashes, similarity).checkpoint()
-    company = found.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("h")
-    met = found.join(company, "h").distinct().checkpoint()
-    sets = hashes.join(met.select("body").distinct(), "body", "left_semi").dropDuplicates(["body"]).checkpoint()
-    a, b = met.select("h", F.col("body").alias("a"), F.col("n").alias("na")), met.select("h", F.col("body").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    return verified(a.join(b, "h").where(near).select("a", "b").distinct(), sets, similarity), own
+    met = postings(hashes, similarity, docs.count())
+    sets = sets_of(docs, met.select("body").distinct().checkpoint(), shingle, text_column)
+    stars = verified(star_pairs(met, similarity), sets, similarity).checkpoint()
+    return stars.union(verified(other_pairs(met, components(stars), similarity), sets, similarity)), own
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

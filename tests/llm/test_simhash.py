@@ -201,3 +201,19 @@ def test_every_similar_group_is_found(spark):
         rows += [(10**6 + 4 * i + 2, " ".join([*w, *w[:8]])), (10**6 + 4 * i + 3, " ".join([*w, *line]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in bktree.drop_near_duplicates(df).collect()} == plain_similar(rows)
+
+
+def test_large_groups_give_few_pairs(spark):
+    rng = random.Random(9)
+    passage, base, rows = [f"p{i}" for i in range(100)], [f"b{i}" for i in range(300)], []
+    for i in range(200):
+        near = list(base)
+        near[rng.randrange(300)] = f"new{i}"
+        rows += [(2 * i, " ".join(near)), (2 * i + 1, " ".join([*passage, *(f"own{i}.{j}" for j in range(60))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = bktree.shingle_hashes(docs, 5, "text")
+    met = bktree.postings(hashes, 0.8, len(rows))
+    stars = bktree.star_pairs(met, 0.8)
+    roots = bktree.components(bktree.verified(stars, hashes, 0.8))
+    assert stars.count() + bktree.other_pairs(met, roots, 0.8).count() < 10 * len(rows)
+    assert {r.doc_id for r in bktree.drop_near_duplicates(docs).collect()} == plain_similar(rows)
