@@ -205,9 +205,16 @@ def _terms(spark, sf):
     _TOPIC,
 )
 def bigram_jaccard(spark, sf):
+    """Pairs that share two terms at least, as the SQL has it; bigram_jaccard_all has all pairs."""
     return similarity.overlaps(_terms(spark, sf), "id").where(F.col("value") >= 0.4).select("a", "b", "value")
 
 
+@query()
+def bigram_jaccard_all(spark, sf):
+    """All pairs that share a term."""
+    return similarity.overlaps(_terms(spark, sf), "id").select("a", "b", "value")
+
+
 @query(
     """SELECT a, b, round(m / (ta + tb - m), 6) AS value FROM (SELECT x.k AS a, y.k AS b, sum(least(x.n, y.n)) AS m FROM t x JOIN t y USING (term) WHERE x.k < y.k GROUP BY 1, 2)
     JOIN (SELECT k AS a, sum(n) AS ta FROM t GROUP BY 1) USING (a) JOIN (SELECT k AS b, sum(n) AS tb FROM t GROUP BY 1) USING (b)""",

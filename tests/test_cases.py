@@ -200,3 +200,20 @@ def test_lemma_highlights(spark):
     got = lemma.highlights(df, lemma.positions(seen, known), known, parse('"ma koty"')).collect()
     assert sorted((r.start, r.end) for r in got) == [(4, 6), (7, 11)]
     assert lemma.search_or_plain(df.withColumns({"section_key": F.lit("inne"), "text_legal": F.lower("text")}), None, parse("koty")).count() == 1
+
+
+def test_bigram_jaccard_all_against_brute_force(spark):
+    from collections import Counter
+
+    from docketspark.plans.catalogue import queries
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    terms = {r.p_partkey: Counter([r.p_name, f"{r.p_brand} {r.p_size % 10}", r.p_type]) for r in parts}
+    want = {}
+    for a in terms:
+        for b in terms:
+            both = (terms[a] & terms[b]).total()
+            if a < b and both:
+                want[a, b] = round(both / (6 - both), 6)
+    got = {(r.a, r.b): r.value for r in queries()["bigram_jaccard_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and 0.2 in got.values()
