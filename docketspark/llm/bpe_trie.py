@@ -44,7 +44,10 @@ class TrieEncoder:
             raise ValueError("a byte-level vocabulary without a word-end suffix is needed")
         self.tokens, self.pairs, self.added = v.tokens, v.pairs, v.added
         self.id_of = {v.tokens[i]: i for i in v.ids.values()}
-        self.longest = max(map(len, self.id_of))
+        self.longest: dict[bytes, int] = {}  # last three bytes -> length of the longest token that ends so
+        for token in self.id_of:
+            if len(token) > 2:
+                self.longest[token[-3:]] = max(len(token), self.longest.get(token[-3:], 0))
         self.made = {merged: (a, b, rank) for (a, b), (rank, merged) in v.pairs.items()}
         self.split = regex.compile(BYTE_PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
@@ -83,7 +86,7 @@ class TrieEncoder:
         """The ids of distinct words that come in byte order."""
         path: list[int] = []  # the last token of each prefix on the way from the root
         before = b""
-        id_of, tokens, fits, fit = self.id_of.get, self.tokens, self.fits, self.fit
+        id_of, longest, tokens, fits, fit = self.id_of.get, self.longest.get, self.tokens, self.fits, self.fit
         for word in words:
             n, shared = len(word), 0
             for a, b in zip(before, word):
@@ -92,7 +95,7 @@ class TrieEncoder:
                 shared += 1
             del path[shared:]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - self.longest), end):
+                for start in range(max(0, end - longest(word[max(0, end - 3) : end], 2)), end):
                     token = id_of(word[start:end])
                     if token is not None:
                         if not start:

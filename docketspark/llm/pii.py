@@ -5,9 +5,10 @@ word). Matches are leftmost and do not overlap within a kind; one that fails its
 from another start. A span is (kind, start, end, score): code points, end exclusive. Base spans that pass stay whatever their
 score; added ones need THRESHOLD.
 
-Places come from splitting the text at the pattern: the lengths of the gaps and of the matches add up to the starts. The
-expressions begin only where a match could begin, so a long run of letters or digits is read once. Everything is built-in
-functions on single rows: no shuffle, no Python.
+Places come from splitting the text at the pattern: running sums of the lengths of gaps and matches are the places, and
+context words are looked for in the pieces next to a match, so a text with thousands of matches takes little more than its
+length. The expressions begin only where a match could begin and repeat without recursion, so a long run of any characters
+is read once and needs no stack. Everything is built-in functions on single rows: no shuffle, no Python.
 
 Null texts count as empty and have no spans. Repeated rows give repeated results. An empty table gives an empty result.
 Other columns of the input are kept; columns named like the result's are replaced.
@@ -32,7 +33,7 @@ THRESHOLD = 0.5
 # (?:(?<!class)|\G) lets a match begin at a run's start or right behind the match before; from within a run none can succeed
 # where the run's start fails.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -81,35 +82,61 @@ def _ssn(match: Column) -> Column:
 
 VALID: dict[str, Callable[[Column], Column]] = {"email": lambda m: F.lit(True), "ip": _ip, "card": _card, "phone": _phone, "iban": _iban, "ssn": _ssn}
 
+#: Matches on either side that can lie within REACH characters: none is shorter than five.
+BESIDE = REACH // 5
+#: Code points of the blocks from which redact() takes what lies between spans.
+BLOCK = 4096
 
-def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) of all leftmost matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.length(m).alias("n")))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        row = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["m"].alias("match"))
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: it is a lambda's variable there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The array whose i-th entry joins the entries up to i (sums, largest values): as many passes as the length has bits."""
+    length = lambda v: F.size(v)
+
+    def doubled(v: Column, k: Column) -> Column:
+        back = F.expr("1").cast("int")
+        return F.transform(v, lambda x, i: F.coalesce(join(x, F.get(v, i - F.call_function("shiftleft", back, k))), x))
+
+    def of(v: Column) -> Column:
+        steps = F.when(length(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(length(v))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, v, doubled)
+
+    return bound(values, of)
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, score) of confirmed spans."""
     score, more = SCORES[kind]
+    pattern = PATTERNS[kind]
+    kept = "array<struct<kind:string,start:int,end:int,score:double>>"
+
+    def scored(s: Column) -> Column:
+        """s: matches m, gaps around them (one more than matches), ends of the matches."""
+
+        def one(p: Column) -> Column:
+            i = p["i"]
+            before = F.transform(F.sequence(F.greatest(i - BESIDE, F.lit(0)), i), lambda j: F.concat(F.coalesce(F.get(s["m"], j - 1), F.lit("")), F.right(F.get(s["gap"], j), F.lit(REACH))))
+            after = F.transform(F.sequence(i + 1, F.least(i + 1 + BESIDE, F.size(s["m"]))), lambda j: F.concat(F.left(F.get(s["gap"], j), F.lit(REACH)), F.coalesce(F.get(s["m"], j), F.lit(""))))
+            around = F.lower(F.concat_ws(" ", F.right(F.array_join(before, ""), F.lit(REACH)), F.left(F.array_join(after, ""), F.lit(REACH))))
+            value = F.when(around.rlike(CONTEXT[kind]), F.lit(min(score + more, 1.0))).otherwise(F.lit(score))
+            end = F.get(s["end"], i)
+            return F.struct(F.lit(kind).alias("kind"), (end - F.length(p["m"])).alias("start"), end.alias("end"), value.alias("score"))
 
-    def scored(p: Column) -> Column:
-        begin = F.greatest(p["start"] - REACH, F.lit(0))
-        around = F.lower(F.concat_ws(" ", F.substring(text, begin + 1, p["start"] - begin), F.substring(text, p["end"] + 1, F.lit(REACH))))
-        value = F.when(around.rlike(CONTEXT[kind]), F.lit(score + more)).otherwise(F.lit(score))
-        return F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["end"].alias("end"), F.least(value, F.lit(1.0)).alias("score"))
+        return F.transform(F.filter(F.transform(s["m"], lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda p: VALID[kind](p["m"])), one)
 
-    found = F.transform(F.filter(places(text, PATTERNS[kind]), lambda p: VALID[kind](p["match"])), scored)
+    def placed(s: Column) -> Column:
+        sizes = F.transform(s["m"], lambda m, i: F.length(m) + F.length(F.get(s["gap"], i)))
+        return bound(F.struct(s["m"].alias("m"), s["gap"].alias("gap"), running(sizes, lambda a, b: a + b).alias("end")), scored)
+
+    matches = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    found = bound(matches, placed)
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
-    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(kept))
 
 
 def find(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -132,12 +159,23 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     spans = F.array_sort(F.concat(*[F.transform(f"pii_{k}", lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"])) for k in KINDS]))
     text = F.col(text_column)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def joined(s: Column) -> Column:
+        """s: spans by start, the furthest end up to each, the text in blocks."""
+
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            near = F.array_join(F.slice(s["block"], first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+            return F.substring(near, start - first * BLOCK + 1, end - start)
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(s["far"], i - 1), F.lit(0))
+            return F.when(x["start"] >= before, F.concat(between(before, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(s["span"], one), ""), between(F.element_at(s["far"], -1), s["n"]))
+
+    def redacted(span: Column) -> Column:
+        far = running(F.transform(span, lambda x: -x["back"]), lambda a, b: F.when(a >= b, a).when(a < b, b))
+        return bound(F.struct(span.alias("span"), far.alias("far"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("block"), F.length(text).alias("n")), joined)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    out = F.aggregate("pii_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     found = found.withColumn("pii_spans", spans)
-    return found.withColumn(text_column, F.when(F.size("pii_spans") > 0, out).otherwise(text)).select(*docs.columns)
+    return found.withColumn(text_column, F.when(F.size("pii_spans") > 0, bound(F.col("pii_spans"), redacted)).otherwise(text)).select(*docs.columns)

@@ -57,6 +57,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@cache
+def library(path: str):
+    """The tokenizers library's own tokenizer."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class ByteEncoder:
     """Byte-level BPE: ids of a text as the tokenizers library gives them without added special tokens."""
 
@@ -65,11 +76,15 @@ class ByteEncoder:
         ranks = {v.tokens[i]: i for i in v.ids.values()}
         self.encoding = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=v.added)
         self.added = list(v.added)
+        self.path = path
 
     def encode(self, text: str) -> np.ndarray:
-        if any(a in text for a in self.added):
-            return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
-        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        try:
+            if any(a in text for a in self.added):
+                return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
+            return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        except ValueError:  # its splitter gives up on white space of about a million characters
+            return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         return [self.encode(t) for t in (texts if isinstance(texts, list) else texts.to_pylist())]
@@ -87,8 +102,6 @@ class WordEncoder:
     merges of a byte with the end byte come before all others, which gives the same symbols to start from."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         v = vocabulary(path)
         end = END.encode()
         ordered: list[tuple[bytes, int]] = []
@@ -116,9 +129,7 @@ class WordEncoder:
         self.encoding = tiktoken.Encoding("word", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(WORD_PATTERN)
         self.added = list(v.added)
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.exact = library(path)
 
     def encode(self, text: str) -> np.ndarray:
         if END in text or any(a in text for a in self.added):

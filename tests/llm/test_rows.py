@@ -62,6 +62,66 @@ def test_redaction(spark):
     assert out == {1: "é [EMAIL] and [PHONE]!", 2: None, 3: "nothing", 4: "+[CARD] x"}
 
 
+N = 10**6
+#: Runs that fit a pattern or nearly do, of every class of characters that the patterns know.
+LONG = ["a@b" + ".c" * N, "a" * N, "a@" * N, "." * N, "1" * N, "1." * N, "+1 " * N, "+1" + " " * N, "-" * N, "GB82 " * N, "+1(" + "(" * N, "1 " * N, "é" * N, "\n" * N, "%" * N, "123-45-" * N, "A1" * N]
+
+
+def test_long_runs_need_no_stack(spark):
+    df = spark.createDataFrame(list(enumerate(t[:N] if i else t for i, t in enumerate(LONG))), "doc_id long, text string").repartition(4)
+    out = pii.find(df).select("doc_id", *[F.size(f"pii_{k}").alias(k) for k in pii.KINDS]).collect()
+    assert {r.doc_id: r.email for r in out if r.email} == {0: 1} and {r.doc_id: r.ip for r in out if r.ip} == {5: N // 8}
+    assert len(pii.redact(df).select("doc_id", F.length("text")).collect()) == len(LONG)
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    t = "é mail a@b.cc +49 30 1234567, 1.2.3.4;" * 10_000
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert pii.find(df).select(pii.listed(pii.BASE)).first()[0] == ",".join(x for k in plain_base(t).values() for x in k)
+    assert pii.redact(df).first().text == "é mail [EMAIL] [PHONE], [IP];" * 10_000
+
+
+def test_context_is_the_text_around(spark):
+    rng = random.Random(4)
+    bits = ["a@b.cc", "mail", "1.2.3.4", "server", " ", "x" * 17, "é" * 11, "host", "a@b.cc\n", "x@y.zz"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))) for i in range(300)]
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for k in ("email", "ip"):
+            for x in r[f"pii_{k}"]:
+                around = (r.text[max(0, x.start - pii.REACH) : x.start] + " " + r.text[x.end : x.end + pii.REACH]).lower()
+                assert (x.score > pii.SCORES[k][0]) == bool(re.search(pii.CONTEXT[k], around))
+
+
+def test_redaction_of_blocks(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        t = noisy(rng) + "".join(rng.choice(["é", "😀", "word ", "a@b.cc ", "4111 1111 1111 1111 ", "+49 30 1234567 "]) for _ in range(rng.randint(0, 4000)))
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: sorted((x.start, -x.end, k) for k in pii.KINDS for x in r[f"pii_{k}"]) for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        t, out, at = rows[r.doc_id][1], "", 0
+        for start, end, kind in spans[r.doc_id]:
+            if start >= at:
+                out += t[at:start] + f"[{kind.upper()}]"
+            at = max(at, -end)
+        assert r.text == out + t[at:]
+
+
+def test_query_columns_equal_plain_spans(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries()["op5_pii"](spark, SMALL).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        plain = plain_base(docs[r.doc_id])
+        listed = [x for k in plain.values() for x in k]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in plain.values()]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert spans[: len(listed)] == listed and all(x.split(":")[0] in ("iban", "ssn") for x in spans[len(listed) :])
+
+
 def duck(sql, sf):
     c = duckdb.connect()
     for t in ("documents", "conversations"):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -24,8 +25,11 @@ def docs(spark):
     return rows, spark.createDataFrame([(*r, 1, b"q") for r in rows], "doc_id long, text string, ids int, offset binary")
 
 
+tokenizer = cache(Tokenizer.from_file)
+
+
 def reference(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_trie_equals_the_library(spark):
@@ -53,6 +57,40 @@ def test_fast_encoders_equal_the_library(spark, path):
     assert encoder(path).encode_batch([]) == []
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "\u00a0", "a", "1", ".", "é", "中", "<|endoftext|> "])
+def test_very_long_runs(c):
+    text = "begin" + c * (1_200_000 // len(c)) + "end"
+    assert encoder(BYTE).encode(text).tolist() == reference(BYTE, text)
+    assert encoder(WORD).encode_batch([text])[0].tolist() == reference(WORD, text)
+    text = text[-100_000:]
+    assert bpe_trie.trie_encoder(BYTE).encode_batch([text])[0].tolist() == reference(BYTE, text)
+
+
+def test_query_columns_of_shards_and_sequences(spark):
+    from docketspark.llm.registry import op4_repair_shards, op6_harmonic_packing
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    at, got = 0, {r.doc_id: r for r in op4_repair_shards(spark, "/root/testdata/sf0.001").collect()}
+    for i in sorted(texts):
+        ids = np.array([*reference(WORD, texts[i]), 1], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    pieces, sequences = {}, {}
+    for r in op6_harmonic_packing(spark, "/root/testdata/sf0.001").collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == texts.keys()
+    for i, text in texts.items():
+        ids, at = np.array([*reference(BYTE, text), 1], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    filled = {s: sum(n for _, n in p) for s, p in sequences.items()}
+    assert all(sorted(p)[0][0] == 0 and sum(n for _, n in p) <= 2048 for p in sequences.values())
+    assert sum(n for n in filled.values()) > 0.98 * sum(n if n & (n - 1) == 0 else 2048 for n in filled.values())
+
+
 def test_packing_keeps_every_id_once(spark):
     rows, df = docs(spark)
     out = packing.pack(df, BYTE).collect()
