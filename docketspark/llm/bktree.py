@@ -5,15 +5,16 @@ functions. Distinct fingerprints are cut into shards so that any two within the
 two fingerprints within r bits agree in b - r blocks, and each choice of that many blocks and their bits is a shard. Every
 shard is a BK-tree: a node's children are keyed by their integer distance to it, and a query at distance d follows only the
 edges from d - r to d + r. Trees grow with the data, so they are not broadcast: each is built and searched in the task that
-holds its shard. More blocks are taken as the corpus grows, which keeps shards small.
+holds its shard. More blocks are taken as the corpus grows, and where a cluster makes a shard too large for one task.
 
 Within a shard the links are merged by union-find, so a shard gives at most one link per fingerprint, and the rest is
 connected components over those links (large-star and small-star steps, written to the checkpoint folder between steps).
 No list of links, components or fingerprints goes to the driver.
 
 near_duplicates() links by fingerprints alone, as the query's contract has it. drop_near_duplicates() is for corpora: texts
-are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). It uses no trees: all
-pairs that share a shingle of both texts' prefixes are compared by their sets, which misses no pair.
+are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). There the shards
+are shared shingles of the texts' prefixes, which misses no such pair; BK-trees over SimHashes of 256 bits with a radius that
+such pairs lie within (see REACH) find the candidates in a shard; and the sets decide.
 
 Null texts count as empty; texts without words have the fingerprint 0 and are linked like any other. Repeated rows give
 repeated results. A row whose id is null is linked too but names no component (a component of such rows only is null).
@@ -27,17 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, text_of
+from .common import partitions, shared_dir, stored, text_of
 from .votes import ascii_lower, block_keys, fingerprint, lane_sums, shingle_at, words_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 #: Fingerprints searched at once, and rows taken from a partition at once (whole shards).
-QUERIES, ROWS = 20_000, 400_000
+QUERIES, ROWS = 2_000, 200_000
+#: Fingerprints of a shard: their mean at most, and how many are dealt again by finer shards; blocks that the finest shards fix.
+SHARD, MOST, FINEST = 256, 1024, 5
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -52,18 +57,20 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", t
 
 
 class Forest:
-    """BK-trees of several shards at once, level by level. key: the shard of each fingerprint, in ascending order."""
+    """BK-trees of several shards at once, level by level. key: the shard of each fingerprint, in ascending order. fp: one
+    row of 64-bit words for each fingerprint."""
 
     def __init__(self, key: np.ndarray, fp: np.ndarray):
-        self.fp = fp
+        self.fp = fp = fp.reshape(len(key), -1)
+        self.span = 64 * fp.shape[1] + 1
         n = len(fp)
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
-        self.root = np.repeat(heads, np.diff(np.concatenate([heads, [n]])))
-        at = self.root.copy()
+        self.heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+        self.keys = key[self.heads]
+        at = np.repeat(self.heads, np.diff(np.concatenate([self.heads, [n]])))
         waiting = np.flatnonzero(at != np.arange(n))
         codes, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(waiting):
-            edge = at[waiting] * 65 + np.bitwise_count(fp[waiting] ^ fp[at[waiting]])
+            edge = at[waiting] * self.span + distance(fp[waiting], fp[at[waiting]])
             found, first, back = np.unique(edge, return_index=True, return_inverse=True)
             codes.append(found)
             children.append(waiting[first])
@@ -73,23 +80,34 @@ class Forest:
         self.codes, self.children = np.concatenate(codes), np.concatenate(children)
         order = np.argsort(self.codes, kind="stable")
         self.codes, self.children = self.codes[order], self.children[order]
-
-    def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) arrays of all links of these fingerprints within their shards, themselves left out."""
-        nodes = self.root[queries]
+        self.visited = 0
+
+    def links(self, key: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) arrays: all nodes within the radius of each query (its shard, its fingerprint)."""
+        fp = fp.reshape(len(key), -1)
+        place = np.searchsorted(self.keys, key)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == key[known]
+        queries = np.flatnonzero(known)
+        nodes = self.heads[place[queries]]
         while len(queries):
-            d = np.bitwise_count(self.fp[queries] ^ self.fp[nodes]).astype(np.int64)
-            hit = (d <= radius) & (queries != nodes)
+            self.visited += len(queries)
+            d = distance(fp[queries], self.fp[nodes])
+            hit = d <= radius
             if hit.any():
                 yield queries[hit], nodes[hit]
-            low = np.searchsorted(self.codes, nodes * 65 + np.maximum(d - radius, 0), "left")
-            high = np.searchsorted(self.codes, nodes * 65 + np.minimum(d + radius, 64), "right")
+            low = np.searchsorted(self.codes, nodes * self.span + np.maximum(d - radius, 0), "left")
+            high = np.searchsorted(self.codes, nodes * self.span + np.minimum(d + radius, self.span - 1), "right")
             n = high - low
             ends = np.cumsum(n)
             place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(low, n)
             queries, nodes = np.repeat(queries, n), self.children[place]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union-find over arrays: parent after these links; each entry points to the smallest index of its set."""
     while True:
@@ -115,44 +133,57 @@ def shard_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarra
     key, fp = key[~alone], fp[~alone]
     forest, parent = Forest(key, fp), np.arange(len(fp))
     for start in range(0, len(fp), QUERIES):
-        for a, b in forest.links(np.arange(start, min(start + QUERIES, len(fp))), radius):
-            parent = merge(parent, a, b)
+        for a, b in forest.links(key[start : start + QUERIES], fp[start : start + QUERIES], radius):
+            parent = merge(parent, a + start, b)
     tied = np.flatnonzero(parent != np.arange(len(fp)))
     return fp[tied], fp[parent[tied]]
 
 
-def links(prints: DataFrame, radius: int = 4, n_distinct: int | None = None) -> DataFrame:
-    """a, b (longs, a < b): links between distinct fingerprints (column fp) that connect all those within the radius."""
+def links(prints: DataFrame, radius: int = 4, n_distinct: int | None = None, agree: int = 1) -> DataFrame:
+    """a, b (longs, a < b): links between distinct fingerprints (column fp) that connect all those within the radius.
+
+    Shards fix `agree` of radius + agree blocks of bits, as few as keep the mean shard below SHARD. The fingerprints of shards
+    that are larger than MOST all the same (a cluster of near copies) are dealt again by finer shards instead."""
     distinct = prints.select("fp").where("fp is not null").distinct()
     n_distinct = distinct.count() if n_distinct is None else n_distinct
-    agree = 2
-    while agree < 5 and n_distinct > 16 << (64 * agree // (radius + agree)):
+    while agree < FINEST and n_distinct > SHARD << (64 * agree // (radius + agree)):
         agree += 1
     rows = distinct.select("fp", F.inline(block_keys(F.col("fp"), radius + agree, agree))).select(F.xxhash64("table", "bits").alias("shard"), "fp")
+    finer = None
+    if agree < FINEST and n_distinct > MOST:
+        hot = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("shard").checkpoint()
+        if not hot.isEmpty():
+            again = rows.join(hot, "shard", "left_semi").select("fp").distinct().checkpoint()
+            finer = links(again, radius, None, agree + 1)
+            rows = rows.join(hot, "shard", "left_anti")
     n = partitions(prints.sparkSession)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = (x.view(np.int64) for x in shard_links(key, fp.view(np.uint64), radius))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
-        keys, fps, held = [], [], 0
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            fps.append(batch.column(1).to_numpy())
-            held += batch.num_rows
-            if held >= ROWS:
-                key, fp = np.concatenate(keys), np.concatenate(fps)
-                end = int(np.searchsorted(key, key[-1], "left"))  # the last shard may go on
-                if end:
-                    yield found(key[:end], fp[:end])
-                keys, fps, held = [key[end:]], [fp[end:]], len(key) - end
-        if held:
-            yield found(np.concatenate(keys), np.concatenate(fps))
+        for columns in whole_shards(batches):
+            a, b = (x.view(np.int64) for x in shard_links(columns[0], columns[1].view(np.uint64), radius))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct()
+    found = dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct()
+    return found if finer is None else found.union(finer)
+
+
+def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first one, about ROWS at once, no shard cut in two."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= ROWS:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            end = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last shard may go on
+            if end:
+                yield [c[:end] for c in columns]
+            held, size = [[c[end:] for c in columns]], len(columns[0]) - end
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
@@ -189,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = tied.join(least, "root").select("fp", "component_id")
     of_print = own.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = prints.join(of_print, "fp").select("doc_id", "body", "fp", "component_id", "n_rows")
+    # Stored first, so that a fingerprint of very many rows can be split in the join.
+    out = prints.join(of_print.checkpoint(), "fp").select("doc_id", "body", "fp", "component_id", "n_rows")
     return out.select("doc_id", "body", "fp", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")).alias("copy")).drop("copy")
 
 
@@ -199,6 +231,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 SAMPLE, COMMON = 5_000, 1 << 17
 #: Most bits of a table of hashes that may occur (only what the joins after it would drop anyway is left out early).
 MOST_BITS = 1 << 24
+#: Words of 64 bits in a text's fingerprint, and the radius. Of two sets with a Jaccard similarity of 0.8 a bit differs with a
+#: probability of 0.19 at most (five shingles against four; 0.16 for large sets), so such a pair lies beyond the radius less than
+#: once in 10**7 (10**11); of unrelated ones and of those that share a tenth next to none lies within it.
+WIDTH, REACH = 4, 84
+PRINT = [f"f{i}" for i in range(WIDTH)]
+#: Bytes of text whose shingles are made at once.
+BATCH_BYTES = 4_000_000
+#: Nodes of a posting's tree; larger postings are cut into several trees.
+NODES = 4096
 
 
 def shingle_set(text: str, k: int) -> frozenset[str]:
@@ -218,50 +259,119 @@ def alike(a: frozenset[str], b: frozenset[str], least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def shingle_hashes(docs: DataFrame, shingle: int, text_column: str) -> DataFrame:
-    """body (xxhash64 of the text), hs (the hashes of its distinct shingles; none for a text without words). One row per row."""
+def identity(text: Column) -> list[Column]:
+    """body, twin: 128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("body"), F.xxhash64(F.lit("twin"), text).alias("twin")]
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text the ascending hashes (unsigned) of its distinct k-word shingles; none for a text without words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = parts.values.dictionary_encode()
+    names = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64)
+    codes, offsets = coded.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
+    full = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[codes]  # white space at the ends gives empty words
+    word = names[codes[full]] if len(codes) else np.zeros(0, np.uint64)
+    offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+    sizes = np.diff(offsets)
+    last = np.repeat(offsets[1:], sizes)
+    h = np.zeros(len(word), np.uint64)
+    for j in range(k):
+        inside = np.arange(len(word)) + j < last
+        step = (h ^ np.concatenate([word[j:], np.zeros(min(j, len(word)), np.uint64)])) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.where(inside, step ^ (step >> np.uint64(29)), h)
+    stops = offsets[:-1] + np.where(sizes > 0, np.maximum(sizes - k + 1, 1), 0)
+    return [np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), stops.tolist())]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about BATCH_BYTES of a text column."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_BYTES)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield b.slice(start, stop - start)
+
+
+def named_texts(docs: DataFrame, text_column: str) -> DataFrame:
+    """body, twin, text. One row per row."""
     text = text_of(text_column)
+    return docs.select(*identity(text), text.alias("text"))
 
-    def of(words: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
-        return F.when(F.size(words) > 0, F.array_distinct(F.transform(places, lambda i: F.xxhash64(shingle_at(words, i, shingle))))).otherwise(F.array().cast("array<long>"))
 
-    # The words are a lambda's variable, so that no plan splits the text again for each place.
-    return docs.select(F.xxhash64(text).alias("body"), F.get(F.transform(F.array(words_of(ascii_lower(text))), of), F.lit(0)).alias("hs"))
+def common_shingles(rows: DataFrame, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count), by hash: shingles that several texts of a sample have."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column(0), shingle)).view(np.int64))], names=["h"])
 
-def common_shingles(hashes: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count), by hash: shingles that several texts of a sample have."""
-    sample = hashes.where(F.pmod("body", F.lit(max(1, n_texts // SAMPLE))) == 0)
-    counts = sample.select(F.explode_outer("hs").alias("h")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = sorted(counts.orderBy(F.desc("n"), "h").limit(COMMON).collect())
-    return np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    sample = rows.where(F.pmod("body", F.lit(max(1, n_texts // SAMPLE))) == 0).select("text").mapInArrow(of, "h long")
+    counts = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def prefixes(sizes: np.ndarray, hs: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(set, hash): of each set (its size, its hashes one set after another) the first n - ceil(least * n) + 1 in one order
-    of all hashes, in which those of `common` come last by their counts: a passage that many share names few candidates.
+def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of each set of n hashes the first n - ceil(least * n) + 1 in one order of all hashes, in which those of `common` come last
+    by their counts: a passage that many share names few candidates.
 
     Sets whose Jaccard similarity reaches `least` share at least ceil(least * n) of either's n hashes, so the first shared one
     lies in both prefixes: no such pair is missed. A set of none has the prefix 0, so that such sets meet."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    count = np.zeros(len(hs), np.int64)
-    if len(common[0]):
-        place = np.minimum(np.searchsorted(common[0], hs), len(common[0]) - 1)
-        count = np.where(common[0][place] == hs, common[1][place], 0)
-    hs = hs[np.lexsort((hs, count, of))]
-    length = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
-    first = np.arange(len(hs)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(length, sizes)
-    none = np.flatnonzero(sizes == 0)
-    return np.concatenate([of[first], none]), np.concatenate([hs[first], np.zeros(len(none), np.int64)])
+    out = []
+    for hs in sets:
+        if not len(hs):
+            out.append(np.zeros(1, np.uint64))
+            continue
+        length = len(hs) - int(np.ceil(least * len(hs) - 1e-9)) + 1
+        if len(common[0]):
+            place = np.minimum(np.searchsorted(common[0], hs), len(common[0]) - 1)
+            count = np.where(common[0][place] == hs, common[1][place], 0)
+            rare = hs[count == 0]
+            if len(rare) < length:
+                hs = np.concatenate([rare, hs[count > 0][np.argsort(count[count > 0], kind="stable")]])
+            else:
+                hs = rare
+        out.append(hs[:length])
+    return out
+
+
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, WIDTH): the SimHash of each set of hashes, a bit being set where over half of the hashes have it. The further
+    words' bits are those of the hashes scrambled again and again."""
+    out = np.zeros((len(sets), WIDTH), np.uint64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sets):  # about 50,000 hashes at once, whole sets
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 50_000, "right")))
+        full = start + np.flatnonzero(sizes[start:stop])
+        if len(full):
+            words = np.concatenate(sets[start:stop])
+            for j in range(WIDTH):
+                bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+                votes = np.add.reduceat(bits, ends[full] - sizes[full] - (ends[start] - sizes[start]), axis=0, dtype=np.int32)
+                out[full, j] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(np.uint64)[:, 0]
+                words = (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                words ^= words >> np.uint64(32)
+        start = stop
+    return out
+
+
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(values))
 
 
 def marks(hashes: DataFrame) -> np.ndarray:
-    """A table of booleans, true at the lower bits of each hash in the only column: at least 8 places a hash, up to MOST_BITS."""
-    h = F.col(hashes.columns[0])
+    """A table of booleans, true at the lower bits of each hash in the first column: at least 8 places a hash, up to MOST_BITS."""
+    name = hashes.columns[0]
     size = 1 << min(MOST_BITS.bit_length() - 1, max(12, (8 * hashes.count()).bit_length()))
-    at = h.bitwiseAND(F.lit(size - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")).alias("bits")).collect()
+    at = F.col(name).bitwiseAND(F.lit(size - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).collect()
     table = np.zeros(size // 64, np.int64)
     table[[r.word for r in words]] = [r.bits for r in words]
     return table
@@ -272,91 +382,150 @@ def marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def postings(hashes: DataFrame, least: float, n_texts: int) -> DataFrame:
-    """h, body, n: the prefix of each text's set of n shingles, where another text has h in its prefix too."""
-    common = common_shingles(hashes, n_texts)
-    schema = pa.schema([("h", pa.int64()), ("body", pa.int64()), ("n", pa.int64())])
-
-    def found(table: np.ndarray | None) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
-                of, h = prefixes(sizes, batch.column(1).flatten().to_numpy(), least, common)
-                if table is not None:
-                    of, h = (x[marked(table, h)] for x in (of, h))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(batch.column(0).to_numpy()[of]), pa.array(sizes[of])], schema=schema)
+def met_texts(rows: DataFrame, least: float, n_texts: int, shingle: int) -> DataFrame:
+    """t (a number), body, twin, n, fingerprint, hs: each distinct text with its set's size and fingerprint, and those hashes of
+    its prefix that (all but a few) another row has in its prefix too. Texts without such hashes are left out."""
+    common = common_shingles(rows, n_texts, shingle)
 
-        return hashes.mapInArrow(work, "h long, body long, n long")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes(shingle_sets(batch.column(0), shingle), least, common)).view(np.int64))], names=["h"])
 
     # The prefixes are made twice rather than kept: few of their hashes have company, and all of them take much disk.
-    company = found(None).groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("h").checkpoint()
-    return found(marks(company)).join(company, "h").distinct().checkpoint()
-
+    company = rows.select("text").mapInArrow(alone, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    table = marks(stored(company, "company"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            sets = shingle_sets(batch.column(2), shingle)
+            met = [h[marked(table, h.view(np.int64))] for h in prefixes(sets, least, common)]
+            at = [i for i, h in enumerate(met) if len(h)]
+            prints = set_prints([sets[i] for i in at]).view(np.int64)
+            own = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+            columns = [pa.array([len(sets[i]) for i in at], pa.int64()), *[pa.array(prints[:, j].copy()) for j in range(WIDTH)], lists([met[i] for i in at])]
+            yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=["body", "twin", "n", *PRINT, "hs"])
+
+    texts = rows.mapInArrow(kept, f"body long, twin long, n long, {', '.join(f'{f} long' for f in PRINT)}, hs array<long>").dropDuplicates(["body", "twin"])
+    return stored(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+
+
+def near_prints(a: str, b: str) -> Column:
+    """Whether two fingerprints (columns a + f0, a + f1 and so on) lie within REACH bits."""
+    return sum((F.bit_count(F.col(a + f).bitwiseXOR(F.col(b + f))) for f in PRINT), F.lit(0)) <= REACH
+
+
+def star_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """a, b: each text with the smallest and the largest set of each of its postings, if their fingerprints are near."""
+    met = texts.select("t", "n", *PRINT, F.explode("hs").alias("h"))
+    ends = [pick(F.col(c), F.col("n")).alias(f"{side}_{c}") for side, pick in (("low", F.min_by), ("high", F.max_by)) for c in ("t", "n", *PRINT)]
+    joined = met.join(met.groupBy("h").agg(*ends), "h")
+    out = None
+    for side in ("low", "high"):
+        other, n = F.col(f"{side}_t"), F.col(f"{side}_n")
+        near = joined.where((F.col("t") != other) & (F.least("n", n) >= F.lit(least) * F.greatest("n", n)) & near_prints("", f"{side}_"))
+        pairs = near.select(F.least("t", other).alias("a"), F.greatest("t", other).alias("b"))
+        out = pairs if out is None else out.union(pairs)
+    return out.distinct()
+
+
+def tree_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of a posting with near fingerprints that roots (node, root) does not connect already.
+
+    A posting's texts are the nodes of BK-trees, NODES of them in each; those that do not belong to its largest connected group
+    are searched in every tree of the posting."""
+    rows = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("t", "n", *PRINT, F.coalesce("root", "t").alias("root"), F.explode("hs").alias("h"))
+    groups = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+    apart = groups.agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = rows.join(apart.select("h", "main", F.ceil(F.col("size") / NODES).cast("int").alias("trees")), "h")
+    own = F.struct(F.pmod(F.hash("t"), F.col("trees")).alias("tree"), F.lit(0).alias("query"))
+    searched = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda i: F.struct(i.alias("tree"), F.lit(1).alias("query")))
+    rows = rows.select("h", "t", "n", "root", *PRINT, F.inline(F.when(F.col("root") == F.col("main"), F.array(own)).otherwise(F.concat(F.array(own), searched))))
+    rows = rows.select(F.xxhash64("h", "tree").alias("shard"), "query", "t", "n", "root", *PRINT)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def sets_of(docs: DataFrame, bodies: DataFrame, shingle: int, text_column: str) -> DataFrame:
-    """body, hs: shingle_hashes() of these bodies, one row each."""
-    table = marks(bodies)
-    text = text_of(text_column)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_shards(batches):
+            for a, b in shard_pairs(*columns[:5], columns[5:], least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    dealt = rows.repartition(partitions(texts.sparkSession), "shard").sortWithinPartitions("shard", "query")
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def shard_pairs(shard: np.ndarray, query: np.ndarray, t: np.ndarray, n: np.ndarray, root: np.ndarray, words: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays a < b of pairs (query, node of its shard) with near fingerprints, sizes that allow `least`, and other roots."""
+    nodes, queries = np.flatnonzero(query == 0), np.flatnonzero(query == 1)
+    fp = np.stack(words, 1).view(np.uint64)
+    # Nodes of one shard with one fingerprint are one node of the tree.
+    order = nodes[np.lexsort((*[w[nodes] for w in words], shard[nodes]))]
+    new = np.concatenate([[True], (shard[order][1:] != shard[order][:-1]) | (fp[order][1:] != fp[order][:-1]).any(1)]) if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    count = np.diff(np.concatenate([first, [len(order)]]))
+    forest = Forest(shard[order[first]], fp[order[first]])
+    for start in range(0, len(queries), 256):
+        part = queries[start : start + 256]
+        for q, node in forest.links(shard[part], fp[part], REACH):
+            q, k = part[np.repeat(q, count[node])], count[node]
+            ends = np.cumsum(k)
+            member = order[np.arange(int(ends[-1])) - np.repeat(ends - k, k) + np.repeat(first[node], k)]
+            good = (root[q] != root[member]) & (np.minimum(n[q], n[member]) >= least * np.maximum(n[q], n[member]))
+            a, b = t[q[good]], t[member[good]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            if len(pairs):
+                yield pairs[:, 0], pairs[:, 1]
+
+
+def sets_of(rows: DataFrame, texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """t, hs: all hashes of the texts that pairs (a, b) name, one row each."""
+    named = texts.join(wanted.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t", "left_semi").select("body", "twin", "t")
+    named = stored(named, "named")
+    table = marks(named)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(marked(table, batch.column(0).to_numpy()))).select(["text"])
-
-    rows = docs.select(F.xxhash64(text).alias("body"), text.alias("text")).mapInArrow(work, "text string")
-    return shingle_hashes(rows, shingle, "text").join(bodies, "body", "left_semi").dropDuplicates(["body"]).checkpoint()
+            some = batch.filter(pa.array(marked(table, batch.column(0).to_numpy())))
+            for part in pieces(iter([some]), 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(shingle_sets(part.column(2), shingle))], names=["body", "twin", "hs"])
 
-
-def star_pairs(met: DataFrame, least: float) -> DataFrame:
-    """a, b: each text with the smallest and the largest set of each of its postings; two pairs a posting at most."""
-    size = F.struct("n", "body")
-    ends = met.groupBy("h").agg(F.min(size).alias("low"), F.max(size).alias("high"))
-    pairs = met.join(ends, "h").select("body", "n", F.explode(F.array("low", "high")).alias("end"))
-    pairs = pairs.where((F.col("body") != F.col("end.body")) & (F.least("n", "end.n") >= F.lit(least) * F.greatest("n", "end.n")))
-    return pairs.select(F.least("body", "end.body").alias("a"), F.greatest("body", "end.body").alias("b")).distinct()
-
-
-def other_pairs(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of a posting that roots (node, root) does not connect already."""
-    rows = met.join(roots.select(F.col("node").alias("body"), "root"), "body", "left").withColumn("root", F.coalesce("root", "body"))
-    apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    rows = rows.join(apart, "h").checkpoint()
-    a, b = (rows.select("h", F.col("body").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    return a.join(b, "h").where(near).select("a", "b").distinct()
+    return rows.mapInArrow(work, "body long, twin long, hs array<long>").join(named, ["body", "twin"]).select("t", "hs").dropDuplicates(["t"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets (body, hs) are alike. Each pair meets its two sets by joins, nothing else is gathered."""
-    left, right = sets.select(F.col("body").alias("a"), F.col("hs").alias("x")), sets.select(F.col("body").alias("b"), F.col("hs").alias("y"))
+    """The pairs (a, b) whose sets (t, hs) are alike. Each pair meets its two sets by joins, nothing else is gathered."""
+    left, right = sets.select(F.col("t").alias("a"), F.col("hs").alias("x")), sets.select(F.col("t").alias("b"), F.col("hs").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a, b: links between text hashes; body, least, most: each text hash with its smallest and largest doc_id).
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b: links between texts; t, body, twin: those texts).
 
     The links connect all texts that chains of alike texts connect. Candidates share a shingle of both prefixes, which is
-    complete (see prefixes), and their sets decide. Each text is compared with the ends of its postings first, which joins a
-    large group of copies in about as many comparisons as it has texts; then all pairs that are still apart are compared.
-    Postings have no texts, and no posting or group is gathered in a task: pairs meet their sets by joins."""
+    complete (see prefixes), their fingerprints are near, and their sets decide. Each text is compared with the ends of its
+    postings first, which joins a large group of copies in about as many comparisons as it has texts; then BK-trees over the
+    postings find the pairs that are still apart. No posting or group is gathered in a task."""
     shared_dir(docs.sparkSession)
-    text = text_of(text_column)
-    own = docs.groupBy(F.xxhash64(text).alias("body")).agg(F.min(F.col(id_column).cast("long")).alias("least"), F.max(F.col(id_column).cast("long")).alias("most"))
-    hashes = shingle_hashes(docs, shingle, text_column)
-    met = postings(hashes, similarity, docs.count())
-    sets = sets_of(docs, met.select("body").distinct().checkpoint(), shingle, text_column)
-    stars = verified(star_pairs(met, similarity), sets, similarity).checkpoint()
-    return stars.union(verified(other_pairs(met, components(stars), similarity), sets, similarity)), own
+    rows = named_texts(docs, text_column)
+    texts = met_texts(rows, similarity, docs.count(), shingle)
+    stars = stored(star_pairs(texts, similarity), "stars")
+    linked = verified(stars, stored(sets_of(rows, texts, stars, shingle), "sets"), similarity).checkpoint()
+    rest = stored(tree_pairs(texts, components(linked), similarity), "pairs")
+    if not rest.isEmpty():
+        linked = linked.union(verified(rest, stored(sets_of(rows, texts, rest, shingle), "sets"), similarity))
+    return linked, texts.select("t", "body", "twin")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the rows whose text is connected, over texts that are alike, to one of a smaller doc_id. Of equal texts
     with equal ids all stay or go together. Rows without an id stay."""
-    links_, own = similar_links(docs, shingle, similarity, id_column, text_column)
-    roots = components(links_)
-    tied = own.join(roots.select(F.col("node").alias("body"), "root"), "body", "left")
+    links_, texts = similar_links(docs, shingle, similarity, text_column)
+    body, twin = identity(text_of(text_column))
+    doc_id = F.col(id_column).cast("long")
+    own = docs.groupBy(body, twin).agg(F.min(doc_id).alias("least"), F.max(doc_id).alias("most"))
+    tied = own.join(texts.join(components(links_).select(F.col("node").alias("t"), "root"), "t"), ["body", "twin"], "left")
     smallest = tied.where("root is not null").groupBy("root").agg(F.min("least").alias("stays"))
-    linked = tied.join(smallest, "root", "left").where("root is not null or most > least").select(F.col("body").alias("gone_body"), F.coalesce("stays", "least").alias("stays"))
-    rows = docs.withColumn("near_body", F.xxhash64(text_of(text_column)))
-    gone = (rows.near_body == linked.gone_body) & (rows[id_column].cast("long") > linked.stays)
-    return rows.join(linked, gone, "left_anti").drop("near_body")
+    linked = tied.join(smallest, "root", "left").select("body", "twin", "most", F.coalesce("stays", "least").alias("stays")).where("most > stays")
+    linked = stored(linked.select(F.col("body").alias("near_gone"), F.col("twin").alias("twin_gone"), "stays"), "gone")
+    rows = docs.withColumns({"near_body": body, "near_twin": twin})
+    gone = (rows.near_body == linked.near_gone) & (rows.near_twin == linked.twin_gone) & (rows[id_column].cast("long") > linked.stays)
+    return rows.join(linked, gone, "left_anti").drop("near_body", "near_twin")

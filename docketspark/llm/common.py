@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/docketspark/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its lineage."""
+    place = scratch(df.sparkSession, what)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

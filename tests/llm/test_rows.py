@@ -166,25 +166,51 @@ def test_dedup_of_odd_rows(spark):
 
 def test_state_goes_on_over_batches(spark, tmp_path):
     place = str(tmp_path)
-    one = spark.createDataFrame([(i, bytes([i % 7]), i) for i in range(50)], exact_dedup.ARRIVAL)
+    one = spark.createDataFrame([(i, bytes([i % 7]), 1, i) for i in range(50)], exact_dedup.ARRIVAL)
     one.repartition(5).write.parquet(f"{place}/in")
     exact_dedup.run_stream(spark, f"{place}/in", f"{place}/state", f"{place}/out", files_per_batch=2)
-    spark.createDataFrame([(100, bytes([3]), 100), (101, bytes([9]), 101)], exact_dedup.ARRIVAL).write.mode("append").parquet(f"{place}/in")
+    spark.createDataFrame([(100, bytes([3]), 1, 100), (101, bytes([9]), 1, 101)], exact_dedup.ARRIVAL).write.mode("append").parquet(f"{place}/in")
     exact_dedup.run_stream(spark, f"{place}/in", f"{place}/state", f"{place}/out")
-    got = {r.digest[0]: (r.keep_id, r.group_size) for r in exact_dedup.entries(spark, f"{place}/out").collect()}
-    want = {k: (max(range(k, 50, 7)), len(range(k, 50, 7))) for k in range(7)} | {9: (101, 1)}
-    want[3] = (100, want[3][1] + 1)
+    got = {r.digest[0]: (r.keep_id, r.keep_row, r.group_size) for r in exact_dedup.entries(spark, f"{place}/out").collect()}
+    want = {k: (max(range(k, 50, 7)), max(range(k, 50, 7)), len(range(k, 50, 7))) for k in range(7)} | {9: (101, 101, 1)}
+    want[3] = (100, 100, want[3][2] + 1)
     assert got == want
 
 
+weak = lambda t: F.substring(t, 1, 1).cast("binary")
+
+
+def test_later_runs_go_on_with_a_named_state(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows, **k: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(make(rows), **k).collect())
+    state = str(tmp_path / "state")
+    assert kept([(1, "aa"), (5, "aa"), (2, "b")], state=state) == [(1, 5, 2, False), (2, 2, 1, True), (5, 5, 2, True)]
+    assert kept([(3, "aa"), (9, "b"), (4, "c")], state=state) == [(3, 5, 3, False), (4, 4, 1, True), (9, 9, 2, True)]
+    # A later text that collides with an earlier one is found by the earlier one's content.
+    state = str(tmp_path / "weak")
+    kept([(1, "aa"), (2, "b")], state=state, digests=(weak, *exact_dedup.DIGESTS))
+    assert kept([(3, "ab")], state=state, digests=(weak, *exact_dedup.DIGESTS)) == [(3, 3, 1, True)]
+
+
 def test_colliding_digests_are_found_by_their_bytes(spark):
     rows = [(1, "aa"), (2, "ab"), (3, "aa"), (4, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    weak = lambda t: F.substring(t, 1, 1).cast("binary")
-    out = exact_dedup.groups(df, digests=(weak, *exact_dedup.DIGESTS))
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)]
+    out = exact_dedup.deduplicate(df, digests=(weak, *exact_dedup.DIGESTS))
+    want = [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)]
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == want
+    assert {r.doc_id: r.text_sha256 for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(df, digests=(weak, *exact_dedup.DIGESTS)).collect()) == [2, 3, 4]
     with pytest.raises(RuntimeError):
-        exact_dedup.groups(df, digests=(weak,))
+        exact_dedup.deduplicate(df, digests=(weak,))
+
+
+def test_locators_find_the_content(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = exact_dedup.located(docs)
+    wanted = rows.where("doc_id % 7 = 0").select(F.col("dedup_file").alias("file"), F.col("dedup_row").alias("row"), "doc_id")
+    paths = rows.select(F.col("dedup_path").alias("path"), F.col("dedup_file").alias("file")).distinct()
+    got = exact_dedup.contents(spark, paths, wanted, "text").join(wanted, ["file", "row"]).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, r.text) for r in docs.where("doc_id % 7 = 0").collect())
 
 
 TEXTS = ["", None, "plain", "\\", "\\\\", "###", "####", "\\###", "</turn>", "\\</turn>\n</turn>\n", "### user:\n\n</turn>\n", "a:\nb", "\\n", "é😀\n", r"\### Assistant: </turn> ok", "x" * 70_000]
