@@ -192,7 +192,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     Large-star: a node hangs its larger neighbours on its smallest neighbour. Small-star: it hangs its smaller neighbours and
     itself on the smallest. Both keep what is connected; alternating them ends in stars around the smallest nodes."""
     shared_dir(edges.sparkSession)
-    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").checkpoint()  # u < v from here on
+    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().checkpoint()  # u < v from here on
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     state = None
     for _ in range(most_steps):
@@ -230,16 +230,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 #: Texts whose shingles are counted to put common ones last (this bounds work, not what is found), and most common shingles kept.
 SAMPLE, COMMON = 5_000, 1 << 17
 #: Most bits of a table of hashes that may occur (only what the joins after it would drop anyway is left out early).
-MOST_BITS = 1 << 24
+MOST_BITS = 1 << 25
 #: Words of 64 bits in a text's fingerprint, and the radius. Of two sets with a Jaccard similarity of 0.8 a bit differs with a
 #: probability of 0.19 at most (five shingles against four; 0.16 for large sets), so such a pair lies beyond the radius less than
 #: once in 10**7 (10**11); of unrelated ones and of those that share a tenth next to none lies within it.
 WIDTH, REACH = 4, 84
 PRINT = [f"f{i}" for i in range(WIDTH)]
 #: Bytes of text whose shingles are made at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: Nodes of a posting's tree; larger postings are cut into several trees.
 NODES = 4096
+#: Fingerprints that are searched at once in such trees.
+SEARCHED = 64
 
 
 def shingle_set(text: str, k: int) -> frozenset[str]:
@@ -367,13 +369,13 @@ def lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def marks(hashes: DataFrame) -> np.ndarray:
-    """A table of booleans, true at the lower bits of each hash in the first column: at least 8 places a hash, up to MOST_BITS."""
+    """A table of booleans, true at the lower bits of each hash in the first column: 64 places a hash or more, up to MOST_BITS."""
     name = hashes.columns[0]
-    size = 1 << min(MOST_BITS.bit_length() - 1, max(12, (8 * hashes.count()).bit_length()))
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(12, (64 * hashes.count()).bit_length()))
     at = F.col(name).bitwiseAND(F.lit(size - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).collect()
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(size // 64, np.int64)
-    table[[r.word for r in words]] = [r.bits for r in words]
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table
 
 
@@ -418,14 +420,10 @@ def star_pairs(texts: DataFrame, least: float) -> DataFrame:
     """a, b: each text with the smallest and the largest set of each of its postings, if their fingerprints are near."""
     met = texts.select("t", "n", *PRINT, F.explode("hs").alias("h"))
     ends = [pick(F.col(c), F.col("n")).alias(f"{side}_{c}") for side, pick in (("low", F.min_by), ("high", F.max_by)) for c in ("t", "n", *PRINT)]
-    joined = met.join(met.groupBy("h").agg(*ends), "h")
-    out = None
-    for side in ("low", "high"):
-        other, n = F.col(f"{side}_t"), F.col(f"{side}_n")
-        near = joined.where((F.col("t") != other) & (F.least("n", n) >= F.lit(least) * F.greatest("n", n)) & near_prints("", f"{side}_"))
-        pairs = near.select(F.least("t", other).alias("a"), F.greatest("t", other).alias("b"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    sides = F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(f"end_{c}") for c in ("t", "n", *PRINT)]) for side in ("low", "high")])
+    joined = met.join(met.groupBy("h").agg(*ends), "h").select("t", "n", *PRINT, F.inline(sides))
+    near = joined.where((F.col("t") != F.col("end_t")) & (F.least("n", "end_n") >= F.lit(least) * F.greatest("n", "end_n")) & near_prints("", "end_"))
+    return near.select(F.least("t", "end_t").alias("a"), F.greatest("t", "end_t").alias("b")).distinct()
 
 
 def tree_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -462,8 +460,8 @@ def shard_pairs(shard: np.ndarray, query: np.ndarray, t: np.ndarray, n: np.ndarr
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(order)]]))
     forest = Forest(shard[order[first]], fp[order[first]])
-    for start in range(0, len(queries), 256):
-        part = queries[start : start + 256]
+    for start in range(0, len(queries), SEARCHED):
+        part = queries[start : start + SEARCHED]
         for q, node in forest.links(shard[part], fp[part], REACH):
             q, k = part[np.repeat(q, count[node])], count[node]
             ends = np.cumsum(k)
@@ -508,10 +506,10 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     rows = named_texts(docs, text_column)
     texts = met_texts(rows, similarity, docs.count(), shingle)
     stars = stored(star_pairs(texts, similarity), "stars")
-    linked = verified(stars, stored(sets_of(rows, texts, stars, shingle), "sets"), similarity).checkpoint()
+    linked = stored(verified(stars, sets_of(rows, texts, stars, shingle), similarity).repartition("a"), "linked")
     rest = stored(tree_pairs(texts, components(linked), similarity), "pairs")
     if not rest.isEmpty():
-        linked = linked.union(verified(rest, stored(sets_of(rows, texts, rest, shingle), "sets"), similarity))
+        linked = linked.union(verified(rest, sets_of(rows, texts, rest, shingle), similarity))
     return linked, texts.select("t", "body", "twin")
 
 

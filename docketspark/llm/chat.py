@@ -1,9 +1,9 @@
 """Chat formatting: rows of any known layout become canonical turns, and turns become training text with a loss mask.
 
-The layout of a table is told by its schema's fingerprint: the SHA-256 of the sorted paths and types of its nested fields.
-MAPPINGS has the fingerprints of known layouts, each with a declarative mapping to canonical turns (conv_id, turn, role,
-text): a projection, and an array to unfold where one row holds several turns. Other columns than a layout's do no harm: if
-a whole schema's fingerprint is unknown, that of the layout's own paths within it decides, larger layouts first.
+A layout is told by a fingerprint: the SHA-256 of the sorted paths and types of nested fields. MAPPINGS has the fingerprints of
+known layouts, each with a declarative mapping to canonical turns (conv_id, turn, role, text): a projection, and an array to
+unfold where one row holds several turns. A table's schema names the layouts that its rows can have; where there are several,
+each row's own fingerprint, of the paths that it fills, selects its mapping (see chosen()). Other columns do no harm.
 
 Template: a turn is `### role:` and a line feed, the text, a line feed and `</turn>` and a line feed. In roles and texts a
 backslash is put before every backslash, `###` and `</turn>`; in roles line feeds become `\\n` and colons `\\:`. So a marker
@@ -85,21 +85,57 @@ MAPPINGS = {
 }
 
 
-def mapping_of(schema: T.StructType) -> Mapping:
+def layouts_of(schema: T.StructType) -> list[Mapping]:
+    """The known layouts whose paths a schema has, larger ones first; the one that its whole fingerprint names alone if known."""
     found = paths(schema)
-    known = MAPPINGS.get(fingerprint(found))
-    if known is None:
-        for m in sorted(MAPPINGS.values(), key=lambda m: -len(m.fields)):
-            if fingerprint([p for p in found if p in m.fields]) == fingerprint(list(m.fields)):
-                return m
+    if (known := MAPPINGS.get(fingerprint(found))) is not None and len(known.fields) == len(found):
+        inner = [m for m in MAPPINGS.values() if set(m.fields) < set(known.fields)]
+        return [known, *inner]
+    out = [m for m in sorted(MAPPINGS.values(), key=lambda m: -len(m.fields)) if fingerprint([p for p in found if p in m.fields]) == fingerprint(list(m.fields))]
+    if not out:
         raise ValueError(f"no mapping for a table with {', '.join(sorted(found))}")
-    return known
+    return out
+
+
+def top(path: str) -> str:
+    """The column that a path begins with."""
+    return path.split(":")[0].split("[")[0].split(".")[0]
+
+
+def chosen(layouts: list[Mapping]) -> Column:
+    """The number of a row's layout: the one whose fingerprint is that of the paths that the row fills; else the largest that
+    the row fills wholly (of equals the one listed first); else the one of which it fills most; null if it fills nothing of any."""
+    columns: dict[str, set[str]] = {}
+    for m in layouts:
+        for p in m.fields:
+            columns.setdefault(top(p), set()).add(p)
+    own = lambda m: sorted({top(p) for p in m.fields} - {"conv_id"})
+    none = F.array().cast("array<string>")
+    filled = [F.array(*map(F.lit, sorted(ps))) if c == "conv_id" else F.when(F.col(c).isNotNull(), F.array(*map(F.lit, sorted(ps)))).otherwise(none) for c, ps in columns.items()]
+    print_ = F.sha2(F.array_join(F.array_sort(F.flatten(F.array(*filled))), "\n"), 256)
+    share = lambda m: sum((F.col(c).isNotNull().cast("int") for c in own(m)), F.lit(0))
+    rules = [(print_ == fingerprint(list(m.fields)), i) for i, m in enumerate(layouts)]
+    rules += [(share(m) == len(own(m)), i) for i, m in enumerate(layouts)]
+    most = F.greatest(*[share(m) for m in layouts]) if len(layouts) > 1 else share(layouts[0])
+    rules += [((share(m) == most) & (most > 0), i) for i, m in enumerate(layouts)]
+    out = F
+    for test, i in rules:
+        out = out.when(test, F.lit(i))
+    return out
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table in any known layout."""
-    m = mapping_of(rows.schema)
-    out = rows.select(m.ids().cast("long").alias("conv_id"), F.inline(m.turns()))
+    """conv_id, turn, role, text of a table in any known layouts. A row without turns gives one that has no number, role or
+    text, so no conversation is lost."""
+    layouts = layouts_of(rows.schema)
+    if len(layouts) == 1:
+        turns = layouts[0].turns()
+    else:
+        turns = F
+        for i, m in enumerate(layouts):
+            turns = turns.when(F.col("chat_layout") == i, m.turns())
+        rows = rows.withColumn("chat_layout", chosen(layouts))
+    out = rows.select(layouts[0].ids().cast("long").alias("conv_id"), F.inline_outer(turns))
     return out.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -81,9 +81,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"))
     pieces = chat.format_turns(rows.unionByName(added))
-    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "piece", "loss_start", "loss_length"))).alias("p"), F.sum(F.length("piece")).alias("formatted_chars"))
-    turns = F.array_join(F.transform("p", lambda t: F.concat(chat.read_role(t["piece"]), F.lit("\n"), chat.read_text(t["piece"]), F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("p", lambda t: t["loss_start"].isNotNull()), lambda t: chat.read_loss(t["piece"], t["loss_start"], t["loss_length"])), "")
+    back = F.struct("turn", chat.read_role(F.col("piece")).alias("role"), chat.read_text(F.col("piece")).alias("text"), F.when(F.col("loss_start").isNotNull(), chat.read_loss(F.col("piece"), F.col("loss_start"), F.col("loss_length"))).alias("loss"))
+    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(back)).alias("p"), F.sum(F.length("piece")).alias("formatted_chars"))
+    turns = F.array_join(F.transform("p", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("p", lambda t: t["loss"].isNotNull()), lambda t: t["loss"]), "")
     read = whole.select("conv_id", F.size("p").cast("long").alias("n_turns"), turns.alias("turns"), loss.alias("loss"), "formatted_chars")
     return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 

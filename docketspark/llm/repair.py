@@ -14,9 +14,9 @@ The file format is a Parquet table; each row is a shard of consecutive documents
     symbols binary                 the shard's text
 
 Compression follows Re-Pair: the most frequent pairs of adjacent symbols are replaced by new nonterminals, again and again.
-Each round counts all pairs, takes every pair that is frequent enough at once, the most frequent first where two overlap,
-and the last round is one that gains next to nothing. A document's ids are found by summing the symbols' expansion lengths up to its start and
-expanding only the symbols that it touches.
+Each round counts all pairs and takes every pair that is frequent enough at once, the most frequent first where two overlap,
+until none is. A document's ids are found by summing the symbols' expansion lengths up to its start and expanding only the
+symbols that it touches.
 
 Null texts count as empty; each document has the end id. Rows with equal ids are kept, ordered by text. An empty table gives
 files without rows. Other columns of the input are ignored.
@@ -36,12 +36,10 @@ from pyspark.sql import functions as F
 from .common import bucket_of, partitions, range_bounds, text_of
 from .vocab import encoder, vocabulary
 
-ROUNDS = 12  # at most; a round that shrinks the text by less than GAIN is the last
-GAIN = 1 / 64
 LEAST = 8  # occurrences that make a rule worth its place
 SHARD = 1 << 20  # ids after which a shard is closed
 BATCH_CHARS = 8_000_000  # bytes of text that are encoded at once
-TABLE_BITS = 18
+TABLE_BITS = 20
 
 FIELDS = [("bucket", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_tokens", pa.binary()), ("first", pa.int32()), ("width", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())]
 DDL = "bucket int, shard int, start long, n_docs int, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, first int, width int, rules binary, lengths binary, symbols binary"
@@ -86,29 +84,28 @@ class Grammar:
         return self.expand(self.symbols[a:b])[start - before : stop - before]
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> Grammar:
-    """first: an id above all of ids. While rules fit, symbols stay below 2**16."""
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> Grammar:
+    """first: an id above all of ids. Rules end when no pair is frequent, or symbols of 16 bits are used up (of 32, where the ids
+    alone need them)."""
     s = ids.astype(np.int64)
     room = (1 << 16) - first if first < (1 << 16) else (1 << 31) - first
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(0, np.int64)
     mask, made = (1 << TABLE_BITS) - 1, 0
-    for _ in range(rounds):
-        if len(s) < 2 * least or made >= room:
-            break
-        before = len(s)
+    while len(s) >= 2 * least and made < room:
         pair = (s[:-1] << 32) | s[1:]
+        # A place of the table counts all pairs that fall on it, so no frequent pair is missed; those on full places are counted
+        # one by one.
         place = ((pair * -7046029254386353131) >> 24) & mask
-        holder = np.zeros(mask + 1, np.int64)
-        holder[place] = pair  # each place counts one of its pairs exactly; another pair there waits for a later round
-        own = holder[place] == pair
-        counts = np.bincount(place[own], minlength=mask + 1)
+        full = np.flatnonzero((np.bincount(place, minlength=mask + 1) >= least)[place])
+        found, of, counts = np.unique(pair[full], return_inverse=True, return_counts=True)
         frequent = np.flatnonzero(counts >= least)
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")][: room - made]
         if not len(frequent):
             break
-        order = np.full(mask + 1, len(frequent), np.int32)
+        order = np.full(len(found), len(frequent), np.int32)
         order[frequent] = np.arange(len(frequent), dtype=np.int32)
-        rank = np.where(own, order[place], np.int32(len(frequent)))
+        rank = np.full(len(pair), len(frequent), np.int32)
+        rank[full] = order[of]
         twins = np.flatnonzero(s[:-1] == s[1:])
         if len(twins):  # in a run of one symbol every other pair counts
             starts = np.flatnonzero(np.concatenate([[True], np.diff(twins) != 1]))
@@ -126,7 +123,7 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         left = np.ones(len(s), bool)
         left[at + 1] = False
         s = s[left]
-        new = holder[frequent[used]]
+        new = found[frequent[used]]
         new = np.stack([new >> 32, new & 0xFFFFFFFF], 1)
         parts = np.ones(new.shape, np.int64)
         deep = new >= first
@@ -134,8 +131,6 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         rules.append(new)
         lengths = np.concatenate([lengths, parts.sum(1)])
         made += len(new)
-        if before - len(s) < GAIN * before:
-            break
     return Grammar(first, np.concatenate(rules), lengths, s.astype(np.uint32))
 
 
@@ -161,13 +156,14 @@ class Shard:
         self.ends = np.cumsum(np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64))
         read = lambda k: np.frombuffer(row[k], kind).astype(np.uint32)
         self.grammar = Grammar(row["first"], read("rules").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64), read("symbols"))
+        self.symbol_ends = np.cumsum(self.grammar.sizes())
 
     def all_ids(self) -> np.ndarray:
         return self.grammar.expand(self.grammar.symbols)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document alone."""
-        return self.grammar.slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+        return self.grammar.slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]), self.symbol_ends)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[list[tuple]]:
@@ -236,7 +232,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for i in range(b.num_rows):
                 row = {k: b.column(j)[i].as_py() for j, (k, _) in enumerate(FIELDS)}
                 shard = Shard(row)
-                data, ends = shard.all_ids().astype("<u4").tobytes(), shard.ends
+                ends = shard.ends
+                data = b"".join(shard.document(j).astype("<u4").tobytes() for j in range(len(ends)))
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype("<i4").tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + row["start"] + base[row["bucket"]]), ids], schema=schema)

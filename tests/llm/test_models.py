@@ -100,13 +100,15 @@ def test_pooling_equals_plain_windows():
 
 
 def test_toxicity_held_out(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = op2_toxicity(spark, SF).collect()
     assert len(got) == 1000
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
-    held = [r for r in got if r.held_out and r.doc_id in labels]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.85
+    labels_ = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    held = [r for r in op2_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect() if r.doc_id in labels_]
+    for label, least in ((1, 0.85), (0, 0.97)):  # of either label, as most rows have one
+        own = [r.predicted == label for r in held if labels_[r.doc_id] == label]
+        assert len(own) > 50 and np.mean(own) > least
 
 
 def test_toxicity_learns_words_and_handles_odd_rows(spark):

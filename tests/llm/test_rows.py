@@ -245,3 +245,31 @@ def test_layouts(spark):
         assert sorted(map(tuple, chat.canonical(t).collect())) == want
     with pytest.raises(ValueError):
         chat.canonical(spark.range(1))
+
+
+def test_mixed_layouts_lose_no_conversation(spark):
+    one = "array<struct<role:string,content:string>>"
+    rows = [(1, [("user", "q"), ("assistant", "a")], None, None, 1), (2, None, "q", "a", 1), (3, None, None, None, 1), (4, [], None, None, 1), (5, None, "q", None, 1), (6, [("user", "q")], "p", "r", None), (None, None, "n", "a", 1)]
+    df = spark.createDataFrame(rows, f"conv_id long, messages {one}, prompt string, response string, score int")
+    got = {}
+    for r in chat.canonical(df).collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    pair = [(0, "user", "q"), (1, "assistant", "a")]
+    assert got == {1: pair, 2: pair, 3: [(None, "", "")], 4: [(None, "", "")], 5: [(0, "user", "q"), (1, "assistant", "")], 6: [(0, "user", "q")], None: [(0, "user", "n"), (1, "assistant", "a")]}
+    rng = random.Random(3)
+    rows = [(i, *[rng.choice([None, "", "x"]) for _ in range(5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, instruction string, input string, output string, prompt string, response string")
+    assert chat.format_turns(df).select("conv_id").distinct().count() == 200
+
+
+def test_turns_with_equal_numbers_are_ordered_by_text(spark, tmp_path):
+    texts = ["###", "A", "\\", "a", "", "</turn>", "Z", "\\###", None, "[", "^"]
+    rows = [(1, 0, r, t) for t in texts for r in ("user", "assistant")] + [(2, i % 3, "assistant", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op8_chat"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    r = c.execute(oracle_sql()["op8_chat"])
+    names = [d[0] for d in r.description]
+    assert sorted(str(sorted(x.asDict().items())) for x in got) == sorted(str(sorted(zip(names, row))) for row in r.fetchall())
