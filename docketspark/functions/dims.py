@@ -50,18 +50,52 @@ MIN_DF, MAX_DF_RATIO = 2, 0.12
 PHRASE_BONUS, PAGE_SIZE, HITS_PER_CASE, SNIPPET, SNIPPET_LEAD, SIDEBAR_TERMS, BLOB_HITS, SHARD_TERMS = 1.4, 10, 3, 420, 120, 24, 32, 20_000
 LEAST_RECLASSIFIED, REACH, FORCED_REACH, LEAST_PREDICTED = 0.72, 10, 30, 0.75
 
+# What the forced pass gives: confidence and reason. A reason that another pass gave stands behind FORCED_PREFIX.
+FORCED_PREFIX, FORCED_LEAST = "forced:", 0.72
+FORCED = {
+    "dissent": (0.78, "forced:dissent-lexical"),
+    "nearest": (0.7, "forced:nearest-neighbor"),
+    "previous": (0.68, "forced:prev-neighbor"),
+    "next": (0.68, "forced:next-neighbor"),
+    "early_order": (0.65, "forced:early-postanowienie"),
+    "early": (0.65, "forced:early-default-tenor"),
+    "legal": (0.64, "forced:legal-cues"),
+    "procedure": (0.64, "forced:procedure-cues"),
+    "history": (0.64, "forced:history-cues"),
+    "late": (0.62, "forced:late-default-legal"),
+    "other": (0.62, "forced:default-history"),
+}
+FORCED_MODEL = "forced-fallback"
+
+# Sentences of similarity reasons, by component.
+REASONS = {"citations": "Wspólne przepisy: ", "dotyczy_bigrams": "Wspólne frazy w tytule: ", "lexical": "Wspólne frazy w tekście: ", "metadata": "To samo repertorium: "}
+
+# The instruction that goes with paragraphs to a language model; {keys} are the section keys.
+PROMPT = (
+    "Jesteś asystentem prawnym klasyfikującym akapity orzeczeń polskiego Trybunału Konstytucyjnego.",
+    "Dla każdego rekordu wybierz dokładnie jeden klucz sekcji.",
+    "Dozwolone klucze: {keys}.",
+    "Użyj treści akapitu, kontekstu (poprzedni i następny akapit), pozycji w dokumencie i języka prawniczego.",
+    "Jeżeli nie masz pewności, wybierz 'inne'.",
+    "Zwróć wyłącznie poprawny JSON bez markdown:",
+    '{{"predictions":[{{"paragraph_id":"...","predicted_section_key":"...","confidence":0.0,"reason":"krótkie uzasadnienie"}}]}}',
+    "confidence musi być w zakresie 0..1.",
+)
+MATRIX_ISSUES, MATRIX_WORDS, HISTORY_ENTRIES = 16, 12, 25
+
 MONTHS = ("stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "wrzesnia", "pazdziernika", "listopada", "grudnia")
 
 # Stop words of corpus bigrams (folded).
-BIGRAM_STOPWORDS = tuple(
-    "i oraz lub na w z do od o u a ze sie jest sa to ten ta te nie dla przez ktory ktora ktore jako po za co czy art ust pkt par sygn trybunal konstytucyjny ustawy ustawa"
-    " konstytucji dnia roku orzeczenie postepowania otk zu poz nr dz lit dalej tk rp".split()
-)
+BIGRAM_STOPWORDS = (
+    "i", "oraz", "lub", "na", "w", "z", "do", "od", "o", "u", "a", "ze", "sie", "jest", "sa", "to", "ten", "ta", "te", "nie", "dla", "przez", "ktory", "ktora", "ktore", "jako", "po", "za",
+    "co", "czy", "art", "ust", "pkt", "par", "sygn", "trybunal", "konstytucyjny", "ustawy", "ustawa", "konstytucji", "dnia", "roku", "orzeczenie", "postepowania", "otk", "zu", "poz", "nr",
+    "dz", "lit", "dalej", "tk", "rp",
+)
 # Stop words of the sidebar; they hold diacritics although the tokens are folded.
-SIDEBAR_STOPWORDS = tuple(
-    "i oraz lub na w z do od o u a ze się jest są to ten ta te nie dla przez który która które jako po za co czy art ust pkt par sygn trybunał konstytucyjny ustawy ustawa"
-    " konstytucji dnia roku orzeczenie postępowania".split()
-)
+SIDEBAR_STOPWORDS = (
+    "i", "oraz", "lub", "na", "w", "z", "do", "od", "o", "u", "a", "ze", "się", "jest", "są", "to", "ten", "ta", "te", "nie", "dla", "przez", "który", "która", "które", "jako", "po", "za",
+    "co", "czy", "art", "ust", "pkt", "par", "sygn", "trybunał", "konstytucyjny", "ustawy", "ustawa", "konstytucji", "dnia", "roku", "orzeczenie", "postępowania",
+)
 # Phrases that say nothing about a case.
 NOISE_PHRASES = (
     "trybunału konstytucyjnego", "trybunale konstytucyjnym", "trybunałem konstytucyjnym", "rzeczypospolitej polskiej", "niniejszej sprawie", "tym samym", "tym zakresie",

@@ -18,6 +18,8 @@ from ..functions.text import fold_plain, lemma_tokens
 from .query import Query, Text
 
 KEY = ["document_id", "paragraph_id"]
+#: Buckets at most when terms are numbered: their cut points are part of the plan.
+MOST_BUCKETS = 256
 
 
 def occurrences(paragraphs: DataFrame, text: str = "text", key: Sequence[str] = KEY) -> DataFrame:
@@ -41,8 +43,8 @@ def forms(found: DataFrame, dictionary: DataFrame | None = None, lemmatize: Call
 
 
 def positions(found: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """lemma, key, pos, distinct."""
-    return found.join(lemmas, "form").drop("form").distinct()
+    """lemma, key, pos. A place has one form, and forms() gives each pair of form and lemma once, so rows are distinct."""
+    return found.join(lemmas, "form").drop("form")
 
 
 def postings(found: DataFrame) -> DataFrame:
@@ -56,10 +58,17 @@ def packed(found: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def of_token(found: DataFrame, lemmas: DataFrame, token: str) -> DataFrame:
-    """key, pos where any lemma of the token stands; a token that no form has is looked up as a lemma."""
+    """key, pos where any lemma of the token stands; a token that no form has is looked up as a lemma.
+
+    found: positions (lemma), or occurrences (form). Of occurrences only those of the lemmas' forms are kept, where the tokens
+    are made, so no other token is shuffled or meets the dictionary."""
     own = lemmas.where(F.col("form") == token).select("lemma").distinct()
     itself = own.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(token).alias("lemma"))
-    return found.join(F.broadcast(own.union(itself)), "lemma").drop("lemma").distinct()  # a form has a few lemmas
+    wanted = F.broadcast(own.union(itself))  # a form has a few lemmas
+    if "form" in found.columns:
+        wanted_forms = F.broadcast(lemmas.join(wanted, "lemma").select("form").distinct())  # a lemma has a few forms
+        return found.join(wanted_forms, "form", "left_semi").drop("form")
+    return found.join(wanted, "lemma").drop("lemma").distinct()
 
 
 def phrase(found: DataFrame, lemmas: DataFrame, tokens: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
@@ -132,9 +141,13 @@ def highlights(rows: DataFrame, found: DataFrame, lemmas: DataFrame, query: Quer
 def shards(terms: DataFrame, term: str = "term", size: int = dims.SHARD_TERMS) -> DataFrame:
     """shard, from, to, n: distinct sorted terms in runs of a fixed number.
 
-    Terms are dealt by ranges, so a term's number is its number in its range plus the ranges before: no task sees all terms,
-    and the driver one number for each range."""
-    dealt = terms.select(F.col(term).alias("term")).distinct().repartitionByRange("term").select("term", F.spark_partition_id().alias("part"))
+    Terms are dealt into buckets between cut points that a sample gives once, so whoever computes a term's bucket finds the
+    same; its number is its number in the bucket plus the buckets before. No task sees all terms, and the driver gets a sample
+    of bounded size and one number for each bucket."""
+    own = terms.select(F.col(term).alias("term")).distinct()
+    cuts = cut_points(own, min(MOST_BUCKETS, max(1, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("term"))) if cuts else F.lit(0)
+    dealt = own.withColumn("part", bucket)
     counts, before = {}, 0
     for part, n in sorted(map(tuple, dealt.groupBy("part").count().collect())):
         counts[part], before = before, before + n
@@ -145,6 +158,14 @@ def shards(terms: DataFrame, term: str = "term", size: int = dims.SHARD_TERMS) -
     return dealt.withColumn("shard", F.floor(number / size).cast("int")).groupBy("shard").agg(F.min("term").alias("from"), F.max("term").alias("to"), F.count(F.lit(1)).alias("n"))
 
 
+def cut_points(terms: DataFrame, n: int, each: int = 32) -> list[str]:
+    """At most n - 1 ascending terms that cut distinct terms into about equal parts: every 32nd of a sample by hash."""
+    if n < 2:
+        return []
+    found = sorted(r.term for r in terms.where("term is not null").orderBy(F.xxhash64("term"), "term").limit(n * each).collect())
+    return [found[len(found) * i // n] for i in range(1, n)] if len(found) >= n else []
+
+
 def write_index(paragraphs: DataFrame, path: str, dataset_hash: str, dictionary: DataFrame | None = None, lemmatize: Callable[[str], Sequence[str]] | None = None) -> None:
     """forms, positions and postings below path, sorted by lemma so that Parquet statistics prune lookups; a manifest row."""
     found = occurrences(paragraphs)

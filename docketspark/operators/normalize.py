@@ -96,10 +96,34 @@ def duplicate_ids(rows: DataFrame, key: str = "document_id") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
 
 
+def review(rows: DataFrame) -> DataFrame:
+    """The report on reclassified paragraphs of normalized cases, a row for each: what it was and became, how sure, why, by which
+    pass, and the text."""
+    p = F.col("p")
+    forced = p["section_reclass_reason"].startswith(dims.FORCED_PREFIX)
+    changed = rows.select("document_id", "case_signature", F.explode(F.filter("paragraphs", lambda x: x["section_reclassified_from"].isNotNull())).alias("p"))
+    return changed.select(
+        "document_id", "case_signature", p["paragraph_id"].alias("paragraph_id"), p["paragraph_index"].alias("paragraph_index"), p["paragraph_number"].alias("paragraph_number"),
+        p["section_reclassified_from"].alias("source_section_key"), p["section_key"].alias("predicted_section_key"), p["section_label"].alias("predicted_section_label"), p["section_confidence"].alias("confidence"),
+        p["section_reclass_reason"].alias("reason"), F.when(forced, dims.FORCED_MODEL).alias("model"), p["text"].alias("text"),
+    )
+
+
+def review_counts(report: DataFrame) -> DataFrame:
+    """model (null for the rules' pass), predicted_section_key, n: how many paragraphs each pass moved to each section."""
+    return report.groupBy("model", "predicted_section_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prompt() -> str:
+    """The instruction for a language model that predicts sections; predict() takes the callable that uses it."""
+    return " ".join(dims.PROMPT).format(keys=", ".join(dims.SECTIONS))
+
+
 # --- steps along the paragraphs ---
 
 _re = {k: re.compile(getattr(classify, k), re.ASCII) for k in ("DIVIDER", "CONTINUATION", "SENTENCE_ORDERS", "SENTENCE_RULES", "HISTORY", "PROCEDURE", "REASONING")}
 _SENTENCE_LINE = [re.compile(p, re.ASCII) for p in (r"^[-–—]", rf"^(art\.?|§|paragraf|pkt\.?|ust\.?|orzeczenie){classify.E}", classify.LIST_ITEM, rf"{classify.B}(jest|sa)\s+(niezgodn|zgodn|dopuszczaln|niedopuszczaln)", rf"{classify.B}(umorzyc|umarza|postanawia|orzeka|odmawia|odrzuca|oddalic){classify.E}")]
+_JUDGE = re.compile(r"sedziego\s+tk", re.ASCII)
 _JUDGE_LINE = re.compile(r"^sedziego\s+tk(?![A-Za-z0-9_])", re.ASCII)
 _CONTINUED = ("do ", "z dnia ", "sygn.", "sygn ")
 
@@ -151,6 +175,7 @@ class Walk:
         found = lambda k: bool(_re[k].search(norm))
         sentence = place <= 0.35 and any(p.search(norm) for p in _SENTENCE_LINE)
         history = found("HISTORY")
+        # The rules' order, sections, confidences and reasons.
         rules: list[tuple[bool, str | None, float, str]] = [
             (norm.startswith("zdanie odrebne"), "zdanie_odrebne", 0.98, "dissent-heading"),
             (has("trybunal zwazyl"), "uzasadnienie_prawne", 0.94, "raw-legal-heading"),
@@ -179,22 +204,22 @@ class Walk:
     def forced(self, i: int) -> tuple[str, float, str]:
         """A section in any case."""
         norm, place = self.norm[i], (i + 1) / len(self.rows)
-        if norm.startswith("zdanie odrebne") or "sedziego tk" in norm:
-            return "zdanie_odrebne", 0.78, "forced-dissent"
+        if norm.startswith("zdanie odrebne") or _JUDGE.search(norm):
+            return "zdanie_odrebne", *dims.FORCED["dissent"]
         if (guess := self.infer(i)) is not None:
-            return guess[0], max(0.72, guess[1]), f"forced-{guess[2]}"
+            return guess[0], max(dims.FORCED_LEAST, guess[1]), dims.FORCED_PREFIX + guess[2]
         (before, b), (after, a) = self.near(i, -1, dims.FORCED_REACH), self.near(i, 1, dims.FORCED_REACH)
         if before and after:
             bias = lambda key, d: d - (1 if place <= 0.35 and key in dims.SENTENCE_SECTIONS else 0)
-            return (before if bias(before, b) <= bias(after, a) else after), 0.70, "forced-nearest-neighbor"
+            return (before if bias(before, b) <= bias(after, a) else after), *dims.FORCED["nearest"]
         if before or after:
-            return before or after, 0.68, "forced-only-neighbor"
+            return before or after, *dims.FORCED["previous" if before else "next"]
         if place <= 0.35:
-            return ("postanawia" if "postanow" in self.type else "tenor"), 0.65, "forced-early-default"
-        for cue, key in (("REASONING", "uzasadnienie_prawne"), ("PROCEDURE", "uzasadnienie_postepowanie"), ("HISTORY", "uzasadnienie_historyczne")):
+            return ("postanawia", *dims.FORCED["early_order"]) if "postanow" in self.type else ("tenor", *dims.FORCED["early"])
+        for cue, key, name in (("REASONING", "uzasadnienie_prawne", "legal"), ("PROCEDURE", "uzasadnienie_postepowanie", "procedure"), ("HISTORY", "uzasadnienie_historyczne", "history")):
             if _re[cue].search(norm):
-                return key, 0.64, "forced-cue"
-        return ("uzasadnienie_prawne" if place > 0.8 else "uzasadnienie_historyczne"), 0.62, "forced-late-default"
+                return key, *dims.FORCED[name]
+        return ("uzasadnienie_prawne", *dims.FORCED["late"]) if place > 0.8 else ("uzasadnienie_historyczne", *dims.FORCED["other"])
 
     def apply(self, forced: bool) -> None:
         for i, key in enumerate(self.keys):

@@ -112,6 +112,25 @@ def sidebar_terms(rows: DataFrame, text: str, query: Query, n: int = dims.SIDEBA
     return rows.select(words.alias("term")).groupBy("term").count().orderBy(F.col("count").desc(), "term").limit(n)
 
 
+def issues(paragraphs: DataFrame, query: Query, n: int = dims.MATRIX_WORDS) -> list[str]:
+    """The issues of an argument matrix: the query's texts, or without any the most frequent words (column text)."""
+    if query.texts:
+        return list(dict.fromkeys(t.raw for t in query.texts))[: dims.MATRIX_ISSUES]
+    words = F.explode(F.filter(F.split(fold_search("text"), r"[^\p{L}\p{N}_-]+"), lambda t: (F.length(t) >= 4) & ~t.isin(*dims.SIDEBAR_STOPWORDS)))
+    return [r.term for r in paragraphs.select(words.alias("term")).groupBy("term").count().orderBy(F.col("count").desc(), "term").limit(n).collect()]
+
+
+def recent(queries: DataFrame, query: str = "query", at: str = "ts", n: int = dims.HISTORY_ENTRIES) -> DataFrame:
+    """query, last_at: the queries used last, each once; empty ones are left out."""
+    rows = queries.select(normalize_space(query).alias("query"), F.col(at).alias("at")).where("query <> ''")
+    return rows.groupBy("query").agg(F.max("at").alias("last_at")).orderBy(F.col("last_at").desc(), "query").limit(n)
+
+
+def chronology(rows: DataFrame, by: str, date: str, key: str) -> DataFrame:
+    """rows with their place by date within each group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(date, key)))
+
+
 def argument_matrix(paragraphs: DataFrame, issues: Sequence[str], case: str, label: str, place: str, cell: int = 4) -> DataFrame:
     """issue, case, cell: the first labels of a case's paragraphs that hold the issue. Issues are a handful of words, given on
     the driver."""

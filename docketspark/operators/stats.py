@@ -61,7 +61,9 @@ def bigrams(rows: DataFrame, text: Column | str, order: Sequence[str]) -> DataFr
     canon = F.create_map(*[F.lit(x) for v in set(dims.PHRASE_ALIASES.values()) for x in (v, fold_plain(v, True))])
     named = made.select(*order, "place", key.alias("raw"), label.alias("own")).withColumn("alias", F.element_at(alias, F.col("raw")))
     named = named.select(*order, "place", F.coalesce(F.element_at(canon, F.col("alias")), F.col("raw")).alias("key"), F.coalesce("alias", "own").alias("label"))
-    return named.groupBy("key").agg(F.max_by("label", F.struct(*order, "place")).alias("label"), F.count(F.lit(1)).alias("n"))
+    # Labels of a key are few: they are counted first, and only their last places are compared.
+    spelled = named.groupBy("key", "label").agg(F.max(F.struct(*order, "place")).alias("last"), F.count(F.lit(1)).alias("n"))
+    return spelled.groupBy("key").agg(F.max_by("label", "last").alias("label"), F.sum("n").alias("n"))
 
 
 def split_noise(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +110,12 @@ def top_of_each(counts: DataFrame, by: str, n: int, label: str = "label") -> Dat
 
 def facets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """facet, value, n over several columns with one pass (grouping sets)."""
-    sets = ", ".join(f"({c})" for c in columns)
-    view = f"facets_{abs(hash((tuple(columns), id(rows))))}"
-    rows.createOrReplaceTempView(view)
-    which = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns)
-    value = " ".join(f"WHEN grouping({c}) = 0 THEN CAST({c} AS STRING)" for c in columns)
-    return rows.sparkSession.sql(f"SELECT CASE {which} END AS facet, CASE {value} END AS value, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({sets})")
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in columns:
+        here = F.grouping(c) == 0
+        which, value = F.when(here, F.lit(c)).otherwise(which), F.when(here, F.col(c).cast("string")).otherwise(value)
+    out = rows.groupingSets([[c] for c in columns], *columns).agg(which.alias("facet"), value.alias("value"), F.count(F.lit(1)).alias("n"))
+    return out.select("facet", "value", "n")
 
 
 def stats_document(tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
-from ..operators import similarity, stats
+from ..operators import search, similarity, stats
 from ..sources import sinks
 from ..streaming import ingest
 from .registry import LINES, lines, query, sql_build, sql_list, sql_ns, sql_tokens, table
@@ -250,11 +250,16 @@ _MIX = f"""s AS (SELECT s_suppkey AS id, s_nationkey AS term FROM supplier UNION
     k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM d WHERE score > 0)"""
 
 
+def _supplier_facts(spark, sf):
+    key = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.substring("s_name", 1, 1), F.col("s_nationkey") % 4).alias("repertory"), (F.col("s_nationkey") % 5).cast("string").alias("bench"), (1990 + key % 25).alias("year"), F.array(key % 3, 3 + key % 2).alias("judges"))
+
+
 def _mixed(spark, sf):
     """All pairs that matter of suppliers: a shared nation or number is a citation; the rest is metadata."""
     s, key = table(spark, sf, "supplier"), F.col("s_suppkey")
     cited = similarity.term_counts(s, "s_suppkey", F.array(F.col("s_nationkey").cast("long"), 100 + key % 40))
-    facts = s.select("s_suppkey", F.concat(F.substring("s_name", 1, 1), F.col("s_nationkey") % 4).alias("repertory"), (F.col("s_nationkey") % 5).cast("string").alias("bench"), (1990 + key % 25).alias("year"), F.array(key % 3, 3 + key % 2).alias("judges"))
+    facts = _supplier_facts(spark, sf)
     none = spark.createDataFrame([], "a long, b long, value double")
     found = similarity.scored(none, similarity.overlaps(cited, "s_suppkey"), none, facts, "s_suppkey")
     return found.unionByName(similarity.metadata_only(found, facts, "s_suppkey")), cited
@@ -324,8 +329,7 @@ def dataset_hash(spark, sf):
 
 @query("SELECT user_id || ':' || event_type AS query, max(ts) AS last_at FROM events GROUP BY 1 ORDER BY last_at DESC, query LIMIT 25")
 def query_history_recent(spark, sf):
-    rows = table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("query"), "ts")
-    return rows.groupBy("query").agg(F.max("ts").alias("last_at")).orderBy(F.col("last_at").desc(), "query").limit(25)
+    return search.recent(table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("query"), "ts"))
 
 
 @query("""SELECT c_custkey, c_custkey || ',' || CASE WHEN c_custkey % 5 = 0 THEN '"' || c_name || ', the ""first""' || '"' ELSE c_name END || ',' || coalesce(c_mktsegment, '') AS value FROM customer""")
@@ -370,5 +374,16 @@ def events_by_window(spark, sf):
 
 @query("SELECT o_orderkey, o_orderdate, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS place FROM orders")
 def chronology(spark, sf):
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", place.alias("place"))
+    return search.chronology(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate", "place")
+
+
+@query(
+    "SELECT k.source, k.target, array_to_string(list_filter([string_agg('Wspólne przepisy: ' || c.reason, ''), string_agg('To samo repertorium: ' || CASE WHEN x.repertory = y.repertory THEN x.repertory END, '')], lambda z: z IS NOT NULL), '; ') AS reasons"
+    " FROM k LEFT JOIN (SELECT k.source, k.target, string_agg(x.term::VARCHAR, ', ' ORDER BY x.term) AS reason FROM k JOIN s x ON x.id = k.source JOIN s y ON y.id = k.target AND x.term = y.term WHERE rank <= 5 GROUP BY 1, 2) c ON c.source = k.source AND c.target = k.target"
+    " JOIN g x ON x.id = k.source JOIN g y ON y.id = k.target WHERE rank <= 5 AND (c.reason IS NOT NULL OR x.repertory = y.repertory) GROUP BY k.source, k.target",
+    _MIX,
+)
+def reason_sentences(spark, sf):
+    pairs, cited = _mixed(spark, sf)
+    found = similarity.sentences(similarity.top_k(pairs), _supplier_facts(spark, sf), "s_suppkey", citations=cited)
+    return found.select("source", "target", F.array_join("reasons", "; ").alias("reasons"))

@@ -224,10 +224,15 @@ _TOKS = INDEX + """, toks AS (SELECT paragraph_id, form, left(form, 5) AS lemma,
 _KEY = ["paragraph_id"]
 
 
-def _lemmas(spark, sf):
+def _tokens(spark, sf):
+    """Every token, and the dictionary."""
     found = lemma.occurrences(lines(spark, sf), "text", _KEY)
-    known = found.select("form").distinct().select("form", F.substring("form", 1, 5).alias("lemma"))
-    return lemma.positions(found, lemma.forms(found, known)), known
+    return found, found.select("form").distinct().select("form", F.substring("form", 1, 5).alias("lemma"))
+
+
+def _lemmas(spark, sf):
+    found, known = _tokens(spark, sf)
+    return lemma.positions(found, known), known
 
 
 @query("SELECT lemma, count(DISTINCT paragraph_id) AS paragraphs, md5(string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id)) AS digest FROM toks GROUP BY lemma", _TOKS)
@@ -243,33 +248,33 @@ def lemma_positions(spark, sf):
 
 @query("SELECT DISTINCT paragraph_id FROM toks WHERE lemma = 'the' INTERSECT SELECT paragraph_id FROM toks WHERE lemma = 'and'", _TOKS)
 def lemma_and(spark, sf):
-    found, known = _lemmas(spark, sf)
+    found, known = _tokens(spark, sf)
     return lemma.all_of(found, known, ["the", "and"], _KEY)
 
 
 @query("SELECT DISTINCT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) WHERE a.lemma = 'of' AND b.lemma = 'the' AND b.pos = a.pos + 1", _TOKS)
 def lemma_phrase2(spark, sf):
-    found, known = _lemmas(spark, sf)
+    found, known = _tokens(spark, sf)
     return lemma.phrase(found, known, ["of", "the"], _KEY)
 
 
 @query("SELECT DISTINCT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) JOIN toks c USING (paragraph_id) WHERE a.lemma = 'the' AND b.lemma = 'of' AND b.pos = a.pos + 1 AND c.lemma = 'the' AND c.pos = a.pos + 2", _TOKS)
 def lemma_phrase3(spark, sf):
-    found, known = _lemmas(spark, sf)
+    found, known = _tokens(spark, sf)
     return lemma.phrase(found, known, ["the", "of", "the"], _KEY)
 
 
 @query("SELECT paragraph_id FROM idx WHERE paragraph_id IN (SELECT paragraph_id FROM toks WHERE lemma = 'the') AND paragraph_id NOT IN (SELECT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) WHERE a.lemma = 'of' AND b.lemma = 'the' AND b.pos = a.pos + 1)", _TOKS)
 def lemma_search(spark, sf):
-    found, known = _lemmas(spark, sf)
+    found, known = _tokens(spark, sf)
     return lemma.search(index(spark, sf), found, known, parse('the NOT "of the"'), _KEY).select("paragraph_id")
 
 
 @query("SELECT form, lemma FROM toks GROUP BY form, lemma", _TOKS)
 def lemma_forms(spark, sf):
-    return _lemmas(spark, sf)[1]
+    return _tokens(spark, sf)[1]
 
 
 @query('SELECT shard, min(form) AS "from", max(form) AS "to", count(*) AS n FROM (SELECT form, ((row_number() OVER (ORDER BY form) - 1) // 1000)::INT AS shard FROM (SELECT DISTINCT form FROM toks)) GROUP BY shard', _TOKS)
 def shard_ranges(spark, sf):
-    return lemma.shards(_lemmas(spark, sf)[1], "form", 1000)
+    return lemma.shards(_tokens(spark, sf)[1], "form", 1000)

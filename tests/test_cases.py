@@ -217,3 +217,36 @@ def test_bigram_jaccard_all_against_brute_force(spark):
                 want[a, b] = round(both / (6 - both), 6)
     got = {(r.a, r.b): r.value for r in queries()["bigram_jaccard_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and 0.2 in got.values()
+
+
+def test_forced_reasons():
+    """One paragraph for each way of the forced pass."""
+    plain = lambda n: [paragraph("inne", "nic") for _ in range(n)]
+    reasons = lambda rows, kind="Wyrok": [k[2] for k in keys(rows, kind, True)]
+    assert reasons(plain(10))[0] == "forced:early-default-tenor"
+    assert reasons(plain(10), "Postanowienie")[0] == "forced:early-postanowienie"
+    assert reasons([paragraph("inne", "głos sędziego TK Nowaka")])[0] == "forced:dissent-lexical"
+    far = [paragraph("komparycja", "x"), *plain(12), paragraph("zdanie_odrebne", "y")]
+    assert "forced:nearest-neighbor" in reasons(far)
+    tail = [paragraph("komparycja", "x"), *plain(1)]
+    assert reasons(tail)[1] == "forced:prev-neighbor"
+    assert reasons([paragraph("inne", "nic"), paragraph("komparycja", "x")])[0] == "forced:next-neighbor"
+
+
+def test_review_report(spark):
+    raw = spark.createDataFrame([("d1", "K 1", [("p1", 1, "zdanie_odrebne", "Zdanie odrębne", 0.98, "inne", "dissent-heading", "a"), ("p2", 2, "tenor", "Tenor", 0.9, None, None, "b"), ("p3", 3, "tenor", "Tenor", 0.65, "inne", "forced:early-default-tenor", "c")])],
+        "document_id string, case_signature string, paragraphs array<struct<paragraph_id:string,paragraph_index:int,section_key:string,section_label:string,section_confidence:double,section_reclassified_from:string,section_reclass_reason:string,text:string>>")
+    raw = raw.withColumn("paragraphs", F.transform("paragraphs", lambda p: p.withField("paragraph_number", F.lit(None).cast("string"))))
+    report = normalize.review(raw)
+    assert sorted((r.paragraph_id, r.source_section_key, r.predicted_section_key, r.reason, r.model, r.text) for r in report.collect()) == [("p1", "inne", "zdanie_odrebne", "dissent-heading", None, "a"), ("p3", "inne", "tenor", "forced:early-default-tenor", "forced-fallback", "c")]
+    assert sorted((str(r.model), r.predicted_section_key, r.n) for r in normalize.review_counts(report).collect()) == [("None", "zdanie_odrebne", 1), ("forced-fallback", "tenor", 1)]
+    assert normalize.prompt().count("{") == 2 and "komparycja, tenor" in normalize.prompt()
+
+
+def test_shards_of_many_terms(spark):
+    from docketspark.operators import lemma
+
+    terms = spark.range(400_000).select(F.concat(F.lit("t"), F.col("id")).alias("term"))
+    got = sorted(lemma.shards(terms, "term", 1000).collect())
+    names = sorted(f"t{i}" for i in range(400_000))
+    assert [tuple(r) for r in got] == [(i, names[1000 * i], names[1000 * i + 999], 1000) for i in range(400)]
