@@ -11,11 +11,19 @@ from docketspark.llm.registry import fold
 
 #: A document stays if its language has this share of it at least.
 LEAST_SHARE = 0.5
+#: Bytes of an Arrow batch: texts go to the Python workers in small pieces, so that neither side holds large buffers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches; this changes no results. Each stage does it, as each may run in a session of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language (no letters), or without a language of at least half of their text, go. A language
     that is missing is filled in."""
+    small_batches(spark)
     model = langid.train(docs, fold(4) != 2)
     found = langid.identify(docs, model)
     share = F.regexp_extract("mixture", r":([0-9.]+)", 1).try_cast("double")
@@ -30,6 +38,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect the one with the smallest doc_id stays."""
+    small_batches(spark)
     return bktree.drop_near_duplicates(docs)
 
 
@@ -40,6 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
