@@ -27,9 +27,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,7 +270,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """For each text the ascending hashes (unsigned) of its distinct k-word shingles; none for a text without words."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = parts.values.dictionary_encode()
-    names = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64)
+    names = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
     codes, offsets = coded.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
     full = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[codes]  # white space at the ends gives empty words
     word = names[codes[full]] if len(codes) else np.zeros(0, np.uint64)
@@ -283,7 +283,15 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         step = (h ^ np.concatenate([word[j:], np.zeros(min(j, len(word)), np.uint64)])) * np.uint64(0x9E3779B97F4A7C15)
         h = np.where(inside, step ^ (step >> np.uint64(29)), h)
     stops = offsets[:-1] + np.where(sizes > 0, np.maximum(sizes - k + 1, 1), 0)
-    return [np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), stops.tolist())]
+    return [ascending(h[a:b]) for a, b in zip(offsets[:-1].tolist(), stops.tolist())]
+
+
+def ascending(h: np.ndarray) -> np.ndarray:
+    """The distinct values, by sorting (np.unique hashes them first, which takes longer here)."""
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -341,6 +349,19 @@ def prefixes(sets: list[np.ndarray], least: float, common: tuple[np.ndarray, np.
     return out
 
 
+#: The lowest bit of each byte of a word.
+LANES = np.uint64(0x0101010101010101)
+
+
+def runs(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the given sizes (none is 0), end to end, in runs of `most` at most: where each run starts, and the first
+    run of each stretch."""
+    n = -(-sizes // most)
+    part = np.cumsum(n) - n
+    inside = np.arange(int(n.sum())) - np.repeat(part, n)
+    return np.repeat(np.cumsum(sizes) - sizes, n) + most * inside, part
+
+
 def set_prints(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, WIDTH): the SimHash of each set of hashes, a bit being set where over half of the hashes have it. The further
     words' bits are those of the hashes scrambled again and again."""
@@ -353,10 +374,12 @@ def set_prints(sets: list[np.ndarray]) -> np.ndarray:
         full = start + np.flatnonzero(sizes[start:stop])
         if len(full):
             words = np.concatenate(sets[start:stop])
+            heads, part = runs(sizes[full], 255)
             for j in range(WIDTH):
-                bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-                votes = np.add.reduceat(bits, ends[full] - sizes[full] - (ends[start] - sizes[start]), axis=0, dtype=np.int32)
-                out[full, j] = np.packbits(votes * 2 > sizes[full, None], axis=1).view(np.uint64)[:, 0]
+                # The eight bytes of a word count eight bits side by side: no byte overflows in a run of 255.
+                lanes = [np.add.reduceat(words >> np.uint64(i) & LANES, heads).view(np.uint8).reshape(-1, 8) for i in range(8)]
+                votes = np.add.reduceat(np.stack(lanes, 2).reshape(-1, 64), part, axis=0, dtype=np.int32)
+                out[full, j] = np.packbits(votes * 2 > sizes[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
                 words = (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 words ^= words >> np.uint64(32)
         start = stop

@@ -262,3 +262,26 @@ def test_large_groups_give_few_pairs(spark, monkeypatch):
     roots = bktree.components(bktree.verified(stars, sets, 0.8))
     assert stars.count() + bktree.tree_pairs(texts, roots, 0.8).count() < 10 * len(rows)
     assert {r.doc_id for r in bktree.drop_near_duplicates(docs).collect()} == plain_similar(rows)
+
+
+def test_set_prints_are_the_majority_of_each_bit():
+    def plain(words):
+        out = []
+        for _ in range(bktree.WIDTH):
+            bits = [sum(int(w) >> i & 1 for w in words) * 2 > len(words) for i in range(64)]
+            out.append(sum(b << i for i, b in enumerate(bits)))
+            words = (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            words ^= words >> np.uint64(32)
+        return out
+
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 2**64, n, np.uint64) for n in (0, 1, 2, 254, 255, 256, 510, 0, 3)] + [np.full(600, 2**64 - 1, np.uint64)]
+    assert bktree.set_prints(sets).tolist() == [plain(s) if len(s) else [0] * bktree.WIDTH for s in sets]
+
+
+def test_shingle_sets_are_distinct_shingles_of_the_words():
+    texts = ["", " \t", "a", "A b\tc", " a  b c d e f ", "a b c d e " * 50, "Ä ä x y z", None]
+    sets = bktree.shingle_sets(pa.array([t or "" for t in texts], pa.string()), 5)
+    assert [len(s) for s in sets] == [len(bktree.shingle_set(t or "", 5)) for t in texts]
+    assert all((s[1:] > s[:-1]).all() for s in sets) and bktree.shingle_sets(pa.array([], pa.string()), 5) == []
+    assert sets[3].tolist() == bktree.shingle_sets(pa.array(["a b c"]), 5)[0].tolist()
