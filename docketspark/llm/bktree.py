@@ -453,10 +453,14 @@ def tree_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """a, b: all pairs of a posting with near fingerprints that roots (node, root) does not connect already.
 
     A posting's texts are the nodes of BK-trees, NODES of them in each; those that do not belong to its largest connected group
-    are searched in every tree of the posting."""
+    are searched in every tree of the posting. Postings of the same texts (the shingles of one passage) give the same pairs, so
+    one of them is searched; 128 bits stand for the texts of a posting."""
     rows = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("t", "n", *PRINT, F.coalesce("root", "t").alias("root"), F.explode("hs").alias("h"))
-    groups = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
-    apart = groups.agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "t")).alias(f"x{i}") for i in range(2)]
+    groups = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), *members).groupBy("h")
+    members = [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
+    apart = groups.agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots"), *members).where("roots > 1")
+    apart = apart.groupBy("size", "x0", "x1").agg(F.min("h").alias("h"), F.min_by("main", "h").alias("main"))
     rows = rows.join(apart.select("h", "main", F.ceil(F.col("size") / NODES).cast("int").alias("trees")), "h")
     own = F.struct(F.pmod(F.hash("t"), F.col("trees")).alias("tree"), F.lit(0).alias("query"))
     searched = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda i: F.struct(i.alias("tree"), F.lit(1).alias("query")))
