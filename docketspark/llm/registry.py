@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe_trie, chat, exact_dedup, langid, packing, pii, repair, simhash, toxicity
+from . import bktree, bpe_trie, chat, exact_dedup, langid, packing, pii, repair, simhash, toxicity, turns
 from .common import scratch, shared_dir, table, tokenizer_path
 from .votes import hex16
 
@@ -101,9 +101,20 @@ def op10_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = turns.repair(turns.damage(rows))
+    hashes = turns.digests(repaired)
+    found = report.join(hashes, report.conv_id.eqNullSafe(hashes.conv_id)).drop(hashes.conv_id)
+    every = rows.select(F.col("conv_id").alias("original")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = every.join(found, every.original.eqNullSafe(found.conv_id), "left")
+    return out.select(F.col("original").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op5_pii, op6_harmonic_packing, op7_stream_dedup, op8_chat, op9_bktree, op10_mixture_langid)
+    for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op5_pii, op6_harmonic_packing, op7_stream_dedup, op8_chat, op9_bktree, op10_mixture_langid, op13_turn_repair)
 }
 
 #: SQL for what SQL can express. The others (BPE, trained models, hash votes, grammars, span places) are held against brute
@@ -132,6 +143,66 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _op13() -> str:
+    """The cheapest edits as a recursive walk over the rows: for each state the least (cost, audit), written as one text."""
+    step = lambda v, cost, letter: f"(lpad((substr({v}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({v}, 10) || '{letter}')"
+    insert = lambda v: step(v, 3, "I")
+    return f"""
+        WITH RECURSIVE named AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+        ), hashed AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(name) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(name[i]) >> b::INT)::BIGINT & 1)))),
+                lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS kind
+            FROM named
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hashed, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+        ), judged AS (
+            SELECT *, role[1:1] AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM placed
+        ), walk AS (
+            SELECT conv_id, 0::BIGINT AS i, '000000000' AS v0, NULL::VARCHAR AS v1, '000000003I' AS v2, '000000006II' AS v3 FROM (SELECT DISTINCT conv_id FROM judged)
+            UNION ALL
+            SELECT conv_id, i, t0, t1, least(t2, {insert('t0')}, {insert('t1')}, {insert('t3')}), least(t3, {insert('t2')}, {insert(insert('t0'))}, {insert(insert('t1'))})
+            FROM (
+                SELECT w.conv_id, j.i, {step('v0', 4, 'D')} AS t0,
+                    least({step('v1', 4, 'D')}, CASE WHEN free AND x = 's' THEN {step('v0', 'e', 'K')} END) AS t1,
+                    least({step('v2', 4, 'D')}, CASE WHEN free AND x = 'u' THEN least({step('v0', 'e', 'K')}, {step('v1', 'e', 'K')}, {step('v3', 'e', 'K')}) END,
+                        CASE WHEN free THEN least({step('v0', 'e + 3', 'R')}, {step('v1', 'e + 3', 'R')}, {step('v3', 'e + 3', 'R')}) END) AS t2,
+                    least({step('v3', 4, 'D')}, CASE WHEN free AND x = 'a' THEN {step('v2', 'e', 'K')} END, CASE WHEN free THEN {step('v2', 'e + 3', 'R')} END) AS t3
+                FROM walk w JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS e FROM judged) j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+            )
+        ), ends AS (
+            SELECT conv_id, substr(least(v0, v3), 1, 9)::BIGINT AS cost, substr(least(v0, v3), 10) AS audit FROM walk QUALIFY i = max(i) OVER (PARTITION BY conv_id)
+        ), letters AS (
+            SELECT conv_id, unnest(range(1, length(audit) + 1)) AS p, audit[p] AS letter FROM ends
+        ), taken AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS place FROM letters
+        ), written AS (
+            SELECT t.conv_id, p, place, letter, CASE WHEN letter <> 'I' THEN j.text ELSE '' END AS text, j.role, max(CASE WHEN letter = 'K' AND place = 1 AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS led
+            FROM taken t LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.i = t.i WHERE letter <> 'D'
+        ), hashes AS (
+            SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS repaired_sha256 FROM written GROUP BY conv_id
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+            LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+ORACLES["op13_turn_repair"] = _op13()
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
