@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe_trie, chat, exact_dedup, langid, packing, pii, repair, simhash, toxicity, turns
+from . import bktree, bpe_trie, chat, debruijn, exact_dedup, langid, negatives, packing, pii, repair, simhash, toxicity, turns
 from .common import scratch, shared_dir, table, tokenizer_path
 from .votes import hex16
 
@@ -101,6 +101,17 @@ def op10_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op11_annulus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, _ = debruijn.remove_repeats(table(spark, sf_dir, "documents"), 35, keep=False)
+    return texts.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     report, repaired = turns.repair(turns.damage(rows))
@@ -114,7 +125,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op5_pii, op6_harmonic_packing, op7_stream_dedup, op8_chat, op9_bktree, op10_mixture_langid, op13_turn_repair)
+    for f in (op1_bpe_trie, op2_toxicity, op3_simhash, op4_repair_shards, op5_pii, op6_harmonic_packing, op7_stream_dedup, op8_chat, op9_bktree, op10_mixture_langid, op11_annulus_negatives, op12_debruijn_repeats, op13_turn_repair)
 }
 
 #: SQL for what SQL can express. The others (BPE, trained models, hash votes, grammars, span places) are held against brute
@@ -200,6 +211,39 @@ def _op13() -> str:
     """
 
 
+ORACLES["op11_annulus_negatives"] = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+    ), p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    ), n AS (
+        SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+ORACLES["op12_debruijn_repeats"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), w AS (
+        SELECT row, unnest(range(1, len(words) - 33)) AS i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM d
+    ), r AS (
+        SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1
+    ), g AS (
+        SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM r
+    ), k AS (
+        SELECT row, list(i) AS gone FROM g GROUP BY row
+    ), o AS (
+        SELECT d.row, doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed, words, gone FROM d LEFT JOIN k USING (row)
+    ), p AS (
+        SELECT row, string_agg(word, ' ' ORDER BY i) AS kept
+        FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM o) x LEFT JOIN g USING (row, i) WHERE g.i IS NULL GROUP BY row
+    )
+    SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN p USING (row)
+"""
 ORACLES["op13_turn_repair"] = _op13()
 
 
