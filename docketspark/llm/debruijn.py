@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bktree import pieces
@@ -264,9 +264,14 @@ def spans(docs: DataFrame, k: int, seed: str) -> DataFrame:
     paths = found.where("kind = 1").select("head", "last", "n").union(hot.select("head", "last", "n").distinct())
     local = found.where("kind = 0").select(*columns).union(hot.select(*columns))
     local = local.join(compacted(paths), "head")
-    # Along one path and one source, a text's places, the path's and the source's differ by constants.
-    place = local.select("id", "body", "start", "n", "path", (F.col("shift") + F.col("off") - F.col("start")).alias("gap"), "source_id", "source_body", (F.col("source_start") - F.col("start")).alias("source_gap"))
-    whole = place.groupBy("id", "body", "path", "gap", "source_id", "source_body", "source_gap").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
+    # Along one path and one source, a text's places, the path's and the source's differ by constants. A source may leave the
+    # path by edges that do not repeat and come back to it, so only pieces that touch are one span.
+    place = local.select("id", "body", "start", (F.col("start") + F.col("n")).alias("stop"), "path", (F.col("shift") + F.col("off") - F.col("start")).alias("gap"), "source_id", "source_body", (F.col("source_start") - F.col("start")).alias("source_gap"))
+    line = ["id", "body", "path", "gap", "source_id", "source_body", "source_gap"]
+    order = Window.partitionBy(*line).orderBy("start", "stop")
+    apart = F.col("start") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    place = place.distinct().withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = place.groupBy(*line, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     out = whole.select("id", "body", "start", (F.col("stop") - F.col("start")).cast("int").alias("n"), "path", (F.col("gap") + F.col("start")).alias("at"), "source_id", "source_body", (F.col("source_gap") + F.col("start")).cast("int").alias("source_start"))
     return stored(out, "spans")
 
