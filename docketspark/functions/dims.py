@@ -69,6 +69,7 @@ FORCED_MODEL = "forced-fallback"
 
 # Sentences of similarity reasons, by component.
 REASONS = {"citations": "Wspólne przepisy: ", "dotyczy_bigrams": "Wspólne frazy w tytule: ", "lexical": "Wspólne frazy w tekście: ", "metadata": "To samo repertorium: "}
+NO_REASON = "Podobna struktura argumentacji i metadanych."
 
 # The instruction that goes with paragraphs to a language model; {keys} are the section keys.
 PROMPT = (

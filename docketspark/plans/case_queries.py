@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
-from ..operators import search, similarity, stats
+from ..operators import search, similarity, stats, topk
 from ..sources import sinks
 from ..streaming import ingest
 from .registry import LINES, lines, query, sql_build, sql_list, sql_ns, sql_tokens, table
@@ -187,8 +187,9 @@ _COS = "c AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 4) AS v
     LINES, _W, _V, _COS,
 )
 def lexical_topk(spark, sf):
-    pairs = similarity.cosines(_vectors(spark, sf), "doc_id").select("a", "b", F.round("value", 4).alias("score"))
-    return similarity.top_k(pairs).select("source", "target", F.col("score").alias("value"), "rank")
+    kind = topk.Kind("lexical", _vectors(spark, sf), 1.0, True, "w")
+    found = topk.best([kind], "doc_id", score=lambda parts, meta: F.round(parts["lexical"], 4), digits=12)
+    return found.select("source", "target", F.col("score").alias("value"), "rank")
 
 
 _TOPIC = "t AS (SELECT p_partkey AS id, term, count(*) AS n FROM (SELECT p_partkey, unnest([p_name, p_brand || ' ' || (p_size % 10), p_type]) AS term FROM part) GROUP BY ALL)"
@@ -255,35 +256,39 @@ def _supplier_facts(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.substring("s_name", 1, 1), F.col("s_nationkey") % 4).alias("repertory"), (F.col("s_nationkey") % 5).cast("string").alias("bench"), (1990 + key % 25).alias("year"), F.array(key % 3, 3 + key % 2).alias("judges"))
 
 
-def _mixed(spark, sf):
-    """All pairs that matter of suppliers: a shared nation or number is a citation; the rest is metadata."""
-    s, key = table(spark, sf, "supplier"), F.col("s_suppkey")
-    cited = similarity.term_counts(s, "s_suppkey", F.array(F.col("s_nationkey").cast("long"), 100 + key % 40))
-    facts = _supplier_facts(spark, sf)
-    none = spark.createDataFrame([], "a long, b long, value double")
-    found = similarity.scored(none, similarity.overlaps(cited, "s_suppkey"), none, facts, "s_suppkey")
-    return found.unionByName(similarity.metadata_only(found, facts, "s_suppkey")), cited
+def _cited(spark, sf):
+    """A shared nation or number of suppliers is a citation."""
+    key = F.col("s_suppkey")
+    return similarity.term_counts(table(spark, sf, "supplier"), "s_suppkey", F.array(F.col("s_nationkey").cast("long"), 100 + key % 40))
+
+
+def _best(spark, sf):
+    """The best partners of suppliers, by citations and metadata."""
+    kind = topk.Kind("citations", _cited(spark, sf), dims.FINAL_WEIGHTS["citations"], False)
+    return topk.best([kind], "s_suppkey", facts=_supplier_facts(spark, sf)).withColumn("dotyczy_bigrams", F.lit(0.0))
 
 
 @query("SELECT source, target, score, rank::INT AS rank FROM k WHERE rank <= 5", _MIX)
 def hybrid_topk(spark, sf):
-    return similarity.top_k(_mixed(spark, sf)[0]).select("source", "target", "score", "rank")
+    return _best(spark, sf).select("source", "target", "score", "rank")
 
 
 @query("SELECT count(DISTINCT source) AS sources, round(avg(CASE WHEN n >= 5 THEN 1.0 ELSE 0 END), 6) AS full_share, (SELECT round(avg(score), 6) FROM k WHERE rank <= 5) AS mean_score, (SELECT round(avg(CASE WHEN citations > 0 THEN 1.0 ELSE 0 END), 6) FROM k WHERE rank <= 5) AS citation_share, 0.0::DOUBLE AS bigram_share FROM (SELECT source, count(*) AS n FROM k WHERE rank <= 5 GROUP BY source)", _MIX)
 def similarity_metrics(spark, sf):
-    return similarity.quality(similarity.top_k(_mixed(spark, sf)[0]))
+    return similarity.quality(_best(spark, sf))
 
 
 @query("SELECT k.source, k.target, string_agg(x.term::VARCHAR, ', ' ORDER BY x.term) AS reason FROM k JOIN s x ON x.id = k.source JOIN s y ON y.id = k.target AND x.term = y.term WHERE rank <= 5 GROUP BY 1, 2", _MIX)
 def shared_term_reasons(spark, sf):
-    pairs, cited = _mixed(spark, sf)
-    return similarity.reasons(similarity.top_k(pairs), cited, "s_suppkey")
+    return similarity.reasons(_best(spark, sf), _cited(spark, sf), "s_suppkey")
 
 
 @query("SELECT source, target, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS r FROM d WHERE score > 0 AND source IN (SELECT doc_id FROM labels) AND target IN (SELECT doc_id FROM labels) AND citations > 0) WHERE r <= 5", _MIX)
 def sample_scope_semi(spark, sf):
-    pairs = similarity.in_scope(_mixed(spark, sf)[0].where("citations > 0"), table(spark, sf, "labels").select(F.col("doc_id").alias("s_suppkey")), "s_suppkey")
+    scope = table(spark, sf, "labels").select(F.col("doc_id").alias("s_suppkey"))
+    none = spark.createDataFrame([], "a long, b long, value double")
+    pairs = similarity.in_scope(similarity.overlaps(_cited(spark, sf), "s_suppkey"), scope, "s_suppkey")
+    pairs = similarity.scored(none, pairs, none, _supplier_facts(spark, sf), "s_suppkey")
     return similarity.top_k(pairs).select("source", "target", "score")
 
 
@@ -378,12 +383,11 @@ def chronology(spark, sf):
 
 
 @query(
-    "SELECT k.source, k.target, array_to_string(list_filter([string_agg('Wspólne przepisy: ' || c.reason, ''), string_agg('To samo repertorium: ' || CASE WHEN x.repertory = y.repertory THEN x.repertory END, '')], lambda z: z IS NOT NULL), '; ') AS reasons"
+    "SELECT k.source, k.target, coalesce(nullif(array_to_string(list_filter(['Wspólne przepisy: ' || c.reason, CASE WHEN x.repertory = y.repertory THEN 'To samo repertorium: ' || x.repertory END], lambda z: z IS NOT NULL)[1:3], '; '), ''), 'Podobna struktura argumentacji i metadanych.') AS reasons"
     " FROM k LEFT JOIN (SELECT k.source, k.target, string_agg(x.term::VARCHAR, ', ' ORDER BY x.term) AS reason FROM k JOIN s x ON x.id = k.source JOIN s y ON y.id = k.target AND x.term = y.term WHERE rank <= 5 GROUP BY 1, 2) c ON c.source = k.source AND c.target = k.target"
-    " JOIN g x ON x.id = k.source JOIN g y ON y.id = k.target WHERE rank <= 5 AND (c.reason IS NOT NULL OR x.repertory = y.repertory) GROUP BY k.source, k.target",
+    " JOIN g x ON x.id = k.source JOIN g y ON y.id = k.target WHERE rank <= 5",
     _MIX,
 )
 def reason_sentences(spark, sf):
-    pairs, cited = _mixed(spark, sf)
-    found = similarity.sentences(similarity.top_k(pairs), _supplier_facts(spark, sf), "s_suppkey", citations=cited)
+    found = similarity.sentences(_best(spark, sf), _supplier_facts(spark, sf), "s_suppkey", citations=_cited(spark, sf))
     return found.select("source", "target", F.array_join("reasons", "; ").alias("reasons"))

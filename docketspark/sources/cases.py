@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..operators.normalize import PARAGRAPHS
+from .arrays import read_array
 
 METRIC = "struct<podmiot_w_sprawie:struct<present:boolean,text:string,items:array<string>>,przedmiot_sprawy:struct<present:boolean,text:string,items:array<string>,acts:array<struct<act:string,items:array<string>>>>,wzorce:struct<present:boolean,text:string,items:array<string>,acts:array<struct<act:string,items:array<string>>>>>"
 RAW = (
@@ -29,18 +30,20 @@ CASES = (
 
 
 def first_character(spark: SparkSession, path: str) -> str:
-    """The first character of the data that is no white space, from the first lines alone."""
-    for row in spark.read.text(path).where("trim(value) <> ''").limit(1).collect():
-        return row[0].lstrip("﻿ \t\r")[:1]
+    """The first character of the data that is no white space, from the start of the first lines alone."""
+    for row in spark.read.text(path).where("trim(value) <> ''").select(F.substring("value", 1, 1000)).limit(1).collect():
+        return row[0].lstrip("\ufeff \t\r")[:1]
     return ""
 
 
 def read_json(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines, or one JSON array or object over several lines, as the data's start tells. strict: a broken record fails the
-    job; otherwise it is left out. Lines can be split over tasks, an array cannot."""
+    """JSON lines, a JSON array, or one object over several lines, as the data's start tells. strict: a broken record fails the
+    job; otherwise it is left out. Lines and arrays are split over tasks, one object cannot be."""
     start = first_character(spark, path)
+    if start == "[":
+        return read_array(spark, path, schema, strict)
     one_object = start == "{" and spark.read.text(path).where("trim(value) <> ''").limit(2).count() > 1 and not spark.read.text(path).where("trim(value) <> ''").first()[0].rstrip().endswith("}")
-    reader = spark.read.schema(schema).option("multiLine", start == "[" or one_object)
+    reader = spark.read.schema(schema).option("multiLine", one_object)
     return reader.option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
