@@ -1,4 +1,8 @@
-"""A corpus from documents to training sequences: each stage is one operator at work on all that the stage before kept."""
+"""A corpus from documents to training sequences: each stage is one operator at work on all that the stage before kept.
+
+Null texts have no language and go in the first stage. Of rows with equal texts one stays, that with the largest id; rows without an id count
+as smaller than all others. An empty table gives an empty result in every stage.
+Columns besides those of documents pass through all stages but the last with their values, whatever their names."""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.llm import bktree, exact_dedup, langid, packing, pii
-from docketspark.llm.common import scratch, table, tokenizer_path
+from docketspark.llm.common import cleared, delete, scratch, table, tokenizer_path
 from docketspark.llm.registry import fold
 
 #: A document stays if its language has this share of it at least.
@@ -25,10 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that is missing is filled in."""
     small_batches(spark)
     model = langid.train(docs, fold(4) != 2)
-    found = langid.identify(docs, model)
-    share = F.regexp_extract("mixture", r":([0-9.]+)", 1).try_cast("double")
-    kept = found.where((F.col("lang_pred") != langid.UND) & (F.coalesce(share, F.lit(0.0)) >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs.select(F.struct("*").alias("document"), "text"), model)
+    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("share") >= LEAST_SHARE))
+    own = lambda c: F.coalesce(F.col("document.lang"), F.col("lang_pred")) if c == "lang" else F.col(f"document.`{c}`")
+    return kept.select(*[own(c).alias(c) for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind in brackets; n_chars follows the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again by the next. What a stage stores for itself is deleted
+    when its result is written, and that when the next stage's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         place = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(place)
-        docs = spark.read.parquet(place)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(place)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(place), place
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,8 +13,8 @@ No list of links, components or fingerprints goes to the driver.
 
 near_duplicates() links by fingerprints alone, as the query's contract has it. drop_near_duplicates() is for corpora: texts
 are near duplicates if their sets of word shingles have a Jaccard similarity of at least 0.8 (five words). There the shards
-are shared shingles of the texts' prefixes, which misses no such pair; BK-trees over SimHashes of 256 bits with a radius that
-such pairs lie within (see REACH) find the candidates in a shard; and the sets decide.
+are shared shingles of the texts' prefixes, which misses no such pair, and BK-trees over SimHashes of 1024 bits link texts within a
+radius that such pairs lie within (see REACH). Texts that are linked are a family; within it the sets decide.
 
 Null texts count as empty; texts without words have the fingerprint 0 and are linked like any other. Repeated rows give
 repeated results. A row whose id is null is linked too but names no component (a component of such rows only is null).
@@ -231,17 +231,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_colum
 SAMPLE, COMMON = 5_000, 1 << 17
 #: Most bits of a table of hashes that may occur (only what the joins after it would drop anyway is left out early).
 MOST_BITS = 1 << 25
-#: Words of 64 bits in a text's fingerprint, and the radius. Of two sets with a Jaccard similarity of 0.8 a bit differs with a
-#: probability of 0.19 at most (five shingles against four; 0.16 for large sets), so such a pair lies beyond the radius less than
-#: once in 10**7 (10**11); of unrelated ones and of those that share a tenth next to none lies within it.
-WIDTH, REACH = 4, 84
+#: Words of 64 bits in a text's fingerprint, and the radius for a set of more hashes than FEW and of so many or fewer. Of two large
+#: sets with a Jaccard similarity of 0.8 a bit differs with a probability of 0.16, of small ones (five hashes against four) 0.19, so
+#: such a pair lies beyond the radius less than once in 10**9. Sets with a similarity of 0.5 lie within it once in 500.
+WIDTH, REACH, REACH_FEW, FEW = 16, 240, 290, 50
 PRINT = [f"f{i}" for i in range(WIDTH)]
 #: Bytes of text whose shingles are made at once.
 BATCH_BYTES = 1_500_000
-#: Nodes of a posting's tree; larger postings are cut into several trees.
-NODES = 4096
-#: Fingerprints that are searched at once in such trees.
-SEARCHED = 64
+#: Texts of a block of a posting, and hashes of a block of a family.
+NODES, HASHES = 4096, 2_000_000
+#: Nodes that are visited at once, and candidates of a set that are compared before all others.
+VISITS, NEAREST = 60_000, 8
 
 
 def shingle_set(text: str, k: int) -> frozenset[str]:
@@ -434,73 +434,118 @@ def met_texts(rows: DataFrame, least: float, n_texts: int, shingle: int) -> Data
     return stored(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
 
 
-def near_prints(a: str, b: str) -> Column:
-    """Whether two fingerprints (columns a + f0, a + f1 and so on) lie within REACH bits."""
-    return sum((F.bit_count(F.col(a + f).bitwiseXOR(F.col(b + f))) for f in PRINT), F.lit(0)) <= REACH
+def reach(n: np.ndarray) -> np.ndarray:
+    """The radius for a set of n hashes."""
+    return np.where(n <= FEW, REACH_FEW, REACH)
 
 
-def star_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """a, b: each text with the smallest and the largest set of each of its postings, if their fingerprints are near."""
-    met = texts.select("t", "n", *PRINT, F.explode("hs").alias("h"))
-    ends = [pick(F.col(c), F.col("n")).alias(f"{side}_{c}") for side, pick in (("low", F.min_by), ("high", F.max_by)) for c in ("t", "n", *PRINT)]
-    sides = F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(f"end_{c}") for c in ("t", "n", *PRINT)]) for side in ("low", "high")])
-    joined = met.join(met.groupBy("h").agg(*ends), "h").select("t", "n", *PRINT, F.inline(sides))
-    near = joined.where((F.col("t") != F.col("end_t")) & (F.least("n", "end_n") >= F.lit(least) * F.greatest("n", "end_n")) & near_prints("", "end_"))
-    return near.select(F.least("t", "end_t").alias("a"), F.greatest("t", "end_t").alias("b")).distinct()
+def chunks_of(work: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches whose work adds up to about `most`."""
+    ends, start = np.cumsum(work), 0
+    while start < len(work):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
 
 
-def tree_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of a posting with near fingerprints that roots (node, root) does not connect already.
+class Union:
+    """Union-find over 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def tie(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
 
-    A posting's texts are the nodes of BK-trees, NODES of them in each; those that do not belong to its largest connected group
-    are searched in every tree of the posting."""
-    rows = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("t", "n", *PRINT, F.coalesce("root", "t").alias("root"), F.explode("hs").alias("h"))
-    groups = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
-    apart = groups.agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = rows.join(apart.select("h", "main", F.ceil(F.col("size") / NODES).cast("int").alias("trees")), "h")
-    own = F.struct(F.pmod(F.hash("t"), F.col("trees")).alias("tree"), F.lit(0).alias("query"))
-    searched = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda i: F.struct(i.alias("tree"), F.lit(1).alias("query")))
-    rows = rows.select("h", "t", "n", "root", *PRINT, F.inline(F.when(F.col("root") == F.col("main"), F.array(own)).otherwise(F.concat(F.array(own), searched))))
-    rows = rows.select(F.xxhash64("h", "tree").alias("shard"), "query", "t", "n", "root", *PRINT)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def blocks_of(pieces: Column, number: Column) -> Column:
+    """Array of (i, j, side), i <= j: the pairs of blocks that a member of the block `number` belongs to, and on which side. In
+    (i, i) all members meet each other, in (i, j) those of one side the other's."""
+    to = F.sequence(F.lit(0).cast("long"), pieces - 1)
+    return F.transform(to, lambda j: F.struct(F.least(number, j).alias("i"), F.greatest(number, j).alias("j"), (number > j).cast("long").alias("side")))
+
+
+def near_texts(texts: DataFrame) -> DataFrame:
+    """a, b: links that connect all texts of a posting whose fingerprints are near, as many as texts at most from each shard.
+
+    Shards are postings, or pairs of blocks of NODES texts of larger ones."""
+    rows = texts.select("t", "n", *PRINT, F.explode("hs").alias("h"))
+    large = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > NODES).select("h", F.ceil(F.col("k") / NODES).cast("long").alias("pieces"))
+    rows = rows.join(large, "h", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
+    rows = rows.select("h", "t", "n", *PRINT, F.inline(blocks_of(F.col("pieces"), F.pmod(F.xxhash64("t"), F.col("pieces")))))
+    rows = rows.select(F.xxhash64("h", "i", "j").alias("shard"), "side", "t", "n", *PRINT)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_shards(batches):
-            for a, b in shard_pairs(*columns[:5], columns[5:], least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            a, b = near_in_shards(*columns[:4], columns[4:])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = rows.repartition(partitions(texts.sparkSession), "shard").sortWithinPartitions("shard", "query")
+    dealt = rows.repartition(partitions(texts.sparkSession), "shard").sortWithinPartitions("shard", "side")
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def shard_pairs(shard: np.ndarray, query: np.ndarray, t: np.ndarray, n: np.ndarray, root: np.ndarray, words: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays a < b of pairs (query, node of its shard) with near fingerprints, sizes that allow `least`, and other roots."""
-    nodes, queries = np.flatnonzero(query == 0), np.flatnonzero(query == 1)
+def near_in_shards(shard: np.ndarray, side: np.ndarray, t: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays a, b: links that connect near fingerprints within each shard, found in its BK-tree."""
     fp = np.stack(words, 1).view(np.uint64)
-    # Nodes of one shard with one fingerprint are one node of the tree.
-    order = nodes[np.lexsort((*[w[nodes] for w in words], shard[nodes]))]
-    new = np.concatenate([[True], (shard[order][1:] != shard[order][:-1]) | (fp[order][1:] != fp[order][:-1]).any(1)]) if len(order) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(order)]]))
-    forest = Forest(shard[order[first]], fp[order[first]])
-    for start in range(0, len(queries), SEARCHED):
-        part = queries[start : start + SEARCHED]
-        for q, node in forest.links(shard[part], fp[part], REACH):
-            q, k = part[np.repeat(q, count[node])], count[node]
-            ends = np.cumsum(k)
-            member = order[np.arange(int(ends[-1])) - np.repeat(ends - k, k) + np.repeat(first[node], k)]
-            good = (root[q] != root[member]) & (np.minimum(n[q], n[member]) >= least * np.maximum(n[q], n[member]))
-            a, b = t[q[good]], t[member[good]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            if len(pairs):
-                yield pairs[:, 0], pairs[:, 1]
-
-
-def sets_of(rows: DataFrame, texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """t, hs: all hashes of the texts that pairs (a, b) name, one row each."""
-    named = texts.join(wanted.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t", "left_semi").select("body", "twin", "t")
-    named = stored(named, "named")
-    table = marks(named)
+    order = np.lexsort((*words, side, shard))
+    same = (shard[order][1:] == shard[order][:-1]) & (side[order][1:] == side[order][:-1]) & (fp[order][1:] == fp[order][:-1]).all(1)
+    new = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+    heads = order[new]
+    parent = np.arange(len(t))
+    parent[order] = heads[np.cumsum(new) - 1]  # texts with one fingerprint hang on one of them
+    nodes = heads[side[heads] == 0]
+    forest = Forest(shard[nodes], fp[nodes])
+    two = np.unique(shard[side == 1])
+    asks = heads[(side[heads] == 1) | ~np.isin(shard[heads], two)]
+    sizes = np.diff(np.append(forest.heads, len(nodes)))
+    place = np.minimum(np.searchsorted(forest.keys, shard[asks]), max(len(sizes) - 1, 0))
+    for radius in (REACH, REACH_FEW):
+        mine = reach(n[asks]) == radius
+        part, work = asks[mine], sizes[place[mine]] if len(sizes) else np.zeros(int(mine.sum()), np.int64)
+        for piece in chunks_of(work, VISITS):
+            some = part[piece]
+            for q, node in forest.links(shard[some], fp[some], radius):
+                q, node = some[q], nodes[node]
+                apart = parent[q] != parent[node]
+                if apart.any():
+                    parent = merge_some(parent, q[apart], node[apart])
+    tied = np.flatnonzero(t != t[parent])
+    return t[tied], t[parent[tied]]
+
+
+def merge_some(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """merge() of few links: only the roots that they name are united."""
+    roots, at = np.unique(np.concatenate([parent[a], parent[b]]), return_inverse=True)
+    low = merge(np.arange(len(roots)), at[: len(a)], at[len(a) :])
+    to = np.arange(len(parent))
+    to[roots] = roots[low]
+    return to[parent]
+
+
+MEMBER = "shard long, side long, t long, n long"
+
+
+def members(texts: DataFrame, families: DataFrame) -> DataFrame:
+    """body, twin, t, n, shards (shard, side): the texts of families (node, root), and the pairs of blocks they are compared in.
+    A block has HASHES hashes or so."""
+    rows = texts.select("t", "body", "twin", "n").join(families.select(F.col("node").alias("t"), "root"), "t")
+    pieces = rows.groupBy("root").agg(F.ceil((F.sum("n") + F.count(F.lit(1))) / HASHES).cast("long").alias("pieces"))
+    rows = rows.join(pieces, "root").withColumn("blocks", blocks_of(F.col("pieces"), F.pmod(F.xxhash64("t"), F.col("pieces"))))
+    return rows.select("body", "twin", "t", "n", F.transform("blocks", lambda b: F.struct(F.xxhash64("root", b["i"], b["j"]).alias("shard"), b["side"].alias("side"))).alias("shards"))
+
+
+def sets_of(rows: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """named (body, twin, t and others) with hs, all hashes of each text; one row each."""
+    table = marks(named.select("body"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -508,37 +553,129 @@ def sets_of(rows: DataFrame, texts: DataFrame, wanted: DataFrame, shingle: int)
             for part in pieces(iter([some]), 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(shingle_sets(part.column(2), shingle))], names=["body", "twin", "hs"])
 
-    return rows.mapInArrow(work, "body long, twin long, hs array<long>").join(named, ["body", "twin"]).select("t", "hs").dropDuplicates(["t"])
+    return rows.mapInArrow(work, "body long, twin long, hs array<long>").join(named, ["body", "twin"]).dropDuplicates(["t"])
+
 
+def alike_texts(sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links between texts whose sets are alike, which connect all such texts of a shard; sets: t, shards, hs."""
+    rows = sets.select("t", "hs", F.inline("shards")).select("shard", "side", "t", "hs")
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets (t, hs) are alike. Each pair meets its two sets by joins, nothing else is gathered."""
-    left, right = sets.select(F.col("t").alias("a"), F.col("hs").alias("x")), sets.select(F.col("t").alias("b"), F.col("hs").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_lists(batches):
+            hs = table["hs"].combine_chunks()
+            offsets, values = hs.offsets.to_numpy().astype(np.int64), hs.values.to_numpy().view(np.uint64)
+            own = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            links_ = alike_in_shards(table["shard"].to_numpy(), table["side"].to_numpy(), own, least)
+            t = table["t"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(t[links_[:, 0]]), pa.array(t[links_[:, 1]])], names=["a", "b"])
+
+    dealt = rows.repartition(partitions(sets.sparkSession), "shard").sortWithinPartitions("shard", "side")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by their first column, about HASHES values of the last one at once, no shard cut in two."""
+    held, size = None, 0
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        size += batch.column(batch.num_columns - 1).flatten().nbytes // 8
+        if size >= HASHES:
+            key = held.column(0).to_numpy()
+            end = int(np.searchsorted(key, key[-1], "left"))  # the last shard may go on
+            if end:
+                yield held.slice(0, end).combine_chunks()
+                held = pa.concat_tables([held.slice(end)]).combine_chunks()
+                size = int(pc.sum(pc.list_value_length(held.column(held.num_columns - 1))).as_py() or 0)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def alike_in_shards(shard: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """(links, 2): places of alike sets that connect all alike sets of each shard.
+
+    A set's candidates are the nodes of the shard's BK-tree within the radius. Those that are connected to it already are left out,
+    the nearest are compared first, and the others all at once: so a large group takes few comparisons, and a set that stays alone
+    is compared with every candidate."""
+    out: list[tuple[int, int]] = []
+    prints = set_prints(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)]):
+        rows = np.arange(a, b)
+        nodes, asks = rows[side[a:b] == 0], rows[side[a:b] == 1]
+        if not len(asks):
+            asks = nodes
+        if len(nodes) == 0 or b - a < 2:
+            continue
+        union = Union(b - a)
+        forest = Forest(np.zeros(len(nodes), np.int64), prints[nodes])
+        for radius in (REACH, REACH_FEW):
+            part = asks[reach(n[asks]) == radius]
+            for piece in chunks_of(np.full(len(part), len(nodes)), VISITS):
+                some = part[piece]
+                met = [(some[q], nodes[node]) for q, node in forest.links(np.zeros(len(some), np.int64), prints[some], radius)]
+                if not met:
+                    continue
+                q, node = (np.concatenate(x) for x in zip(*met))
+                fit = (q != node) & (np.minimum(n[q], n[node]) >= least * np.maximum(n[q], n[node]) - 1e-9)
+                q, node = q[fit], node[fit]
+                order = np.lexsort((distance(prints[q], prints[node]), q))
+                q, node = q[order], node[order]
+                cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                for c, d in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)]):
+                    compare(int(q[c]), node[c:d].tolist(), sets, n, least, union, a, out)
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def compare(q: int, candidates: list[int], sets: list[np.ndarray], n: np.ndarray, least: float, union: Union, base: int, out: list[tuple[int, int]]) -> None:
+    """Ties q to the candidates (nearest first) that are alike and not connected to it yet."""
+    done = 0
+    while done < len(candidates):
+        batch = [c for c in candidates[done : done + (NEAREST if done == 0 else len(candidates))] if union.find(c - base) != union.find(q - base)]
+        done = done + NEAREST if done == 0 else len(candidates)
+        if not batch:
+            continue
+        if not len(sets[q]):  # sets of none are alike
+            alike_ = np.array([len(sets[c]) == 0 for c in batch])
+        else:
+            joined, size = np.concatenate([sets[c] for c in batch]), n[batch]
+            at = np.minimum(np.searchsorted(sets[q], joined), len(sets[q]) - 1)
+            ends = np.cumsum(size)
+            both = np.diff(np.concatenate([[0], np.cumsum(sets[q][at] == joined)[np.maximum(ends - 1, 0)]])) if len(joined) else np.zeros(len(batch), np.int64)
+            alike_ = both >= least * (n[q] + size - both) - 1e-9
+        for c in np.array(batch)[alike_].tolist():
+            if union.tie(c - base, q - base):
+                out.append((q, c))
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a, b: links between texts; t, body, twin: those texts).
 
-    The links connect all texts that chains of alike texts connect. Candidates share a shingle of both prefixes, which is
-    complete (see prefixes), their fingerprints are near, and their sets decide. Each text is compared with the ends of its
-    postings first, which joins a large group of copies in about as many comparisons as it has texts; then BK-trees over the
-    postings find the pairs that are still apart. No posting or group is gathered in a task."""
+    The links connect all texts that chains of alike texts connect. Alike texts share a hash of both prefixes, which is complete
+    (see prefixes), and their fingerprints are near. So texts of a posting with near fingerprints are linked first, which gives
+    families; then each text travels once, with all its hashes, to its family's shard, where the sets decide. What either step
+    gives are links that connect, never all pairs; postings and families that are too large for a task are compared in pairs of
+    blocks of bounded size."""
     shared_dir(docs.sparkSession)
     rows = named_texts(docs, text_column)
     texts = met_texts(rows, similarity, docs.count(), shingle)
-    stars = stored(star_pairs(texts, similarity), "stars")
-    linked = stored(verified(stars, sets_of(rows, texts, stars, shingle), similarity).repartition("a"), "linked")
-    rest = stored(tree_pairs(texts, components(linked), similarity), "pairs")
-    if not rest.isEmpty():
-        linked = linked.union(verified(rest, sets_of(rows, texts, rest, shingle), similarity))
-    return linked, texts.select("t", "body", "twin")
+    families = components(near_texts(texts))
+    named = stored(members(texts, families), "members")
+    return stored(alike_texts(sets_of(rows, named, shingle), similarity), "alike"), texts.select("t", "body", "twin")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    known = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the rows whose text is connected, over texts that are alike, to one of a smaller doc_id. Of equal texts
-    with equal ids all stay or go together. Rows without an id stay."""
+    with equal ids all stay or go together. Rows without an id stay. Other columns keep their values, whatever their names."""
     links_, texts = similar_links(docs, shingle, similarity, text_column)
     body, twin = identity(text_of(text_column))
     doc_id = F.col(id_column).cast("long")
@@ -546,7 +683,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     tied = own.join(texts.join(components(links_).select(F.col("node").alias("t"), "root"), "t"), ["body", "twin"], "left")
     smallest = tied.where("root is not null").groupBy("root").agg(F.min("least").alias("stays"))
     linked = tied.join(smallest, "root", "left").select("body", "twin", "most", F.coalesce("stays", "least").alias("stays")).where("most > stays")
-    linked = stored(linked.select(F.col("body").alias("near_gone"), F.col("twin").alias("twin_gone"), "stays"), "gone")
-    rows = docs.withColumns({"near_body": body, "near_twin": twin})
-    gone = (rows.near_body == linked.near_gone) & (rows.near_twin == linked.twin_gone) & (rows[id_column].cast("long") > linked.stays)
-    return rows.join(linked, gone, "left_anti").drop("near_body", "near_twin")
+    names = [unused(c, docs) for c in ("gone_body", "gone_twin", "gone_above")]
+    linked = stored(linked.select(*[F.col(c).alias(x) for c, x in zip(("body", "twin", "stays"), names)]), "gone")
+    own_names = [unused(c, docs, linked) for c in ("own_body", "own_twin", "own_id")]
+    rows = docs.withColumns(dict(zip(own_names, (body, twin, doc_id))))
+    gone = (F.col(own_names[0]) == F.col(names[0])) & (F.col(own_names[1]) == F.col(names[1])) & (F.col(own_names[2]) > F.col(names[2]))
+    return rows.join(linked, gone, "left_anti").drop(*own_names)

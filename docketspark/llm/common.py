@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cleared, delete, scratch, shared_dir, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset a local session gets a temporary folder; a cluster has to name one.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
-        named = tempfile.mkdtemp(prefix="docketspark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder. What is written there stays until the caller deletes it."""
-    return f"{shared_dir(spark)}/docketspark/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
-    place = scratch(df.sparkSession, what)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

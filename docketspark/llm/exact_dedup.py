@@ -1,8 +1,8 @@
 """Exact deduplication by a stream over keyed state that is kept on disk and never expires.
 
 Arrivals (digest, doc_id, locator: one small row for each document) are written to the shared folder and read as a stream. A
-locator is the file and the number of the row in it, so it finds the content again; rows that come from no Parquet file are
-written to one first. The state has one entry for each digest: the largest doc_id seen, the locator of that row, and how many
+locator is the file and the number of the row in it, so it finds the content again; rows that are no plain scan of Parquet files
+are written to one first. The state has one entry for each digest: the largest doc_id seen, the locator of that row, and how many
 rows came. It lives in RocksDB next to the executors' disks, with its changes in the state folder, so a lost executor's state
 is restored, and a later run with the same state folder goes on where this one stopped. Rows of one digest are combined on
 the map side before they reach the state, so a text that makes up a third of the input is one entry that each task updates once.
@@ -48,17 +48,36 @@ Digest = Callable[[Column], Column]
 DIGESTS: tuple[Digest, ...] = (lambda t: F.unhex(F.sha2(t, 256)), lambda t: F.unhex(F.sha2(t, 512)))
 
 
+def bare_scan(docs: DataFrame) -> bool:
+    """Whether every row of docs is a row of a file of its own: a scan with nothing but filters and projections over it."""
+    try:
+        node = docs._jdf.queryExecution().analyzed()
+    except AttributeError:  # a session without a plan to look at
+        return False
+    while (name := node.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return name == "LogicalRelation"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """docs with dedup_path, dedup_file (the path's hash) and dedup_row: where each row lies."""
+    """docs with dedup_path, dedup_file (the path's hash) and dedup_row: where each row lies. What is more than a filtered scan
+    (joins, explode, samples may give a file's row several times) is written first."""
 
     def places(rows: DataFrame) -> DataFrame:
         path = F.col("_metadata.file_path")
         return rows.select("*", path.alias("dedup_path"), F.xxhash64(path).alias("dedup_file"), F.col("_metadata.row_index").alias("dedup_row"))
 
-    try:
-        return places(docs)
-    except AnalysisException:  # no rows of Parquet files
-        return places(stored(docs, "content"))
+    if bare_scan(docs):
+        try:
+            return places(docs)
+        except AnalysisException:  # no rows of Parquet files
+            pass
+    return places(stored(docs, "content"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column, so that no name of theirs meets one of this module's."""
+    return docs.select(F.struct("*").alias("document"))
 
 
 def keyed_state(stream: DataFrame) -> DataFrame:
@@ -145,14 +164,15 @@ def groups(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digests: tuple[Digest, ...] = DIGESTS, state: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    out = groups(located(docs), id_column, text_column, digests, state=state)
+    rows = located(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+    out = groups(rows, "doc_id", "text", digests, state=state)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digests: tuple[Digest, ...] = DIGESTS, state: str | None = None) -> DataFrame:
     """docs without the rows that are dropped. Only these rows' locators meet the texts."""
-    rows = located(docs)
-    gone = groups(rows, id_column, text_column, digests, state=state).where("not kept").select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row"))
+    rows = located(packed(docs))
+    gone = groups(rows, f"document.`{id_column}`", f"document.`{text_column}`", digests, state=state).where("not kept").select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row"))
     gone = stored(gone, "gone")
     same = (rows.dedup_file == gone.gone_file) & (rows.dedup_row == gone.gone_row)
-    return rows.join(gone, same, "left_anti").drop("dedup_path", "dedup_file", "dedup_row")
+    return rows.join(gone, same, "left_anti").select("document.*")

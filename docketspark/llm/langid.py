@@ -126,9 +126,14 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, text_column: st
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[str | None]]:
     """(language, score, mixture) of each text."""
-    pred, score, mixed = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts)
+    return predictions(texts, model)[:3]
+
+
+def predictions(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[str | None], list[float]]:
+    """(language, score, mixture, the language's share) of each text."""
+    pred, score, mixed, shares = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts), [0.0] * len(texts)
     if not model.languages:
-        return pred, score, mixed
+        return pred, score, mixed, shares
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -141,23 +146,24 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
             share, sure = model.infer(counts[at])
             for i, s, q in zip(at.tolist(), share, sure.tolist()):
                 pred[start + i], score[start + i] = model.languages[int(s.argmax())], min(1.0, max(0.0, q))
+                shares[start + i] = float(s.max())
                 mixed[start + i] = ",".join(f"{model.languages[k]}:{s[k]:.2f}" for k in np.argsort(-s, kind="stable") if s[k] > 0)
         start = stop
-    return pred, score, mixed
+    return pred, score, mixed, shares
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred, score (share of the predicted language times how sure the choice is) and mixture
-    (`en:0.80,fr:0.20`); columns of these names are replaced."""
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("mixture", T.StringType())]
+    """All columns of docs with lang_pred, score (share of the predicted language times how sure the choice is), mixture
+    (`en:0.80,fr:0.20`) and share (of the predicted language); columns of these names are replaced."""
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("mixture", T.StringType()), ("share", T.DoubleType())]
     docs = docs.drop(*[k for k, _ in added])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, t) for k, t in added]])
     place = docs.columns.index(text_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, score, mixed = predict(b.column(place).to_pylist(), model)
-            columns = [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())]
+            pred, score, mixed, shares = predictions(b.column(place).to_pylist(), model)
+            columns = [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string()), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *[k for k, _ in added]])
 
     return docs.mapInArrow(work, schema)

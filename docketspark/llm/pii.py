@@ -154,10 +154,10 @@ def listed(kinds: tuple[str, ...]) -> Column:
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; of spans that overlap, the first names the whole.
-    Null texts stay null."""
-    found = find(docs, text_column)
+    Null texts stay null. Other columns keep their values, whatever their names."""
+    found = find(docs.select(F.struct("*").alias("document"), F.col(text_column).alias("body")), "body")
     spans = F.array_sort(F.concat(*[F.transform(f"pii_{k}", lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"])) for k in KINDS]))
-    text = F.col(text_column)
+    text = F.col("body")
 
     def joined(s: Column) -> Column:
         """s: spans by start, the furthest end up to each, the text in blocks."""
@@ -178,4 +178,6 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
         return bound(F.struct(span.alias("span"), far.alias("far"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("block"), F.length(text).alias("n")), joined)
 
     found = found.withColumn("pii_spans", spans)
-    return found.withColumn(text_column, F.when(F.size("pii_spans") > 0, bound(F.col("pii_spans"), redacted)).otherwise(text)).select(*docs.columns)
+    new = F.when(F.size("pii_spans") > 0, bound(F.col("pii_spans"), redacted)).otherwise(text)
+    own = lambda c: new if c.lower() == text_column.lower() else F.col(f"document.`{c}`")
+    return found.select(*[own(c).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -27,7 +28,7 @@ def test_run_equals_the_plain_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     known = langid.identify(docs, langid.train(docs, corpus_pipeline.fold(4) != 2)).collect()
-    good = {r.doc_id for r in known if r.lang_pred != "und" and float(r.mixture.split(",")[0].split(":")[1]) >= 0.5}
+    good = {r.doc_id for r in known if r.lang_pred != "und" and r.share >= 0.5}
     assert len(good) >= 195
     last = {}
     for i, t in rows:
@@ -96,3 +97,33 @@ def test_planted_copies_go_and_clean_documents_stay(spark):
         docs = stage(spark, docs, SMALL)
     left = {r.doc_id for r in docs.collect()}
     assert left == {i for i, _ in rows} - copies
+
+
+def test_names_of_helpers_in_the_input(spark):
+    names = ["dedup_path", "dedup_file", "dedup_row", "gone_file", "gone_row", "document", "body", "pii_email", "pii_spans", "pii_text", "score", "mixture", "share", "lang_pred", "near_body", "near_twin", "own_id"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names])
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        more, plain = stage(spark, more, SMALL), stage(spark, plain, SMALL)
+        assert more.columns == [*docs.columns, *names]
+        assert {(r.doc_id, r.text) for r in more.collect()} == {(r.doc_id, r.text) for r in plain.collect()}
+        assert all(r[n] == f"{n} {r.doc_id}" for r in more.collect() for n in names)
+
+
+def test_half_a_text_is_enough_for_a_language(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", None, "s", 1), (2, "b", None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(langid, "identify", lambda d, m: d.select("*", F.lit("x:y,z").alias("lang_pred"), F.when(F.col("document.doc_id") == 1, 0.496).otherwise(0.5).alias("share")))
+    assert [(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, SMALL).collect()] == [(2, "x:y,z")]
+
+
+def test_what_stages_store_is_deleted(spark):
+    import glob
+
+    from docketspark.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/docketspark/*"))
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(glob.glob(f"{root}/docketspark/*")) - before}
+    assert not left & {"language_id", "exact_dedup", "near_dedup", "content", "dedup", "gone", "members", "alike", "texts"} and "pii" in left

@@ -273,3 +273,22 @@ def test_turns_with_equal_numbers_are_ordered_by_text(spark, tmp_path):
     r = c.execute(oracle_sql()["op8_chat"])
     names = [d[0] for d in r.description]
     assert sorted(str(sorted(x.asDict().items())) for x in got) == sorted(str(sorted(zip(names, row))) for row in r.fetchall())
+
+
+def test_dedup_of_derived_tables(spark, tmp_path):
+    """Each row is one row, also where a file's row comes several times."""
+    spark.createDataFrame([(1, ["x y z", "q"]), (2, ["x y z", "q"]), (3, ["other", "x y z"])], "n long, texts array<string>").write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    exploded = read.select("n", F.posexplode("texts").alias("i", "text")).select((10 * F.col("n") + F.col("i")).alias("doc_id"), "text")
+    joined = read.select("n").join(spark.createDataFrame([("x y z",), ("q",), ("q",)], "text string").repartition(1)).select((F.col("n")).alias("doc_id"), "text")
+    sampled = read.select(F.col("n").alias("doc_id"), F.col("texts")[0].alias("text")).sample(True, 5.0, 3)
+    for df in (exploded, joined, sampled, exploded.union(exploded), exploded.union(sampled)):
+        rows = df.cache().collect()
+        best = {}
+        for r in rows:
+            best[r.text] = max(r.doc_id, best.get(r.text, r.doc_id))
+        out = exact_dedup.deduplicate(df).collect()
+        assert len(out) == len(rows) and sum(r.kept for r in out) == len(best)
+        assert all(r.keep_id in best.values() for r in out)
+        assert sorted((r.text, r.doc_id) for r in exact_dedup.drop_duplicates(df).collect()) == sorted(best.items())
+    assert exact_dedup.bare_scan(read.where("n > 1").select("n")) and not exact_dedup.bare_scan(exploded)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from docketspark.llm import bktree, simhash
@@ -255,15 +256,57 @@ def test_large_groups_give_few_pairs(spark, monkeypatch):
         near[rng.randrange(300)] = f"new{i}"
         rows += [(2 * i, " ".join(near)), (2 * i + 1, " ".join([*passage, *(f"own{i}.{j}" for j in range(60))]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    named = bktree.named_texts(docs, "text")
-    texts = bktree.met_texts(named, 0.8, len(rows), 5)
-    stars = bktree.star_pairs(texts, 0.8)
-    sets = bktree.sets_of(named, texts, stars, 5)
-    roots = bktree.components(bktree.verified(stars, sets, 0.8))
-    assert stars.count() + bktree.tree_pairs(texts, roots, 0.8).count() < 10 * len(rows)
+    texts = bktree.met_texts(bktree.named_texts(docs, "text"), 0.8, len(rows), 5)
+    assert bktree.near_texts(texts).count() < 10 * len(rows)
     assert {r.doc_id for r in bktree.drop_near_duplicates(docs).collect()} == plain_similar(rows)
 
 
+@pytest.mark.parametrize("changed", [16, 30])
+def test_families_below_the_threshold_give_few_links(spark, monkeypatch, changed):
+    """Many texts share a base and differ in scattered words: no pair is alike (a Jaccard of about 0.47, 0.25), and what the steps
+    give stays in proportion to the texts, also where a family is compared in blocks."""
+    monkeypatch.setattr(bktree, "NODES", 60)
+    monkeypatch.setattr(bktree, "HASHES", 20_000)
+    rng = random.Random(changed)
+    base, rows = [f"b{i}" for i in range(400)], []
+    for i in range(300):
+        w = list(base)
+        for j in rng.sample(range(400), changed):
+            w[j] = f"new{i}.{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 300, 3)]  # pairs that are alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = bktree.met_texts(bktree.named_texts(docs, "text"), 0.8, len(rows), 5)
+    assert bktree.near_texts(texts).count() < 10 * len(rows)
+    links, _ = bktree.similar_links(docs)
+    assert links.count() < 10 * len(rows)
+    assert {r.doc_id for r in bktree.drop_near_duplicates(docs).collect()} == plain_similar(rows)
+
+
+def test_radius_keeps_alike_sets_and_few_others():
+    rng = np.random.default_rng(6)
+
+    def share(n, similarity):
+        inside = 0
+        for _ in range(200):
+            both = round(2 * n * similarity / (1 + similarity))
+            words = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+            a, b = bktree.set_prints([words[:n], words[n - both :]])
+            inside += int(bktree.distance(a[None], b[None])[0]) <= int(bktree.reach(np.array(n)))
+        return inside / 200
+
+    assert share(9, 0.8) == share(60, 0.8) == share(400, 0.8) == 1
+    assert share(400, 0.45) < 0.03 and share(400, 0.3) == 0
+
+
+def test_names_of_helpers_in_the_input(spark):
+    names = ["gone_body", "gone_twin", "gone_above", "own_body", "own_twin", "own_id", "near_body", "near_twin", "body", "twin", "t", "root", "h", "stays", "least"]
+    rows = [(1, "a b c d e f g h i j", *names), (2, "a b c d e f g h i j", *names), (3, "x y", *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = bktree.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 def test_set_prints_are_the_majority_of_each_bit():
     def plain(words):
         out = []
