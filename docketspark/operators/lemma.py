@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import fold_plain, lemma_tokens
+from ..sources.shared import stored
 from .query import Query, Text
 
 KEY = ["document_id", "paragraph_id"]
@@ -144,7 +145,7 @@ def shards(terms: DataFrame, term: str = "term", size: int = dims.SHARD_TERMS) -
     Terms are dealt into buckets between cut points that a sample gives once, so whoever computes a term's bucket finds the
     same; its number is its number in the bucket plus the buckets before. No task sees all terms, and the driver gets a sample
     of bounded size and one number for each bucket."""
-    own = terms.select(F.col(term).alias("term")).distinct()
+    own = stored(terms.select(F.col(term).alias("term")).distinct(), "terms")
     cuts = cut_points(own, min(MOST_BUCKETS, max(1, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("term"))) if cuts else F.lit(0)
     dealt = own.withColumn("part", bucket)

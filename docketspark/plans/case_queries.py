@@ -210,7 +210,11 @@ def bigram_jaccard(spark, sf):
     return similarity.overlaps(_terms(spark, sf), "id").where(F.col("value") >= 0.4).select("a", "b", "value")
 
 
-@query()
+@query(
+    """SELECT a, b, round(m / (ta + tb - m), 6) AS value FROM (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS m FROM t x JOIN t y USING (term) WHERE x.id < y.id GROUP BY 1, 2)
+    JOIN (SELECT id AS a, sum(n) AS ta FROM t GROUP BY 1) USING (a) JOIN (SELECT id AS b, sum(n) AS tb FROM t GROUP BY 1) USING (b)""",
+    _TOPIC,
+)
 def bigram_jaccard_all(spark, sf):
     """All pairs that share a term."""
     return similarity.overlaps(_terms(spark, sf), "id").select("a", "b", "value")
@@ -292,9 +296,18 @@ def sample_scope_semi(spark, sf):
     return similarity.top_k(pairs).select("source", "target", "score")
 
 
-@query()
+_DRAW = """d AS (SELECT i, (((20 + (n - 1 - i + 1) * 1831565813::HUGEINT) % 4294967296)::BIGINT) AS t, n FROM (SELECT unnest(range(50, n)) AS i, n FROM (SELECT count(*) AS n FROM documents))),
+    r AS (SELECT i, ((xor(t, t >> 15)::HUGEINT * (t | 1)) % 4294967296)::BIGINT AS r FROM d),
+    u AS (SELECT i, xor(r, (r + ((xor(r, r >> 7)::HUGEINT * (r | 61)) % 4294967296)::BIGINT) % 4294967296) AS u FROM r),
+    j AS (SELECT i, floor(xor(u, u >> 14) / 4294967296.0::DOUBLE * (i + 1))::BIGINT AS j FROM u),
+    p AS (SELECT j AS place, min(i) AS up FROM j GROUP BY j),
+    w AS (SELECT unnest(range(least(50, n))) AS place FROM (SELECT count(*) AS n FROM documents) UNION ALL SELECT up FROM w JOIN p USING (place)),
+    e AS (SELECT place FROM w WHERE place NOT IN (SELECT place FROM p))"""
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) JOIN e USING (place)", "RECURSIVE " + _DRAW)
 def audit_sample(spark, sf):
-    """Fifty cases by a seeded hash: a sampling operator, the hash is Spark's."""
+    """Fifty cases by the seeded generator: a sampling operator."""
     return similarity.audit_sample(table(spark, sf, "documents"), "doc_id", 20)
 
 

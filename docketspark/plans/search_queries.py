@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import lemma, normalize, search
+from ..operators import lemma, normalize, phrases, search
 from ..operators.query import Filters, parse
 from .registry import INDEX, KEYS, LINES, index, lines, query, sql_build, sql_case, sql_count, sql_fold, sql_list, sql_tokens, table
 
@@ -224,57 +224,51 @@ _TOKS = INDEX + """, toks AS (SELECT paragraph_id, form, left(form, 5) AS lemma,
 _KEY = ["paragraph_id"]
 
 
-def _tokens(spark, sf):
-    """Every token, and the dictionary."""
-    found = lemma.occurrences(lines(spark, sf), "text", _KEY)
-    return found, found.select("form").distinct().select("form", F.substring("form", 1, 5).alias("lemma"))
+def _lemma(form):
+    """The dictionary as an expression."""
+    return F.substring(form, 1, 5)
 
 
-def _lemmas(spark, sf):
-    found, known = _tokens(spark, sf)
-    return lemma.positions(found, known), known
+def _positions(spark, sf):
+    return lemma.occurrences(lines(spark, sf), "text", _KEY).select(*_KEY, "pos", _lemma("form").alias("lemma"))
 
 
 @query("SELECT lemma, count(DISTINCT paragraph_id) AS paragraphs, md5(string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id)) AS digest FROM toks GROUP BY lemma", _TOKS)
 def lemma_postings(spark, sf):
-    rows = lemma.postings(_lemmas(spark, sf)[0])
+    rows = lemma.postings(_positions(spark, sf))
     return rows.groupBy("lemma").agg(F.count(F.lit(1)).alias("paragraphs"), F.md5(F.array_join(F.sort_array(F.collect_list("paragraph_id")), ",")).alias("digest"))
 
 
 @query("SELECT lemma, paragraph_id, array_to_string(list_sort(list_distinct(list(pos))), ',') AS positions FROM toks GROUP BY lemma, paragraph_id", _TOKS)
 def lemma_positions(spark, sf):
-    return lemma.packed(_lemmas(spark, sf)[0], _KEY).select("lemma", "paragraph_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return lemma.packed(_positions(spark, sf), _KEY).select("lemma", "paragraph_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query("SELECT DISTINCT paragraph_id FROM toks WHERE lemma = 'the' INTERSECT SELECT paragraph_id FROM toks WHERE lemma = 'and'", _TOKS)
 def lemma_and(spark, sf):
-    found, known = _tokens(spark, sf)
-    return lemma.all_of(found, known, ["the", "and"], _KEY)
+    return phrases.rows_with(lines(spark, sf), [["the"], ["and"]], _lemma).select(*_KEY)
 
 
 @query("SELECT DISTINCT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) WHERE a.lemma = 'of' AND b.lemma = 'the' AND b.pos = a.pos + 1", _TOKS)
 def lemma_phrase2(spark, sf):
-    found, known = _tokens(spark, sf)
-    return lemma.phrase(found, known, ["of", "the"], _KEY)
+    return phrases.rows_with(lines(spark, sf), [["of", "the"]], _lemma).select(*_KEY)
 
 
 @query("SELECT DISTINCT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) JOIN toks c USING (paragraph_id) WHERE a.lemma = 'the' AND b.lemma = 'of' AND b.pos = a.pos + 1 AND c.lemma = 'the' AND c.pos = a.pos + 2", _TOKS)
 def lemma_phrase3(spark, sf):
-    found, known = _tokens(spark, sf)
-    return lemma.phrase(found, known, ["the", "of", "the"], _KEY)
+    return phrases.rows_with(lines(spark, sf), [["the", "of", "the"]], _lemma).select(*_KEY)
 
 
 @query("SELECT paragraph_id FROM idx WHERE paragraph_id IN (SELECT paragraph_id FROM toks WHERE lemma = 'the') AND paragraph_id NOT IN (SELECT a.paragraph_id FROM toks a JOIN toks b USING (paragraph_id) WHERE a.lemma = 'of' AND b.lemma = 'the' AND b.pos = a.pos + 1)", _TOKS)
 def lemma_search(spark, sf):
-    found, known = _tokens(spark, sf)
-    return lemma.search(index(spark, sf), found, known, parse('the NOT "of the"'), _KEY).select("paragraph_id")
+    return phrases.search(index(spark, sf), parse('the NOT "of the"'), _lemma).select(*_KEY)
 
 
 @query("SELECT form, lemma FROM toks GROUP BY form, lemma", _TOKS)
 def lemma_forms(spark, sf):
-    return _tokens(spark, sf)[1]
+    return lemma.occurrences(lines(spark, sf), "text", _KEY).select("form", _lemma("form").alias("lemma")).distinct()
 
 
 @query('SELECT shard, min(form) AS "from", max(form) AS "to", count(*) AS n FROM (SELECT form, ((row_number() OVER (ORDER BY form) - 1) // 1000)::INT AS shard FROM (SELECT DISTINCT form FROM toks)) GROUP BY shard', _TOKS)
 def shard_ranges(spark, sf):
-    return lemma.shards(_tokens(spark, sf)[1], "form", 1000)
+    return lemma.shards(lemma.occurrences(lines(spark, sf), "text", _KEY), "form", 1000)
