@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, stored, text_of
+from .common import lean, partitions, shared_dir, stored, text_of
 from .votes import ascii_lower, block_keys, fingerprint, lane_sums, shingle_at, words_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +43,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 QUERIES, ROWS = 2_000, 200_000
 #: Fingerprints of a shard: their mean at most, and how many are dealt again by finer shards; blocks that the finest shards fix.
 SHARD, MOST, FINEST = 256, 1024, 5
+#: Edges of a file between the steps of components().
+EDGES = 200_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -193,6 +195,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     itself on the smallest. Both keep what is connected; alternating them ends in stars around the smallest nodes."""
     shared_dir(edges.sparkSession)
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().checkpoint()  # u < v from here on
+    files = min(partitions(edges.sparkSession), edges.count() // EDGES + 1)  # edges never become more
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     state = None
     for _ in range(most_steps):
@@ -202,7 +205,7 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         # Here v hangs on m < v.
         least = large.groupBy("v").agg(F.min("m").alias("root"))
         small = large.join(least, "v").select(F.col("m").alias("v"), F.col("root").alias("u")).where("u <> v").union(least.select("v", F.col("root").alias("u")))
-        edges = small.select("u", "v").distinct().checkpoint()
+        edges = small.select("u", "v").distinct().coalesce(files).checkpoint()
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
@@ -317,7 +320,7 @@ def common_shingles(rows: DataFrame, n_texts: int, shingle: int) -> tuple[np.nda
         for batch in pieces(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column(0), shingle)).view(np.int64))], names=["h"])
 
-    sample = rows.where(F.pmod("body", F.lit(max(1, n_texts // SAMPLE))) == 0).select("text").mapInArrow(of, "h long")
+    sample = rows.where(F.pmod("body", F.lit(max(1, n_texts // SAMPLE))) == 0).select("text").mapInArrow(lean(of), "h long")
     counts = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
     h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
@@ -417,7 +420,7 @@ def met_texts(rows: DataFrame, least: float, n_texts: int, shingle: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes(shingle_sets(batch.column(0), shingle), least, common)).view(np.int64))], names=["h"])
 
     # The prefixes are made twice rather than kept: few of their hashes have company, and all of them take much disk.
-    company = rows.select("text").mapInArrow(alone, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    company = rows.select("text").mapInArrow(lean(alone), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     table = marks(stored(company, "company"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +433,7 @@ def met_texts(rows: DataFrame, least: float, n_texts: int, shingle: int) -> Data
             columns = [pa.array([len(sets[i]) for i in at], pa.int64()), *[pa.array(prints[:, j].copy()) for j in range(WIDTH)], lists([met[i] for i in at])]
             yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=["body", "twin", "n", *PRINT, "hs"])
 
-    texts = rows.mapInArrow(kept, f"body long, twin long, n long, {', '.join(f'{f} long' for f in PRINT)}, hs array<long>").dropDuplicates(["body", "twin"])
+    texts = rows.mapInArrow(lean(kept), f"body long, twin long, n long, {', '.join(f'{f} long' for f in PRINT)}, hs array<long>").dropDuplicates(["body", "twin"])
     return stored(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
 
 
@@ -490,7 +493,7 @@ def near_texts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = rows.repartition(partitions(texts.sparkSession), "shard").sortWithinPartitions("shard", "side")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def near_in_shards(shard: np.ndarray, side: np.ndarray, t: np.ndarray, n: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -553,7 +556,7 @@ def sets_of(rows: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
             for part in pieces(iter([some]), 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(shingle_sets(part.column(2), shingle))], names=["body", "twin", "hs"])
 
-    return rows.mapInArrow(work, "body long, twin long, hs array<long>").join(named, ["body", "twin"]).dropDuplicates(["t"])
+    return rows.mapInArrow(lean(work), "body long, twin long, hs array<long>").join(named, ["body", "twin"]).dropDuplicates(["t"])
 
 
 def alike_texts(sets: DataFrame, least: float) -> DataFrame:
@@ -570,7 +573,7 @@ def alike_texts(sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t[links_[:, 0]]), pa.array(t[links_[:, 1]])], names=["a", "b"])
 
     dealt = rows.repartition(partitions(sets.sparkSession), "shard").sortWithinPartitions("shard", "side")
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(lean(work), "a long, b long")
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -660,7 +663,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, te
     shared_dir(docs.sparkSession)
     rows = named_texts(docs, text_column)
     texts = met_texts(rows, similarity, docs.count(), shingle)
-    families = components(near_texts(texts))
+    families = components(stored(near_texts(texts), "near"))
     named = stored(members(texts, families), "members")
     return stored(alike_texts(sets_of(rows, named, shingle), similarity), "alike"), texts.select("t", "body", "twin")
 

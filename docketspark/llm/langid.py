@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 UND = "und"
 BUCKETS, SMOOTH = 4096, 0.5
 SAMPLE = 2000  # labelled documents of each language, about
@@ -166,4 +168,4 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
             columns = [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string()), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *[k for k, _ in added]])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(lean(work), schema)

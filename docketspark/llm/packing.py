@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 from .vocab import encoder
 
 #: A piece may leave this part of its slot empty.
@@ -120,4 +120,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(lean(work), SCHEMA)
