@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
 from ..operators import search, similarity, stats, topk
-from ..sources import sinks
+from ..sources import arrays, merkle, sinks
+from ..sources.shared import scratch
 from ..streaming import ingest
 from .registry import LINES, lines, query, sql_build, sql_list, sql_ns, sql_tokens, table
 
@@ -345,6 +346,26 @@ def dataset_hash(spark, sf):
     return spark.createDataFrame([(sinks.dataset_hash(table(spark, sf, "nation"), "n_nationkey"),)], "dataset_hash string")
 
 
+@query(
+    """SELECT sha256(string_agg(digest, '' ORDER BY leaf)) AS dataset_hash FROM (SELECT doc_id // 256 AS leaf, sha256(string_agg(d, '' ORDER BY doc_id, d)) AS digest FROM
+    (SELECT doc_id, sha256(doc_id || chr(10) || coalesce(lang, '') || chr(10) || coalesce(text, '')) AS d FROM documents) GROUP BY leaf)"""
+)
+def dataset_hash_tree(spark, sf):
+    """The corpus's digest as a tree over ranges of ids (one level above the leaves up to 65,536 ids, as the SQL has it)."""
+    line = F.concat_ws("\n", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
+    digest = merkle.tree_hash(table(spark, sf, "documents"), "doc_id", F.sha2(line, 256))
+    return spark.createDataFrame([(digest,)], "dataset_hash string")
+
+
+@query("SELECT doc_id, lang, sha256(text) AS text_sha256, length(text)::BIGINT AS n FROM documents")
+def json_array_reading(spark, sf):
+    """The documents written as JSON arrays, and read back by many tasks."""
+    place = scratch(spark, "arrays")
+    sinks.write_arrays(table(spark, sf, "documents").select("doc_id", "lang", "text"), place)
+    found = arrays.read_array(spark, place, "doc_id long, lang string, text string")
+    return found.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n"))
+
+
 @query("SELECT user_id || ':' || event_type AS query, max(ts) AS last_at FROM events GROUP BY 1 ORDER BY last_at DESC, query LIMIT 25")
 def query_history_recent(spark, sf):
     return search.recent(table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("query"), "ts"))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import lemma, normalize, phrases, search
+from ..operators import lemma, normalize, phrases, search, trigram
 from ..operators.query import Filters, parse
+from ..sources.shared import scratch
 from .registry import INDEX, KEYS, LINES, index, lines, query, sql_build, sql_case, sql_count, sql_fold, sql_list, sql_tokens, table
 
 WEIGHT = sql_case("section_key", dims.SEARCH_WEIGHTS, 1.0)
@@ -32,6 +33,14 @@ def search_boolean(spark, sf):
     return _found(spark, sf, '(there OR "que la") ion')
 
 
+@query(f"SELECT paragraph_id, round(greatest({sql_count('t', 'heon')} + {sql_count('t', 'que la')}, 1) * {WEIGHT} + CASE WHEN contains(t, 'que la') THEN 1.4 ELSE 0 END, 3)::DOUBLE AS score FROM idx WHERE (contains(t, 'heon') OR contains(t, 'que la')) AND year >= 1995", INDEX)
+def search_trigram(spark, sf):
+    """Over a written index of trigrams: blocks that cannot match are not read."""
+    place = scratch(spark, "trigrams")
+    trigram.write(index(spark, sf).drop("paragraph_index", "document_id"), place, ["doc_id", "pos"])
+    return trigram.search(spark, place, parse('heon OR "que la"'), Filters(year_from=1995)).select("paragraph_id", "score")
+
+
 @query("SELECT paragraph_id FROM idx WHERE contains(t, 'tion') AND NOT (contains(t, 'the') OR contains(t, 'der'))", INDEX)
 def search_not(spark, sf):
     return _found(spark, sf, "tion and not (the or der)")
@@ -200,7 +209,7 @@ def sidebar_terms(spark, sf):
 @query()
 def highlights(spark, sf):
     """Ranges to mark, and the text with the marks; offsets are found in Python, tests hold them against plain search."""
-    rows = search.with_highlights(index(spark, sf).where(F.col("text_legal").contains("tion")), parse('tion "of the"'))
+    rows = search.with_highlights(index(spark, sf), parse('tion "of the"'))
     return rows.select("paragraph_id", F.size("highlights").alias("n"), F.md5(search.marked(F.col("text"), F.col("highlights"))).alias("marked"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,22 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_arrays(rows: DataFrame, path: str) -> None:
+    """Each part as a JSON array of its own, an element a line."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            lines = []
+            for x in b.column(0).to_pylist():
+                lines.append(lead + x)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(work, "value string").write.mode("overwrite").text(path)
+
+
 def provenance(query: str, filters: dict[str, str], digest: str, generated_at: str) -> dict[str, Column]:
     """The six columns that every export begins with."""
     ordered = F.to_json(F.struct(*[F.lit(filters[k]).alias(k) for k in sorted(filters)])) if filters else F.lit("{}")
