@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
-from ..operators import lemma, normalize, phrases, search, trigram
+from ..operators import lemma, normalize, phrases, search, segments, trigram
 from ..operators.query import Filters, parse
 from ..sources.shared import scratch
 from .registry import INDEX, KEYS, LINES, index, lines, query, sql_build, sql_case, sql_count, sql_fold, sql_list, sql_tokens, table
@@ -248,6 +248,18 @@ def lemma_postings(spark, sf):
     return rows.groupBy("lemma").agg(F.count(F.lit(1)).alias("paragraphs"), F.md5(F.array_join(F.sort_array(F.collect_list("paragraph_id")), ",")).alias("digest"))
 
 
+@query("SELECT lemma, count(DISTINCT paragraph_id) AS paragraphs, count(*) AS places FROM toks WHERE paragraph_id NOT IN (SELECT paragraph_id FROM idx WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY lemma", _TOKS)
+def lemma_segments(spark, sf):
+    """An index of four segments, merged, from which the labelled documents are removed."""
+    place, rows = scratch(spark, "segments"), lines(spark, sf)
+    for part in range(4):
+        segments.add(spark, place, rows.where(F.pmod("doc_id", F.lit(4)) == part), _lemma, key=["doc_id", "paragraph_id"])
+    segments.remove(spark, place, table(spark, sf, "labels"), "doc_id")
+    segments.merge(spark, place, "doc_id")
+    found = segments.positions(spark, place, "doc_id")
+    return found.groupBy("lemma").agg(F.countDistinct("paragraph_id").alias("paragraphs"), F.count(F.lit(1)).alias("places"))
+
+
 @query("SELECT lemma, paragraph_id, array_to_string(list_sort(list_distinct(list(pos))), ',') AS positions FROM toks GROUP BY lemma, paragraph_id", _TOKS)
 def lemma_positions(spark, sf):
     return lemma.packed(_positions(spark, sf), _KEY).select("lemma", "paragraph_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
