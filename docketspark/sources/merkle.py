@@ -45,9 +45,7 @@ def root(level: DataFrame) -> str:
     level = stored(level, "leaves")
     while (n := level.count()) > WIDTH:
         level = stored(combined(level, F.floor(F.col("node") / WIDTH).cast("long"), "node"), "level")
-    if n == 0:
-        return EMPTY
-    return (level if n == 1 else combined(level, F.lit(0).cast("long"), "node")).first().digest
+    return combined(level, F.lit(0).cast("long"), "node").first().digest if n else EMPTY
 
 
 def tree_hash(rows: DataFrame, key: str, digest: Column | None = None) -> str:
