@@ -1,7 +1,7 @@
 """A dataset's digest as a tree over ranges of its key, so that no task sees all rows and a change recomputes only its range.
 
 A leaf covers WIDTH neighbouring integer keys: the SHA-256 of its rows' digests in the order of key and digest. A node covers WIDTH
-nodes below: the SHA-256 of their digests in order; the root covers the first level of WIDTH nodes or fewer. Leaves without rows and
+nodes below: the SHA-256 of their digests in order; the root covers the first level of WIDTH nodes or fewer (flat_root: all leaves). Leaves without rows and
 nodes without leaves do not occur. Each level is one
 aggregation over groups of WIDTH members at most (more only where a key repeats). Rows without a key count as key 0. An empty
 table has the digest of nothing.
@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import hashlib
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,20 @@ def tree_hash(rows: DataFrame, key: str, digest: Column | None = None) -> str:
     return root(leaves(rows, key, digest))
 
 
+def flat_root(level: DataFrame) -> DataFrame:
+    """digest: the SHA-256 of all leaves' digests in order, one level above them however many there are. SHA-256 is a stream, so one
+    task reads the sorted digests (64 characters for WIDTH keys) and holds a batch of them at a time. The leaves are computed before,
+    by all tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for b in batches:
+            h.update("".join(b.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
+
+    return stored(level, "leaves").repartition(1).sortWithinPartitions("node").select("digest").mapInArrow(work, "digest string").agg(F.coalesce(F.max("digest"), F.lit(EMPTY)).alias("digest"))
+
+
 def updated(before: DataFrame, rows: DataFrame, key: str, changed: DataFrame, digest: Column | None = None) -> DataFrame:
     """The leaves of rows, from the leaves before and the keys (column of the same name) that were added, changed or removed: only
     their ranges are read and hashed anew."""

@@ -250,3 +250,18 @@ def test_shards_of_many_terms(spark):
     got = sorted(lemma.shards(terms, "term", 1000).collect())
     names = sorted(f"t{i}" for i in range(400_000))
     assert [tuple(r) for r in got] == [(i, names[1000 * i], names[1000 * i + 999], 1000) for i in range(400)]
+
+
+def test_flat_root_covers_all_leaves_at_any_size(spark):
+    import hashlib
+
+    from docketspark.sources import merkle
+
+    n = merkle.WIDTH * merkle.WIDTH + 300  # more leaves than one node of the tree covers
+    rows = spark.range(n).withColumn("d", F.sha2(F.col("id").cast("string"), 256))
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    leaf = lambda k: hashlib.sha256("".join(map(digest, range(k, min(k + merkle.WIDTH, n)))).encode()).hexdigest()
+    want = hashlib.sha256("".join(map(leaf, range(0, n, merkle.WIDTH))).encode()).hexdigest()
+    assert [r.digest for r in merkle.flat_root(merkle.leaves(rows, "id", F.col("d"))).collect()] == [want]
+    assert merkle.tree_hash(rows, "id", F.col("d")) != want
+    assert [r.digest for r in merkle.flat_root(merkle.leaves(rows.limit(0), "id", F.col("d"))).collect()] == [merkle.EMPTY]
