@@ -2,12 +2,15 @@
 
 A word's vector is the sum of three rows of one hashed table: two hashes of the word (a clash in one is no clash in the
 other) and one of its first five letters. Filters of widths 1, 2 and 3 slide over all words of the text, each keeps its
-largest response, and a logistic layer reads those. Adam trains table, filters and layer on a sample of at most
-about 2 * SAMPLE labelled documents (whole texts), half of them of each label where there are enough. Rows of the table that
-training never met are zero, so unknown words say nothing. The table's first column starts from the words' log-odds.
-
-Thresholds are calibrated by language: a table of word hashes tells the language from the text, and on a fifth of the sample
-that training leaves out the best cut of each language is found; scores are shifted so that every language's cut is at 0.5.
+largest response, and a logistic layer reads those. All labelled documents (whole texts) are trained on, in shards of about SHARD
+documents: in each round every shard goes on from the common network with Adam, as a task of its own, and Spark averages what the
+shards have learnt (rows of the table over the shards that met them). Rows of the table that training never met are zero, so
+unknown words say nothing. The table's first column starts from the words' log-odds over all documents, which Spark counts.
+
+Thresholds are calibrated by language: a table of word hashes tells the language from the text, and on a fifth of all labelled
+documents that training leaves out the best cut of each language is found, to a thousandth; scores are shifted so that every
+language's cut is at 0.5. Only tables of fixed size (counts by table row, chunks of the averaged table, counts by score) go to the
+driver.
 The lang column serves as a target of that table in training; scoring reads the text alone.
 
 Null and empty texts are scored as texts without words (the layer's bias). Without labels of both kinds every score is 0.
@@ -16,6 +19,7 @@ Repeated rows give repeated results. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,9 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 TABLE_BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
-SAMPLE = 1500  # documents of each label, about
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
+SHARD = 2500  # documents that a task trains on, about
+BATCH, RATE, DECAY = 32, 0.01, 1e-4
+#: Passes over all documents: fewer where there are many, so that STEPS documents are seen at least if MOST_PASSES allow it.
+LEAST_PASSES, MOST_PASSES, STEPS = 2, 6, 18_000
+ROUNDS = 2  # the shards' networks are averaged so often
+CHUNKS = 128  # parts of the table that are averaged each on its own
 LEAST_CALIBRATED = 8  # documents of either label that a language's own threshold takes
 WORD = re.compile(r"[^\W\d_]+")
 MEMORY = 300_000  # words whose hashes a worker remembers
@@ -130,43 +140,80 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit - self.shift[language], -30, 30)))
 
 
-def log_odds(rows: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """For each table row the log-odds that a document with it has label 1, shrunk towards 0."""
-    seen = np.unique(rows * len(y) + doc)
-    at, of = seen // len(y), y[seen % len(y)]
-    one, all_ = np.bincount(at, of, n), np.bincount(at, minlength=n)
-    p, total = (one + 0.5) / (y.sum() + 1), (all_ - one + 0.5) / (len(y) - y.sum() + 1)
+def log_odds(one: np.ndarray, all_: np.ndarray, positive: int, n: int) -> np.ndarray:
+    """For each table row the log-odds that a document with it (one of all_) has label 1 (positive of n), shrunk towards 0."""
+    p, total = (one + 0.5) / (positive + 1), (all_ - one + 0.5) / (n - positive + 1)
     return np.where(all_ >= 3, np.log(p / total), 0) * all_ / (all_ + 20)
 
 
-def fit(texts: list[str], y: np.ndarray, languages: list[str | None], seed: int = 7) -> Network | None:
-    """A network for labelled texts; None without both labels."""
-    if len(set(y.tolist())) < 2:
-        return None
+def ordered(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, list[str | None], np.ndarray]:
+    """(texts, labels, languages, left out) of a shard."""
+    found = [b.select(["text", "y", "lang", "left_out"]) for b in batches]
+    t = pa.Table.from_batches(found) if found else pa.table({"text": [], "y": [], "lang": [], "left_out": []})
+    return t["text"].to_pylist(), np.array(t["y"].to_pylist(), float), t["lang"].to_pylist(), np.array(t["left_out"].to_pylist(), bool)
+
+
+def _held(net: Network, spark) -> object:
+    """The network as a broadcast: a few MB whatever the data."""
+    return spark.sparkContext.broadcast(pickle.dumps(net))
+
+
+def started(shards: DataFrame, names: list[str], sizes: dict[tuple[bool, int], int], languages: dict[str, int], seed: int) -> Network:
+    """A network before training: the words' log-odds by label and by language over all documents, and random filters."""
+    n = 1 << TABLE_BITS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, langs, left_out = ordered(batches)
+        rows, size = rows_of(texts, Hashes())
+        doc = np.repeat(np.arange(len(y)), size)
+        for j in range(3):
+            at, of = np.divmod(np.unique(rows[:, j] * max(len(y), 1) + doc), max(len(y), 1))
+            inside = ~left_out[of]
+            kinds = [("all", np.bincount(at[inside], minlength=n)), ("one", np.bincount(at[inside], y[of][inside], n))]
+            if j == 0:
+                lang = np.array(langs, object)
+                kinds += [("docs", np.bincount(at, minlength=n))] + [(f"lang {k}", np.bincount(at, lang[of] == name, n)) for k, name in enumerate(names)]
+            for kind, value in kinds:
+                met = np.flatnonzero(value)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{kind} {j}"] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(value[met].astype(np.int64))], names=["kind", "at", "n"])
+
+    sums = shards.mapInArrow(work, "kind string, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()  # some rows for each table row
+    kinds, at, value = np.array(sums["kind"].to_pylist(), object), sums["at"].to_numpy(), sums["n"].to_numpy()
+
+    def full(kind: str) -> np.ndarray:
+        out = np.zeros(n)
+        out[at[kinds == kind]] = value[kinds == kind]
+        return out
+
     rng = np.random.default_rng(seed)
-    rows, sizes = rows_of(texts, Hashes())
-    ends = np.cumsum(sizes)
-    starts, n, doc = ends - sizes, 1 << TABLE_BITS, np.repeat(np.arange(len(y)), sizes)
-    left_out = rng.random(len(y)) < 0.2
-    inside = ~left_out[doc]
     table = np.zeros((n, DIM), np.float32)
-    met = np.unique(rows[inside])
+    every = [full(f"all {j}") for j in range(3)]
+    met = np.flatnonzero(sum(every))
     table[met] = rng.normal(0, 0.05, (len(met), DIM))
+    trained, positive = sizes.get((False, 0), 0) + sizes.get((False, 1), 0), sizes.get((False, 1), 0)
     for j in range(3):
-        odds = log_odds(rows[inside, j], doc[inside], np.where(left_out, 0, y), n)
-        table[:, 0] += odds.astype(np.float32) / 3
-    names = sorted({x for x in languages if x is not None})
+        table[:, 0] += log_odds(full(f"one {j}"), every[j], positive, trained).astype(np.float32) / 3
     tongue = np.zeros((n, len(names)), np.float32)
+    docs, total = full("docs 0"), sum(sizes.values())
     for k, name in enumerate(names):
-        tongue[:, k] = log_odds(rows[:, 0], doc, np.array([x == name for x in languages], float), n) if len(names) > 1 else 0
+        tongue[:, k] = log_odds(full(f"lang {k} 0"), docs, languages[name], total) if len(names) > 1 else 0
     filters = [rng.normal(0, 0.2, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[::DIM] = np.abs(f[::DIM])
-    net = Network(table, filters, np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), float(np.log(y.mean() / (1 - y.mean()))), tongue, np.zeros(len(names) + 1))
+    rate = min(max(positive / max(trained, 1), 1e-6), 1 - 1e-6)
+    return Network(table, filters, np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), float(np.log(rate / (1 - rate))), tongue, np.zeros(len(names) + 1))
 
-    order = np.flatnonzero(~left_out)
+
+def fit(net: Network, texts: list[str], y: np.ndarray, rate: float, passes: int, seed: int) -> None:
+    """Goes on training a network on a shard's documents. rate: the share of label 1 among all."""
+    if not texts:
+        return
+    rng = np.random.default_rng(seed)
+    rows, sizes = rows_of(texts, Hashes())
+    ends = np.cumsum(sizes)
+    starts, order = ends - sizes, np.arange(len(y))
     moments: dict = {}
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    weight = np.where(y == 1, 0.5 / max(rate, 1e-6), 0.5 / max(1 - rate, 1e-6))
 
     def adam(key, value: np.ndarray, grad: np.ndarray, step: int) -> None:
         m, v = moments.setdefault(key, (np.zeros_like(value), np.zeros_like(value)))
@@ -175,7 +222,7 @@ def fit(texts: list[str], y: np.ndarray, languages: list[str | None], seed: int
         value -= RATE * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) + DECAY * value)
 
     step, bias = 0, np.array([net.bias], np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(passes):
         rng.shuffle(order)
         for i in range(0, len(order), BATCH):
             step += 1
@@ -206,46 +253,132 @@ def fit(texts: list[str], y: np.ndarray, languages: list[str | None], seed: int
                 np.add.at(net.table, own[touched, j], -RATE * 20 * slope[touched])
     net.bias = float(bias[0])
 
-    logit, language = net.raw(rows, sizes)
-    rate = y.mean()
-
-    def cut(which: np.ndarray) -> float:
-        """The threshold with the largest balanced accuracy: the middle of the widest best gap."""
-        z, t = logit[which], y[which]
-        o = np.argsort(z, kind="stable")
-        z, t = z[o], t[o]
-        right = np.concatenate([[0], np.cumsum(t == 0)]) / max((t == 0).sum(), 1) + np.concatenate([np.cumsum((t == 1)[::-1])[::-1], [0]]) / max((t == 1).sum(), 1)
-        best = np.flatnonzero(right >= right.max() - 1e-12)
-        edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-        gaps = edges[best + 1] - edges[best]
-        b = best[gaps.argmax()]
-        return float((edges[b] + edges[b + 1]) / 2)
-
-    whole = cut(left_out) if len(set(y[left_out].tolist())) == 2 else (cut(np.ones(len(y), bool)) if rate else 0.0)
-    net.shift[:] = whole
-    for k in range(len(names)):
-        own = left_out & (language == k)
-        if min((y[own] == 0).sum(), (y[own] == 1).sum()) >= LEAST_CALIBRATED:
-            net.shift[k] = cut(own)
+
+def _small(net: Network) -> np.ndarray:
+    return np.concatenate([*(f.ravel() for f in net.filters), net.layer, [net.bias]]).astype(np.float64)
+
+
+def averaged(shards: DataFrame, net: Network, rate: float, passes: int, seed: int) -> Network:
+    """The network after one round: each shard trains from net in a task, and the mean of the changes is added."""
+    held = _held(net, shards.sparkSession)
+    size = (1 << TABLE_BITS) // CHUNKS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, _, left_out = ordered(batches)
+        own = pickle.loads(held.value)
+        before, small = own.table.copy(), _small(own)
+        keep = np.flatnonzero(~left_out)
+        if not len(keep):
+            return
+        fit(own, [texts[i] for i in keep], y[keep], rate, passes, seed)
+        moved = (own.table - before).astype(np.float16).reshape(CHUNKS, -1)
+        for c in np.flatnonzero(moved.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([moved[c].tobytes()], pa.binary())], names=["chunk", "moved"])
+        change = np.append((_small(own) - small) * len(keep), len(keep))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([change.tobytes()], pa.binary())], names=["chunk", "moved"])
+
+    def mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = 0.0, 0
+        for b in batches:
+            for x in b.column("moved"):
+                if key[0].as_py() < 0:
+                    total = total + np.frombuffer(x.as_py(), np.float64)
+                else:
+                    one = np.frombuffer(x.as_py(), np.float16).astype(np.float64).reshape(-1, DIM)
+                    total, met = total + one, met + one.any(1)
+        out = total[:-1] / total[-1] if key[0].as_py() < 0 else (total / np.maximum(met, 1)[:, None]).astype(np.float32).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "moved"])
+
+    made = shards.mapInArrow(work, "chunk int, moved binary").groupBy("chunk").applyInArrow(mean, "chunk int, moved binary")
+    for r in made.toLocalIterator():
+        if r.chunk < 0:
+            small, at = _small(net) + np.frombuffer(bytes(r.moved), np.float64), 0
+            for f in net.filters:
+                f[:] = small[at : at + f.size].reshape(f.shape)
+                at += f.size
+            net.layer[:] = small[at:-1]
+            net.bias = float(small[-1])
+        else:
+            net.table[r.chunk * size : (r.chunk + 1) * size] += np.frombuffer(bytes(r.moved), np.float32).reshape(-1, DIM)
+    held.destroy()
+    return net
+
+
+def cut(z: np.ndarray, zero: np.ndarray, one: np.ndarray) -> float:
+    """The threshold with the largest balanced accuracy: the middle of the widest best gap. zero, one: documents of each label
+    at each z."""
+    o = np.argsort(z, kind="stable")
+    z, zero, one = z[o], zero[o], one[o]
+    right = np.concatenate([[0], np.cumsum(zero)]) / max(zero.sum(), 1) + np.concatenate([np.cumsum(one[::-1])[::-1], [0]]) / max(one.sum(), 1)
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
+    b = best[(edges[best + 1] - edges[best]).argmax()]
+    return float((edges[b] + edges[b + 1]) / 2)
+
+
+def calibrated(shards: DataFrame, net: Network) -> Network:
+    """The network with thresholds from all documents that training left out (from all, if those have one label)."""
+    held = _held(net, shards.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, hashes = pickle.loads(held.value), Hashes()
+        for b in batches:
+            texts, y, _, left_out = ordered(iter([b]))
+            for i in range(0, len(texts), 64):
+                part = slice(i, i + 64)
+                logit, language = own.raw(*rows_of(texts[part], hashes))
+                at = np.round(np.clip(logit, -30, 30) * 1000).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(left_out[part]), pa.array(language.astype(np.int32)), pa.array(at), pa.array(y[part].astype(np.int32))], names=["left_out", "language", "at", "y"])
+
+    def counts(rows: DataFrame) -> np.ndarray:
+        t = rows.groupBy("language", "at").agg(F.count_if(F.col("y") == 0).alias("zero"), F.count_if(F.col("y") == 1).alias("one")).orderBy("language", "at").toArrow()  # 60,001 scores a language at most
+        return np.array([t[c].to_pylist() for c in ("language", "at", "zero", "one")], float)
+
+    scored = lambda rows: rows.mapInArrow(work, "left_out boolean, language int, at int, y int")
+    language, at, zero, one = counts(scored(shards.where("left_out")))
+    if zero.sum() and one.sum():
+        net.shift[:] = cut(at / 1000, zero, one)
+        for k in range(len(net.shift) - 1):
+            own = language == k
+            if min(zero[own].sum(), one[own].sum()) >= LEAST_CALIBRATED:
+                net.shift[k] = cut(at[own] / 1000, zero[own], one[own])
+    else:
+        _, at, zero, one = counts(scored(shards))
+        net.shift[:] = cut(at / 1000, zero, one)
+    held.destroy()
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, label_column: str = "toxic", lang_column: str | None = "lang") -> Network | None:
-    """A network from at most about `sample` usable labelled documents of each label, chosen by a hash of doc_id. Only the
-    chosen labels go to the join with the texts, and only the chosen texts to the driver, where training runs."""
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str, lang_column: str | None) -> DataFrame:
+    """doc_id, text, lang, y, left_out of all usable labelled documents."""
     known = labels.select("doc_id", F.col(label_column).cast("int").alias("y")).where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    counts = dict(map(tuple, known.groupBy("y").count().collect()))
-    if len(counts) < 2:
-        return None
-    share = lambda y: min(1.0, sample / counts[y])
-    odds = F.when(F.col("y") == 1, F.lit(share(1))).otherwise(F.lit(share(0)))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < odds * (1 << 30))
     lang = F.col(lang_column).cast("string") if lang_column and lang_column in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "y").toArrow()  # 2 * sample rows or so
-    order = np.argsort(np.array(found["doc_id"].to_pylist()), kind="stable").tolist()
-    text, lang_, y = (found[k].to_pylist() for k in ("text", "lang", "y"))
-    return fit([text[i] for i in order], np.array([y[i] for i in order], float), [lang_[i] for i in order])
+    return texts.join(known, "doc_id").withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(5)) == 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str = "toxic", lang_column: str | None = "lang", seed: int = 7) -> Network | None:
+    """A network from all usable labelled documents; None without both labels. Their texts are stored once, dealt to shards by
+    doc_id."""
+    rows = labelled(docs, labels, usable, label_column, lang_column)
+    sizes: dict[tuple[bool, int], int] = {}
+    languages: dict[str, int] = {}
+    for r in rows.groupBy("left_out", "y", "lang").count().collect():  # some rows for each language
+        sizes[r.left_out, r.y] = sizes.get((r.left_out, r.y), 0) + r["count"]
+        if r.lang is not None:
+            languages[r.lang] = languages.get(r.lang, 0) + r["count"]
+    if len({y for _, y in sizes}) < 2:
+        return None
+    trained = sizes.get((False, 0), 0) + sizes.get((False, 1), 0)
+    shared_dir(docs.sparkSession)
+    number = max(1, -(-trained // SHARD))
+    shards = rows.repartition(number, "doc_id").sortWithinPartitions("doc_id", "text").checkpoint()
+    net = started(shards, sorted(languages), sizes, languages, seed)
+    rate = sizes.get((False, 1), 0) / max(trained, 1)
+    passes = min(MOST_PASSES, max(LEAST_PASSES, -(-STEPS // max(trained, 1))))
+    for r in range(ROUNDS):
+        net = averaged(shards, net, rate, passes // ROUNDS + (r < passes % ROUNDS), seed + r)
+    return calibrated(shards, net)
 
 
 def score(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

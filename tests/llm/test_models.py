@@ -129,3 +129,25 @@ def test_toxicity_learns_words_and_handles_odd_rows(spark):
     assert toxicity.score(odd.limit(0), net).count() == 0
     assert toxicity.train(df, df.select("doc_id", "toxic").where("toxic = 1"), df.doc_id >= 0) is None
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """6,000 documents in several shards: words that a few rows alone have are known, wherever the rows lie."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)]
+    bad = [f"{chr(107 + i)}vile{chr(107 + i)}" for i in range(12)]
+    rows = []
+    for i in range(6000):
+        toxic = i % 10 == 0
+        rows.append((i, " ".join([*rng.choices(words, k=6), *([bad[i // 10 % 12]] if toxic else [])]), "en", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    real = toxicity.averaged
+    monkeypatch.setattr(toxicity, "averaged", lambda shards, *rest: seen.append((shards.where("not left_out").count(), shards.rdd.getNumPartitions())) or real(shards, *rest))
+    net = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"), df.doc_id < 5400)
+    every = toxicity.labelled(df.drop("toxic"), df.select("doc_id", "toxic"), df.doc_id < 5400, "toxic", "lang")
+    assert every.count() == 5400
+    assert seen == [(every.where("not left_out").count(), 2)] * toxicity.ROUNDS
+    got = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    held = [(got[i] >= 0.5, bool(y)) for i, _, _, y in rows if i >= 5400]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([not p for p, y in held if not y]) > 0.97
