@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -174,16 +174,21 @@ def started(shards: DataFrame, names: list[str], sizes: dict[tuple[bool, int], i
                 lang = np.array(langs, object)
                 kinds += [("docs", np.bincount(at, minlength=n))] + [(f"lang {k}", np.bincount(at, lang[of] == name, n)) for k, name in enumerate(names)]
             for kind, value in kinds:
-                met = np.flatnonzero(value)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{kind} {j}"] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(value[met].astype(np.int64))], names=["kind", "at", "n"])
+                parts = value.astype(np.int32).reshape(CHUNKS, -1)
+                for c in np.flatnonzero(parts.any(1)).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{kind} {j}"]), pa.array([c], pa.int32()), pa.array([parts[c].tobytes()], pa.binary())], names=["kind", "chunk", "n"])
 
-    sums = shards.mapInArrow(work, "kind string, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()  # some rows for each table row
-    kinds, at, value = np.array(sums["kind"].to_pylist(), object), sums["at"].to_numpy(), sums["n"].to_numpy()
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for b in batches for x in b.column("n"))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["kind", "chunk", "n"])
+
+    counts = "kind string, chunk int, n binary"
+    counted: dict[str, np.ndarray] = {}
+    for r in shards.mapInArrow(work, counts).groupBy("kind", "chunk").applyInArrow(added, counts).toLocalIterator():
+        counted.setdefault(r.kind, np.zeros((CHUNKS, n // CHUNKS)))[r.chunk] = np.frombuffer(bytes(r.n), np.int64)
 
     def full(kind: str) -> np.ndarray:
-        out = np.zeros(n)
-        out[at[kinds == kind]] = value[kinds == kind]
-        return out
+        return counted[kind].ravel() if kind in counted else np.zeros(n)
 
     rng = np.random.default_rng(seed)
     table = np.zeros((n, DIM), np.float32)
@@ -349,12 +354,19 @@ def calibrated(shards: DataFrame, net: Network) -> Network:
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str, lang_column: str | None) -> DataFrame:
-    """doc_id, text, lang, y, left_out of all usable labelled documents."""
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str, lang_column: str | None, number: int | None = None) -> DataFrame:
+    """doc_id, text, lang, y, left_out of all usable labelled documents; dealt to `number` shards by doc_id."""
     known = labels.select("doc_id", F.col(label_column).cast("int").alias("y")).where(usable & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     lang = F.col(lang_column).cast("string") if lang_column and lang_column in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    return texts.join(known, "doc_id").withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(5)) == 0)
+    texts = docs.where(usable).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    if number is None:
+        rows = texts.join(known, "doc_id")
+    else:  # texts and labels go to their shard once, and meet there
+        none = lambda kind: F.lit(None).cast(kind)
+        both = texts.select("*", none("int").alias("y")).union(known.select("doc_id", none("string"), none("string"), "y")).repartition(number, "doc_id")
+        met = both.withColumn("ys", F.collect_list("y").over(Window.partitionBy("doc_id")))
+        rows = met.where("text is not null").select("doc_id", "text", "lang", F.explode("ys").alias("y"))
+    return rows.withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(5)) == 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str = "toxic", lang_column: str | None = "lang", seed: int = 7) -> Network | None:
@@ -372,7 +384,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_column: str
     trained = sizes.get((False, 0), 0) + sizes.get((False, 1), 0)
     shared_dir(docs.sparkSession)
     number = max(1, -(-trained // SHARD))
-    shards = rows.repartition(number, "doc_id").sortWithinPartitions("doc_id", "text").checkpoint()
+    shards = labelled(docs, labels, usable, label_column, lang_column, number).sortWithinPartitions("doc_id", "text").checkpoint()
     net = started(shards, sorted(languages), sizes, languages, seed)
     rate = sizes.get((False, 1), 0) / max(trained, 1)
     passes = min(MOST_PASSES, max(LEAST_PASSES, -(-STEPS // max(trained, 1))))
