@@ -58,12 +58,13 @@ def bigrams(rows: DataFrame, text: Column | str, order: Sequence[str]) -> DataFr
     made = toks.select(*order, F.posexplode(adjacent(F.col("toks"))).alias("place", "p"))
     key, label = F.concat_ws(" ", "p.a.norm", "p.b.norm"), F.concat_ws(" ", "p.a.token", "p.b.token")
     alias = F.create_map(*[F.lit(x) for k, v in dims.PHRASE_ALIASES.items() for x in (fold_plain(k, True), v)])
+    known = sorted({fold_plain(k, True) for k in dims.PHRASE_ALIASES})  # one look, where the map compares entry by entry
     canon = F.create_map(*[F.lit(x) for v in set(dims.PHRASE_ALIASES.values()) for x in (v, fold_plain(v, True))])
-    named = made.select(*order, "place", key.alias("raw"), label.alias("own")).withColumn("alias", F.element_at(alias, F.col("raw")))
+    named = made.select(*order, "place", key.alias("raw"), label.alias("own")).withColumn("alias", F.when(F.col("raw").isin(*known), F.element_at(alias, F.col("raw"))))
     named = named.select(*order, "place", F.coalesce(F.element_at(canon, F.col("alias")), F.col("raw")).alias("key"), F.coalesce("alias", "own").alias("label"))
-    # Labels of a key are few: they are counted first, and only their last places are compared.
-    spelled = named.groupBy("key", "label").agg(F.max(F.struct(*order, "place")).alias("last"), F.count(F.lit(1)).alias("n"))
-    return spelled.groupBy("key").agg(F.max_by("label", "last").alias("label"), F.sum("n").alias("n"))
+    # One aggregation: places differ, so the largest row of place and label is that of the last place.
+    own = named.groupBy("key").agg(F.max(F.struct(*order, "place", "label")).alias("last"), F.count(F.lit(1)).alias("n"))
+    return own.select("key", F.col("last.label").alias("label"), "n")
 
 
 def split_noise(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
