@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
+from .arrays import parted
 
 TOOL = "docketspark 0.1"
 
@@ -46,7 +47,7 @@ def write_arrays(rows: DataFrame, path: str) -> None:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = "["
-        for b in batches:
+        for b in parted(batches, 0):
             lines = []
             for x in b.column(0).to_pylist():
                 lines.append(lead + x)

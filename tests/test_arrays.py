@@ -92,3 +92,24 @@ def test_broken_input_is_named_with_its_byte(spark, tmp_path, text, at):
     with pytest.raises(Exception, match=rf"a\.json.* byte {at}"):
         arrays.read_array(spark, str(tmp_path / "a.json"), SCHEMA).collect()
     assert len(arrays.read_array(spark, str(tmp_path / "a.json"), SCHEMA, strict=False).collect()) <= 2
+
+
+def test_few_bytes_at_once(spark, tmp_path, monkeypatch):
+    """Whatever a batch of rows holds, a pass looks at CHUNK bytes at once, and records that lie across are whole."""
+    import pyarrow as pa
+
+    rows = [(f"{{{i}" + "x" * (i % 50), "f", 0) for i in range(2000)] + [("y" * (3 * arrays.CHUNK), "f", 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(["f"] * len(rows)), pa.array([0] * len(rows))], ["value", "path", "start"])
+    (key, parts), *rest = ((k, [bytes(d) for d in ds]) for k, ds in arrays.stretches(iter([batch])))
+    assert key == ("f", 0) and not rest and max(map(len, parts)) <= arrays.CHUNK and len(parts) > 3
+    assert b"".join(parts).decode() == "".join(r[0] + "}" for r in rows)
+    monkeypatch.setattr(arrays, "CHUNK", 5)
+    place = tmp_path / "a.json"
+    place.write_text(json.dumps(ODD, ensure_ascii=False))
+    parts = [x for b in arrays.parted(iter([batch.slice(0, 30)]), 0) for x in b.column(0).to_pylist()]
+    assert parts == [r[0] for r in rows[:30]]
+    bytes_ = [np.frombuffer(place.read_bytes()[i : i + 5], np.uint8) for i in range(0, place.stat().st_size, 5)]
+    total = arrays.NOTHING
+    for b in bytes_:
+        total = total.then(arrays.effect_of(b))
+    assert (total.ends[0], total.deeper[0], total.size) == (arrays.OUTSIDE, 0, place.stat().st_size)
