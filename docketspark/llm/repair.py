@@ -87,42 +87,58 @@ class Grammar:
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> Grammar:
     """first: an id above all of ids. Rules end when no pair is frequent, or symbols of 16 bits are used up (of 32, where the ids
     alone need them)."""
-    s = ids.astype(np.int64)
+    s = ids.astype(np.int32)
     room = (1 << 16) - first if first < (1 << 16) else (1 << 31) - first
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(0, np.int64)
     mask, made = (1 << TABLE_BITS) - 1, 0
+    # Where a pair begins that can be frequent: one that has a new symbol, or was frequent before. All others only grow rarer.
+    open_ = np.ones(len(s), bool)
     while len(s) >= 2 * least and made < room:
-        pair = (s[:-1] << 32) | s[1:]
+        at = np.flatnonzero(open_[:-1])
+        pair = (s[at].astype(np.int64) << 32) | s[at + 1]
         # A place of the table counts all pairs that fall on it, so no frequent pair is missed; those on full places are counted
         # one by one.
-        place = ((pair * -7046029254386353131) >> 24) & mask
-        full = np.flatnonzero((np.bincount(place, minlength=mask + 1) >= least)[place])
-        found, of, counts = np.unique(pair[full], return_inverse=True, return_counts=True)
-        frequent = np.flatnonzero(counts >= least)
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")][: room - made]
-        if not len(frequent):
+        if len(at) > mask >> 3:
+            place = ((pair * -7046029254386353131) >> 24) & mask
+            full = (np.bincount(place, minlength=mask + 1) >= least)[place]
+            at, pair = at[full], pair[full]
+        coded = pa.array(pair).dictionary_encode()
+        of, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        counts = np.bincount(of, minlength=len(found))
+        many = counts >= least
+        if not many.any():
             break
+        frequent = np.flatnonzero(many)
+        frequent = frequent[np.lexsort((found[frequent], -counts[frequent]))][: room - made]
+        here = many[of]
+        at, of = at[here], of[here]
+        open_[:] = False
+        open_[at] = True
         order = np.full(len(found), len(frequent), np.int32)
         order[frequent] = np.arange(len(frequent), dtype=np.int32)
-        rank = np.full(len(pair), len(frequent), np.int32)
-        rank[full] = order[of]
-        twins = np.flatnonzero(s[:-1] == s[1:])
-        if len(twins):  # in a run of one symbol every other pair counts
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(twins) != 1]))
-            runs = np.diff(np.concatenate([starts, [len(twins)]]))
-            rank[twins[(np.arange(len(twins)) - np.repeat(starts, runs)) % 2 == 1]] = len(frequent)
-        edge = np.array([len(frequent)], np.int32)
-        chosen = (rank < len(frequent)) & (rank < np.concatenate([edge, rank[:-1]])) & (rank <= np.concatenate([rank[1:], edge]))
-        used = np.bincount(rank[chosen], minlength=len(frequent)) >= 3
-        chosen &= used[np.minimum(rank, len(frequent) - 1)]
+        ranked = order[of]
+        # In a run of one symbol every other pair counts.
+        twins = np.flatnonzero(s[at] == s[at + 1])
+        if len(twins):
+            places = at[twins]
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1]))
+            runs = np.diff(np.concatenate([starts, [len(places)]]))
+            ranked[twins[(np.arange(len(places)) - np.repeat(starts, runs)) % 2 == 1]] = len(frequent)
+        rank = np.full(len(s) + 1, len(frequent), np.int32)  # the last stands for both ends
+        rank[at] = ranked
+        chosen = (ranked < len(frequent)) & (ranked < rank[at - 1]) & (ranked <= rank[at + 1])
+        used = np.bincount(ranked[chosen], minlength=len(frequent)) >= 3
+        chosen &= used[np.minimum(ranked, len(frequent) - 1)]
         if not chosen.any():
             break
         number = np.cumsum(used) - 1 + first + made
-        at = np.flatnonzero(chosen)
-        s[at] = number[rank[at]]
+        at = at[chosen]
+        s[at] = number[ranked[chosen]]
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         left = np.ones(len(s), bool)
         left[at + 1] = False
-        s = s[left]
+        s, open_ = s[left], open_[left]
         new = found[frequent[used]]
         new = np.stack([new >> 32, new & 0xFFFFFFFF], 1)
         parts = np.ones(new.shape, np.int64)
@@ -159,7 +175,14 @@ class Shard:
         self.symbol_ends = np.cumsum(self.grammar.sizes())
 
     def all_ids(self) -> np.ndarray:
-        return self.grammar.expand(self.grammar.symbols)
+        """Each symbol is expanded once and copied to its places, unless a table of all symbols is larger than the text."""
+        g = self.grammar
+        if 4 * (g.first + int(g.lengths.sum())) > self.symbol_ends[-1:].sum():
+            return g.expand(g.symbols)
+        each = np.concatenate([np.arange(g.first, dtype=np.uint32), g.expand(np.arange(g.first, g.first + len(g.rules), dtype=np.uint32))])
+        ends = np.concatenate([np.arange(g.first + 1), g.first + np.cumsum(g.lengths)]) * 4
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(each.astype("<u4").tobytes())])
+        return np.frombuffer(table.take(pa.array(g.symbols)).buffers()[2], "<u4")
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document alone."""
@@ -233,7 +256,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 row = {k: b.column(j)[i].as_py() for j, (k, _) in enumerate(FIELDS)}
                 shard = Shard(row)
                 ends = shard.ends
-                data = b"".join(shard.document(j).astype("<u4").tobytes() for j in range(len(ends)))
+                data = shard.all_ids().astype("<u4").tobytes()
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype("<i4").tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + row["start"] + base[row["bucket"]]), ids], schema=schema)

@@ -125,7 +125,7 @@ class WordEncoder:
         self.id_of = np.array(self.id_of, np.uint32)
         self.ends = np.zeros(len(v.tokens), bool)
         self.ends[list(marked)] = True
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.coded = pa.array([], pa.string()), pa.array([], pa.large_binary())
         self.encoding = tiktoken.Encoding("word", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(WORD_PATTERN)
         self.added = list(v.added)
@@ -152,7 +152,8 @@ class WordEncoder:
         odd = {i for i, c in enumerate(new) if any(a in c for a in marks)} if marks else set()
         folded = unicodedata.normalize("NFC", whole).replace("\u03a3", "\u03c3").lower().split("\n")
         find = self.words.findall
-        words = [find(c) for c in folded]
+        # Plain words, with one mark behind them at most, need no pattern.
+        words = [[c] if c.isascii() and c.isalpha() else [c[:-1], c[-1]] if c.isascii() and c[:-1].isalpha() and c[-1] in ".,;:!?" else find(c) for c in folded]
         for i in odd:
             words[i] = []
         ids = self._ids([w for ws in words for w in ws])
@@ -170,24 +171,21 @@ class WordEncoder:
         once, and a worker remembers a bounded number of them."""
         parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         coded = parts.values.dictionary_encode()
-        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        found = list(map(self.chunks.get, chunks))
-        at = [i for i, f in enumerate(found) if f is None]
-        if at:
-            new = [chunks[i] for i in at]
-            for i, ids in zip(at, self.learn(new)):
-                found[i] = ids
-            if len(self.chunks) + len(new) > CHUNKS:
-                self.chunks = dict(zip(chunks, found))
-            else:
-                self.chunks.update(zip(new, map(found.__getitem__, at)))
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)]
-        cuts = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        chunks = coded.dictionary
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(at.is_null())
+        known, found = self.chunks, self.coded
+        if len(new):
+            # As one string, since no chunk holds a line feed: faster than one by one.
+            listed = pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), "\n")[0].as_py().split("\n")
+            known, found = pa.concat_arrays([known, new]), pa.concat_arrays([found, pa.array(self.learn(listed), pa.large_binary())])
+            at = pc.coalesce(at, pa.array(len(self.chunks) + np.cumsum(at.is_null().to_numpy(zero_copy_only=False)) - 1, pa.int32()))
+        own = found.take(at)
+        self.chunks, self.coded = (chunks, own) if len(known) > CHUNKS else (known, found)
+        placed = own.take(coded.indices)
+        ends = np.frombuffer(placed.buffers()[1], np.int64, len(placed) + 1) // 4
+        ids = np.frombuffer(placed.buffers()[2] or b"", "<u4")
+        cuts = ends[parts.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 

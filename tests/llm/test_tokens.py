@@ -6,6 +6,7 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -124,6 +125,45 @@ def test_cut_wastes_little():
         assert all(k * p <= 2048 and 2048 // k - p <= packing.WASTE * (2048 // k) for k, p in parts)
 
 
+def test_later_rounds_of_repair_count_only_what_can_be_frequent(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 60, n).astype(np.uint32) for n in rng.integers(2, 40, 300)]
+    ids = np.concatenate([words[i] for i in rng.integers(0, 300, 6000)])
+    sizes, count = [], np.bincount
+
+    def counted(x, *a, **b):
+        sizes.append(len(x))
+        return count(x, *a, **b)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    g = repair.compress(ids, 60)
+    monkeypatch.undo()
+    assert np.array_equal(g.expand(g.symbols), ids) and np.array_equal(g.lengths, [len(g.expand(np.array([60 + i]))) for i in range(len(g.rules))])
+    left = g.symbols.astype(np.int64)
+    found, n = np.unique((left[:-1] << 32 | left[1:])[left[:-1] != left[1:]], return_counts=True)
+    assert n.max() < repair.LEAST and sum(sizes) < 5 * len(ids)
+
+
+def test_chunks_are_remembered_across_batches_and_when_there_are_many(monkeypatch):
+    from docketspark.llm import vocab
+
+    monkeypatch.setattr(vocab, "CHUNKS", 20)
+    own = vocab.WordEncoder(WORD)
+    for texts in (["one two, three.", "", "Zo\u00eb's two,"], [" ".join(f"w{i}x." for i in range(15)), "one"], ["\u03a3\u03a3, two, a\x01b", "w3x. *"], [f"new{i}!" for i in range(30)]):
+        assert [x.tolist() for x in own.encode_batch(texts)] == [reference(WORD, t) for t in texts]
+        assert isinstance(own.chunks, pa.Array) and len(own.chunks) == len(own.coded) <= 30
+
+
+def test_a_shard_is_read_at_once_as_by_documents(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [(i, np.tile(rng.integers(0, 50, 40), 30).astype(np.uint32)) for i in range(20)]
+    s = repair.Shard(repair.to_row(0, 0, 0, docs, 50))
+    want = np.concatenate([x for _, x in docs])
+    for many in (1, 10**6):  # by a table of symbols, or level by level
+        s.symbol_ends = s.symbol_ends * many
+        assert np.array_equal(s.all_ids(), want)
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for ids in [np.zeros(0, np.uint32), np.array([1], np.uint32), np.zeros(5000, np.uint32), rng.integers(0, 30, 20_000).astype(np.uint32), rng.integers(0, 70_000, 5000).astype(np.uint32)]:
