@@ -51,10 +51,10 @@ def cooccurrence(of: DataFrame, case: str, n: int = 14, member: str = "member")
     return grid.join(both, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), F.col("own")).otherwise(F.coalesce("n", F.lit(0).cast("long"))).alias("n"))
 
 
-def bigrams(rows: DataFrame, text: Column | str, order: Sequence[str]) -> DataFrame:
+def bigrams(rows: DataFrame, text: Column | str, order: Sequence[str], spaced: bool = False) -> DataFrame:
     """key, label, n: adjacent words of filtered tokens within a paragraph, aliases merged. The label is the last one in
-    corpus order."""
-    toks = rows.select(*order, surface_tokens(text, dims.BIGRAM_STOPWORDS).alias("toks"))
+    corpus order. spaced: texts have single spaces already."""
+    toks = rows.select(*order, surface_tokens(text, dims.BIGRAM_STOPWORDS, spaced).alias("toks"))
     made = toks.select(*order, F.posexplode(adjacent(F.col("toks"))).alias("place", "p"))
     key, label = F.concat_ws(" ", "p.a.norm", "p.b.norm"), F.concat_ws(" ", "p.a.token", "p.b.token")
     alias = F.create_map(*[F.lit(x) for k, v in dims.PHRASE_ALIASES.items() for x in (fold_plain(k, True), v)])
