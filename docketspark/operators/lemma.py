@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -23,9 +23,9 @@ KEY = ["document_id", "paragraph_id"]
 MOST_BUCKETS = 256
 
 
-def occurrences(paragraphs: DataFrame, text: str = "text", key: Sequence[str] = KEY) -> DataFrame:
-    """key, pos, form: every token of every paragraph."""
-    return paragraphs.select(*key, F.posexplode(lemma_tokens(text)).alias("pos", "form"))
+def occurrences(paragraphs: DataFrame, text: str = "text", key: Sequence[str] = KEY, spaced: bool = False) -> DataFrame:
+    """key, pos, form: every token of every paragraph. spaced: texts have single spaces already."""
+    return paragraphs.select(*key, F.posexplode(lemma_tokens(text, spaced)).alias("pos", "form"))
 
 
 def forms(found: DataFrame, dictionary: DataFrame | None = None, lemmatize: Callable[[str], Sequence[str]] | None = None) -> DataFrame:
@@ -58,6 +58,26 @@ def packed(found: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return found.groupBy("lemma", *key).agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
+def packed_rows(paragraphs: DataFrame, lemma_of: Callable[[Column], Column], text: str = "text", key: Sequence[str] = KEY, spaced: bool = False) -> DataFrame:
+    """lemma, key, positions: packed() of all tokens, made within a key's row, so that texts are shuffled instead of places.
+
+    lemma_of: the dictionary as an expression over a form. Texts that share a key are gathered first."""
+    rows = paragraphs.groupBy(*key).agg(F.collect_list(text).alias("texts"))
+    places = lambda t: F.transform(lemma_tokens(t, spaced), lambda f, i: F.struct(lemma_of(f).alias("lemma"), i.alias("pos")))
+    own = F.when(F.size("texts") == 1, places(F.col("texts")[0])).otherwise(F.array_distinct(F.flatten(F.transform("texts", places))))
+    # Each column is used more than once behind, so Spark makes it once a row.
+    rows = rows.select(*key, F.sort_array(own).alias("own"))
+    new = F.transform("own", lambda x, i: F.when((i == 0) | ~x["lemma"].eqNullSafe(F.col("own")[F.greatest(i - 1, F.lit(0))]["lemma"]), i))
+    rows = rows.select(*key, "own", F.array_compact(new).alias("at"))
+    runs = F.transform("at", lambda a, k: F.struct(F.col("own")[a]["lemma"].alias("lemma"), F.slice("own", a + 1, F.coalesce(F.get("at", k + 1), F.size("own")) - a)["pos"].alias("positions")))
+    return rows.select(*key, F.inline(runs)).select("lemma", *key, "positions")
+
+
+def lemmas_of(paragraphs: DataFrame, lemma_of: Callable[[Column], Column], text: str = "text", key: Sequence[str] = KEY, spaced: bool = False) -> DataFrame:
+    """lemma, key: the distinct lemmas of each paragraph, found within its row; rows repeat only where keys do."""
+    return paragraphs.select(F.explode(F.array_distinct(F.transform(lemma_tokens(text, spaced), lemma_of))).alias("lemma"), *key)
+
+
 def of_token(found: DataFrame, lemmas: DataFrame, token: str) -> DataFrame:
     """key, pos where any lemma of the token stands; a token that no form has is looked up as a lemma.
 

@@ -262,7 +262,7 @@ def lemma_segments(spark, sf):
 
 @query("SELECT lemma, paragraph_id, array_to_string(list_sort(list_distinct(list(pos))), ',') AS positions FROM toks GROUP BY lemma, paragraph_id", _TOKS)
 def lemma_positions(spark, sf):
-    return lemma.packed(_positions(spark, sf), _KEY).select("lemma", "paragraph_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return lemma.packed_rows(lines(spark, sf), _lemma, "text", _KEY, spaced=True).select("lemma", "paragraph_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query("SELECT DISTINCT paragraph_id FROM toks WHERE lemma = 'the' INTERSECT SELECT paragraph_id FROM toks WHERE lemma = 'and'", _TOKS)
@@ -287,9 +287,9 @@ def lemma_search(spark, sf):
 
 @query("SELECT form, lemma FROM toks GROUP BY form, lemma", _TOKS)
 def lemma_forms(spark, sf):
-    return lemma.occurrences(lines(spark, sf), "text", _KEY).select("form", _lemma("form").alias("lemma")).distinct()
+    return lemma.occurrences(lines(spark, sf), "text", _KEY, spaced=True).select("form", _lemma("form").alias("lemma")).distinct()
 
 
 @query('SELECT shard, min(form) AS "from", max(form) AS "to", count(*) AS n FROM (SELECT form, ((row_number() OVER (ORDER BY form) - 1) // 1000)::INT AS shard FROM (SELECT DISTINCT form FROM toks)) GROUP BY shard', _TOKS)
 def shard_ranges(spark, sf):
-    return lemma.shards(lemma.occurrences(lines(spark, sf), "text", _KEY), "form", 1000)
+    return lemma.shards(lemma.occurrences(lines(spark, sf), "text", _KEY, spaced=True), "form", 1000)

@@ -79,3 +79,27 @@ def test_plan_is_one_scan_without_shuffles(spark, tmp_path):
     text = F.array(*map(F.lit, ["kot", "koty", "pies", "dom"]))
     found = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(phrases.seen(text, many, phrases.tests_of(WORDS, None)[1]))]).first()
     assert [p for p, hit in zip(many, found) if hit] == [["kot", "koty"], ["koty", "pies"], ["pies", "dom"]]
+
+
+def packable(spark):
+    """Keys that repeat or are null, words that repeat, texts without words."""
+    rows = [(1, "a", "kota pies kota, kot"), (1, "b", ""), (1, "c", None), (2, "a", "-- las"), (2, "a", "las kotom las"), (None, None, "pies"), (None, None, "las pies"), (3, "d", "dom " * 300 + "kot")]
+    return spark.createDataFrame(rows, "document_id int, paragraph_id string, text string")
+
+
+def test_lemmas_packed_within_rows_equal_packed_places(spark):
+    rows, of = packable(spark), lambda x: F.substring(x, 1, 3)
+    found = lemma.occurrences(rows).select(*lemma.KEY, "pos", of("form").alias("lemma"))
+    plain = lambda df: sorted(map(repr, df.collect()))
+    made = lemma.packed_rows(rows, of)
+    assert plain(made.select("lemma", *lemma.KEY, "positions")) == plain(lemma.packed(found).select("lemma", *lemma.KEY, "positions"))
+    assert lemma.packed_rows(rows.limit(0), of).count() == 0
+
+
+def test_distinct_lemmas_of_rows_equal_postings(spark):
+    rows, of = packable(spark), lambda x: F.substring(x, 1, 3)
+    found = lemma.occurrences(rows).select(*lemma.KEY, "pos", of("form").alias("lemma"))
+    own = lemma.lemmas_of(rows, of)
+    plain = lambda df: sorted(map(repr, df.select("lemma", *lemma.KEY).collect()))
+    assert plain(own.distinct()) == plain(lemma.postings(found))
+    assert own.where("document_id = 3").count() == 2
