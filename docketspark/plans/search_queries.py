@@ -238,14 +238,11 @@ def _lemma(form):
     return F.substring(form, 1, 5)
 
 
-def _positions(spark, sf):
-    return lemma.occurrences(lines(spark, sf), "text", _KEY).select(*_KEY, "pos", _lemma("form").alias("lemma"))
-
-
 @query("SELECT lemma, count(DISTINCT paragraph_id) AS paragraphs, md5(string_agg(DISTINCT paragraph_id, ',' ORDER BY paragraph_id)) AS digest FROM toks GROUP BY lemma", _TOKS)
 def lemma_postings(spark, sf):
-    rows = lemma.postings(_positions(spark, sf))
-    return rows.groupBy("lemma").agg(F.count(F.lit(1)).alias("paragraphs"), F.md5(F.array_join(F.sort_array(F.collect_list("paragraph_id")), ",")).alias("digest"))
+    rows = lemma.lemmas_of(lines(spark, sf), _lemma, "text", _KEY, spaced=True)
+    ids = rows.groupBy("lemma").agg(F.array_distinct(F.sort_array(F.collect_list("paragraph_id"))).alias("ids"))
+    return ids.select("lemma", F.size("ids").cast("long").alias("paragraphs"), F.md5(F.array_join("ids", ",")).alias("digest"))
 
 
 @query("SELECT lemma, count(DISTINCT paragraph_id) AS paragraphs, count(*) AS places FROM toks WHERE paragraph_id NOT IN (SELECT paragraph_id FROM idx WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY lemma", _TOKS)
