@@ -44,15 +44,17 @@ def _last(spark: SparkSession, path: str) -> int:
 
 def _write(spark: SparkSession, path: str, rows: DataFrame, level: int, replaces: Sequence[int] = ()) -> int:
     number, place = _last(spark, path) + 1, f"segments/{uuid.uuid4().hex}"
-    rows.repartitionByRange("lemma", *rows.columns[1:-1]).sortWithinPartitions("lemma").write.parquet(f"{path}/{place}")
+    # The files of a new segment are sorted each on its own, so its tokens are made once and not shuffled; merging deals them by ranges.
+    dealt = rows.repartitionByRange("lemma", *rows.columns[1:-1]) if level else rows
+    dealt.sortWithinPartitions("lemma").write.parquet(f"{path}/{place}")
     spark.createDataFrame([(number, level, place, list(replaces))], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return number
 
 
-def add(spark: SparkSession, path: str, paragraphs: DataFrame, lemma_of: Callable[[Column], Column] | None = None, text: str = "text", key: Sequence[str] = KEY) -> int:
+def add(spark: SparkSession, path: str, paragraphs: DataFrame, lemma_of: Callable[[Column], Column] | None = None, text: str = "text", key: Sequence[str] = KEY, spaced: bool = False) -> int:
     """A segment of these paragraphs; its number. lemma_of: the dictionary as an expression over a form (the form itself without)."""
     of = lemma_of or (lambda x: x)
-    rows = occurrences(paragraphs, text, key).select(of(F.col("form")).alias("lemma"), *key, "pos")
+    rows = occurrences(paragraphs, text, key, spaced).select(of(F.col("form")).alias("lemma"), *key, "pos")
     return _write(spark, path, rows, 0)
 
 

@@ -250,7 +250,7 @@ def lemma_segments(spark, sf):
     """An index of four segments, merged, from which the labelled documents are removed."""
     place, rows = scratch(spark, "segments"), lines(spark, sf)
     for part in range(4):
-        segments.add(spark, place, rows.where(F.pmod("doc_id", F.lit(4)) == part), _lemma, key=["doc_id", "paragraph_id"])
+        segments.add(spark, place, rows.where(F.pmod("doc_id", F.lit(4)) == part), _lemma, key=["doc_id", "paragraph_id"], spaced=True)
     segments.remove(spark, place, table(spark, sf, "labels"), "doc_id")
     segments.merge(spark, place, "doc_id")
     found = segments.positions(spark, place, "doc_id")

@@ -52,3 +52,14 @@ def test_lookups_reach_the_scans(spark, tmp_path):
     segments.add(spark, path, paragraphs(spark, random.Random(2), range(4)))
     plan = segments.positions(spark, path).where("lemma = 'kot'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lemma,kot)" in plan
+
+
+def test_a_new_segment_is_written_as_its_rows_lie(spark, tmp_path):
+    path, rows = str(tmp_path / "i"), paragraphs(spark, random.Random(2), range(30)).repartition(3)
+    segments.add(spark, path, rows)
+    own = spark.read.parquet(f"{path}/{segments.live(spark, path)[0].place}").withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    files = {}
+    for r in own.orderBy("at").collect():
+        files.setdefault(r.file, []).append(r.lemma)
+    assert len(files) == 3 and all(x == sorted(x) for x in files.values())
+    assert held(spark, path) == sorted((r.form, r.document_id, r.paragraph_id, r.pos) for r in lemma.occurrences(rows).collect())
